@@ -1,0 +1,64 @@
+"""Tables that cut lineage, kept in the folder which all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (clusters: use --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where none is named and the master is local."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-"))
+    return sc.getCheckpointDir()
+
+
+class Scratch:
+    """Parquet tables of one operator run, under the shared folder; removed when the driver ends.
+
+    A table that has been written survives the loss of any executor, as it is read again from the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/vellumine-{name}-{uuid.uuid4().hex}"
+        atexit.register(self.drop)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        was = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")  # the shuffle files of a finished write are of no more use
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, was) if was is not None else conf.unset(_CLEANUP)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        try:
+            jvm, sc = self.spark._jvm, self.spark.sparkContext
+            if jvm is None or sc._jsc is None:
+                return
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended; the folder's owner clears it
+            return

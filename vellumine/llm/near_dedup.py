@@ -5,7 +5,8 @@ root; each node picks one or two tokens by a hash of its path (1 / threshold on
 the child that its value of the token names, so alike documents stay together and others part. Nodes with at most
 SMALL documents are compared exhaustively. In larger ones, which are groups of copies or await more levels, each document
 is compared with one centre per node; as trees have other centres, a group links up without all of its pairs.
-What is then still apart within a large node branches on, and in the end each such rest is compared with its whole node.
+What is then still apart within a large node branches on, and in the end each such rest is compared with all members
+of the component that its node mainly holds, in blocks of BLOCK by BLOCK texts, so that no pair becomes a row.
 Pairs pass a 64-bit sketch first; every link is confirmed on the full shingle sets. Trees are repeated until a pair
 at the threshold is missed by all with probability RISK at most.
 
@@ -36,7 +37,9 @@ SKETCH = 16
 #: Ids up to this many are sent to all executors to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Levels that one more branching adds, and how often.
-DEEPER, AGAIN = 3, 2
+DEEPER, AGAIN = 3, 1
+#: Texts of a block, on average, and distinct shingles of two blocks that are counted at once.
+BLOCK, COLUMNS = 64, 20_000
 _RNG = np.random.default_rng(20240601)
 _XOR, _MULT = _RNG.integers(0, 1 << 63, SIZE, dtype=np.int64).astype(U), _RNG.integers(0, 1 << 63, SIZE, dtype=np.int64).astype(U) * U(2) + U(1)
 
@@ -147,6 +150,41 @@ def confirm(k: int, percent: int):
     return run
 
 
+def confirm_blocks(k: int, percent: int):
+    """Two blocks of texts with their components: for each text of the first, one link to each component that the second links it with."""
+
+    def run(batches):
+        for b in batches:
+            out = set()
+            for xs, ys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made = []
+                for rows in (xs, ys):
+                    data = [(r["text"] or "").encode() for r in rows]
+                    all_, at = sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), k)
+                    made.append([distinct(all_[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)])
+                sizes = [np.array([len(x) for x in m], np.int64) for m in made]
+                vocabulary, column = np.unique(np.concatenate([np.concatenate(m) for m in made]), return_inverse=True)
+                split = int(sizes[0].sum())
+                row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+                cols = [column[:split], column[split:]]
+                common = np.zeros((len(xs), len(ys)))
+                for lo in range(0, len(vocabulary), COLUMNS):
+                    parts = []
+                    for r, c, n in zip(row, cols, sizes, strict=True):
+                        part, here = np.zeros((len(n), COLUMNS), np.float32), (c >= lo) & (c < lo + COLUMNS)
+                        part[r[here], c[here] - lo] = 1
+                        parts.append(part)
+                    common += parts[0] @ parts[1].T
+                linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1] - common)
+                for i, j in np.argwhere(linked & (common > 0)):
+                    if xs[i]["comp"] != ys[j]["comp"]:
+                        out.add((min(xs[i]["comp"], ys[j]["comp"]), max(xs[i]["comp"], ys[j]["comp"])))
+            x, y = zip(*sorted(out), strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return run
+
+
 def missed(levels: int, like: float) -> float:
     """Probability that a pair this alike shares no node of one tree at this level."""
     gone = 0.0
@@ -218,7 +256,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if state["moved"] is not None:
             for c in ("a", "b"):
                 links = links.join(state["moved"].select(F.col("rep").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
-        edges = links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
+        merge(links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y"))
+
+    def merge(edges: DataFrame) -> None:
+        """Join up components that edges link."""
+        step = state["step"]
         if not edges.limit(1).count():
             return
         merged = components(scratch, edges, f"components-{step}")
@@ -227,6 +269,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             fresh = fresh.union(state["moved"].join(merged.select(F.col("v").alias("comp"), "l"), "comp", "left").select("rep", F.coalesce("l", "comp")))
         state["moved"] = scratch.write(fresh, f"moved-{step}")
 
+    def in_blocks(rest: DataFrame) -> None:
+        """Compare what is outside its node's main component with all of that component, and with what else is outside."""
+        state["step"] += 1
+        sizes = rest.groupBy("node", "comp").agg(F.count("*").alias("of"))
+        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("of", -F.col("comp"))).alias("main"))
+        outside = scratch.write(rest.join(main, "node").where("comp <> main").select("rep", "comp", "main").distinct(), "outside")
+        mains = outside.select("main").distinct()
+        # the smallest id of a component is one of its members, but is not in `moved`
+        inside = mains.select(F.col("main").alias("rep"), "main")
+        if state["moved"] is not None:
+            inside = inside.union(state["moved"].select("rep", F.col("comp").alias("main")).join(mains, "main").select("rep", "main"))
+        every = outside.withColumn("out", F.lit(True)).select("rep", "comp", "main", "out").union(inside.select("rep", F.col("main").alias("comp"), "main", F.lit(False)))
+        blocks = every.join(every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        ids = scratch.write(blocks.select(F.col("rep").alias("id")).distinct(), "block-ids")
+        found = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+        item = F.struct(F.col("rep").alias("id"), "comp", "text")
+        held = scratch.write(blocks.join(found, F.col("rep") == F.col("id")).groupBy("main", "block", "out").agg(F.collect_list(item).alias("rows")), "blocks")
+        first, second = held.where("out").select("main", F.col("rows").alias("xs")), held.select("main", F.col("rows").alias("ys"))
+        merge(scratch.write(first.join(second, "main").select("xs", "ys").mapInArrow(confirm_blocks(k, percent), "x long, y long").distinct(), "block-links"))
+
     def compare(nodes: DataFrame, name: str) -> DataFrame:
         """Small nodes exhaustively, the others against a centre; returns what the large nodes hold."""
         active = scratch.write(labelled(nodes), name)
@@ -248,10 +310,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         rest = compare(reps.join(of, "rep").select("rep", "sig", "sketch", "at").mapInArrow(branch(DEEPER, None), shape), f"deeper-{i}")
     else:
         rest = scratch.write(labelled(rest), "rest")
-        sizes = rest.groupBy("node", "comp").agg(F.count("*").alias("of"))
-        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("of", -F.col("comp"))).alias("main"))
-        outside = rest.join(main, "node").where("comp <> main").drop("main")
-        settle(pairs_of(outside, rest, False))
+        if rest.limit(1).count():
+            in_blocks(rest)
     rep = reps.select("f1", "f2", "rep")
     out = signed.select("id", "n", "f1", "f2").join(rep, ["f1", "f2"], "left")
     if state["moved"] is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import near_dedup
+from vellumine.llm import bpe, near_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op5_near_dedup,)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(spark, docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), tokenizer, ("ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_dedup, op7_bpe)}
 ORACLE_SQL: dict[str, str] = {}

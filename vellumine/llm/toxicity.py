@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
 A text is scored by its worst unit: a word, or a run of single letters set apart ("i d i o t"). Units are compared by the
-subsequences of three letters that they share within a span of five, each weighted by DECAY to its span, so gaps and inserted
+subsequences of four letters that they share within a span of six, each weighted by DECAY to its span, so gaps and inserted
 characters cost little; the kernel is scaled by each unit's own norm. Landmarks are units of the labelled sample;
 the machine is trained on sentences' units as bags: each toxic text lends its worst unit, chosen anew in each
 of ROUNDS, and clean texts lend random units and their worst. Each is also trained on with a letter inserted. In the space that the
@@ -27,7 +27,8 @@ from vellumine.llm.scratch import ship
 from vellumine.llm.textnum import LOWER, U, hashes, mix, texts, words
 
 SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1500, 20_000, 4, 0.7
-WIDTH, CODES = 24, 64
+#: Table entries; subsequences share one where their hashes do.
+WIDTH, SLOTS = 24, 1 << 20
 LANDMARKS, COST, LOWEST, AT = 96, 10.0, -4.0, 0.3
 #: Letters 1 to 26 in either case, look-alikes as letters, marks of start and end, the rest by kind.
 KIND = np.full(256, 29, np.uint8)
@@ -37,8 +38,12 @@ for _c, _l in zip("013457@$!", "oieastasi", strict=True):
 for _b in range(0x80, 0x100):
     KIND[_b] = 30 if _b >= 0xC0 else 31 + (_b & 31)
 START, END = 27, 28
-#: Gaps of the second and third letter after the first, and the weight of each such subsequence.
-GAPS = [(i, j, DECAY ** (j - 2)) for j in range(2, 5) for i in range(1, j)]
+#: Places of the second to fourth letter after the first, and the weight of each such subsequence.
+GAPS = [(i, j, k, DECAY ** (k - 3)) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
+#: Lengths of the runs of letters whose odds choose the first units.
+RUNS = range(4, 9)
+#: A toxic text lends a unit only if a run of its letters is in so many toxic texts, with these log odds at least.
+SUPPORT, ODDS = 3, 3.0
 
 
 def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +88,15 @@ def apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
 
 def features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the table index of each subsequence (0: none) and its weight over the row's norm."""
-    wide = rows.astype(np.int32)
+    wide = rows.astype(np.uint32)
+    pairs = {g: wide[:, : WIDTH - g] * np.uint32(64) + wide[:, g:] for g in range(1, 5)}
     index, weight = [], []
-    for i, j, w in GAPS:
-        a, b, c = wide[:, : WIDTH - j], wide[:, i : WIDTH - j + i], wide[:, j:]
-        index.append(np.where((a > 0) & (b > 0) & (c > 0), (a * CODES + b) * CODES + c, 0))
-        weight.append(np.full(WIDTH - j, w, np.float32))
+    for i, j, k, w in GAPS:
+        n = WIDTH - k
+        x = pairs[i][:, :n] * np.uint32(4096) + pairs[k - j][:, j : j + n]
+        whole = (wide[:, :n] > 0) & (wide[:, k:] > 0)
+        index.append(np.where(whole, ((x * np.uint32(2654435761)) >> np.uint32(12)) | np.uint32(1), 0))
+        weight.append(np.full(n, w, np.float32))
     index, weight = np.concatenate(index, axis=1), np.concatenate(weight)
     there = np.where(index > 0, weight, np.float32(0))
     norm = np.sqrt((there * there).sum(axis=1))
@@ -135,7 +143,7 @@ class Model:
 
 
 def nobody() -> Model:
-    return Model(np.zeros(CODES**3, np.float32), LOWEST, 1.0, 0.0)
+    return Model(np.zeros(SLOTS, np.float32), LOWEST, 1.0, 0.0)
 
 
 def _inserted(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -183,22 +191,26 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
         return nobody()
     rows = np.frombuffer(b"".join(known), np.uint8).reshape(-1, WIDTH)
     doc, unit = np.array(of).T
-    # how much more often toxic texts hold each run of four letters starts the choice of units
-    runs = np.stack([mix(rows[:, i : i + 4].astype(U) @ (U(1) << np.arange(0, 32, 8, dtype=U))) % U(1 << 20) for i in range(WIDTH - 3)], axis=1).astype(np.int64)
-    runs[rows[:, 3:] == 0] = 0
-    counts = np.zeros((2, 1 << 20), np.int64)
+    # how much more often toxic texts hold a run of letters starts the choice of units
+    value, lent = np.full(len(rows), -9.0), np.zeros(len(rows), bool)
     edges = np.searchsorted(doc, np.arange(len(sample) + 1))
-    for d in range(len(sample)):
-        counts[y[d], np.unique(runs[unit[edges[d] : edges[d + 1]]])] += 1
-    odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
-    odds[0] = -9
-    value = odds[runs].max(axis=1)
+    for n in RUNS:
+        runs = np.stack([mix(rows[:, i : i + n].astype(U) @ (U(64) ** np.arange(n, dtype=U))) % U(SLOTS) for i in range(WIDTH - n + 1)], axis=1).astype(np.int64)
+        runs[rows[:, n - 1 :] == 0] = 0
+        counts = np.zeros((2, SLOTS), np.int64)
+        for d in range(len(sample)):
+            counts[y[d], np.unique(runs[unit[edges[d] : edges[d + 1]]])] += 1
+        odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
+        odds[0] = -9
+        value = np.maximum(value, odds[runs].max(axis=1))
+        lent |= ((counts[1][runs] >= SUPPORT) & (odds[runs] >= ODDS)).any(axis=1)
     clean_units = np.unique(unit[y[doc] == 0])
     model = nobody()
     for turn in range(ROUNDS):
         worst = {}
         for d in range(len(sample)):
             own = unit[edges[d] : edges[d + 1]]
+            own = own[lent[own]] if y[d] else own
             if len(own):
                 worst[d] = own[np.argmax(value[own])]
         bad, times = np.unique([u for d, u in worst.items() if y[d]], return_counts=True)
@@ -232,7 +244,7 @@ class _dense:
     def __init__(self, rows: np.ndarray):
         index, weight = features(rows)
         self.seen = np.unique(index[index > 0])
-        self.column = np.full(CODES**3, len(self.seen), np.int64)
+        self.column = np.full(SLOTS, len(self.seen), np.int64)
         self.column[self.seen] = np.arange(len(self.seen))
         self.of = self.spread(index, weight)
 
@@ -245,7 +257,7 @@ class _dense:
         return np.concatenate([self.spread(*features(rows[i : i + 1024])) @ self.of.T for i in range(0, len(rows), 1024)])
 
     def table(self, alpha):
-        out = np.zeros(CODES**3, np.float32)
+        out = np.zeros(SLOTS, np.float32)
         out[self.seen] = alpha @ self.of
         return out
 
@@ -265,11 +277,10 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the probability of label 1 given the margin."""
     up, down = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    weight = np.where(y == 1, 1 / up, 1 / down)
     x, w = np.stack([m, np.ones(len(m))], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (target - p)) - 1e-3 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumine.llm import bpe, near_dedup, toxicity
+from vellumine.llm import bpe, decontaminate, language_id, near_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,33 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no markup and no address: text and source are the evidence. lang labels the bounded training sample, and is no evidence."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(spark, docs, language_id.fit(spark, docs), "doc_id", host_col="source")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have all evidence: text between tags, declared markup language, suffix and host of the address."""
+    model = language_id.fit(spark, table(spark, sf_dir, "documents"))
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    pages = table(spark, sf_dir, "pages").select("page_id", text.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1).alias("declared"), F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
+    return language_id.identify(spark, pages, model, "page_id", host_col="host", declared_col="declared")
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), default_tokenizer(), ("ids_sha256", "decoded_sha256"))
+
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), tokenizer, ("ids_sha256", "decoded_sha256"))
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_dedup, op7_bpe)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, language_id_pages)}
 ORACLE_SQL: dict[str, str] = {}

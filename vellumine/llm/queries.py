@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import bpe, decontaminate, language_id, near_dedup, toxicity
+from vellumine.llm import bpe, decontaminate, language_id, license_scan, near_dedup, quality, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(spark, table(spark, sf_dir, "pages"))
+    return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(spark, docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
@@ -50,5 +59,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, language_id_pages)}
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, language_id_pages)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ Texts and templates are read as lower-case words of letters and digits, and as s
 pieces; a piece of m shingles is looked for in windows of m shingles that begin at every max(1, m / 4). Windows are looked at wherever a shingle of
 any template stands; others share no shingle with a template, so nothing is lost. A window and a piece that share 0.6 of their
 shingles agree in one of BANDS bands of ROWS minima with probability 0.9992. A template that a window retrieves is verified
-on the text around: it is reported if that holds LEAST of the template's distinct shingles.
+on the text around: it is reported if that holds LEAST of the template's distinct shingles, and no related template (one with a shingle in common) more within NEAR shingles.
 
 Templates are a parameter and few: their shingles are constants of the plan, their bands are broadcast.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.scratch import Scratch
 
-SHINGLE, PIECE, BANDS, ROWS, LEAST = 5, 32, 16, 2, 0.8
+SHINGLE, PIECE, BANDS, ROWS, LEAST, NEAR = 5, 32, 16, 2, 0.8, 16
 #: Public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -68,7 +68,11 @@ def bands_of(window: Column, size: Column) -> Column:
 def templates_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[int], list[int]]:
     """One row for each piece: template, its shingles, the piece's place and bands; the sizes of pieces; all shingles."""
     rows = spark.createDataFrame([(k, v) for k, v in sorted(templates.items())], "template string, body string").select("template", shingles_of(F.col("body")).alias("all")).collect()
-    pieces, known = [], set()
+    pieces, known, families = [], set(), {}
+    for r in rows:  # the first template that it is tied to names a family
+        tied = {families[o["template"]] for o in rows if o["template"] in families and set(o["all"]) & set(r["all"])}
+        families[r["template"]] = min(tied | {r["template"]})
+        families = {t: families[r["template"]] if f in tied else f for t, f in families.items()}
     for r in rows:
         n = len(r["all"])
         known |= set(r["all"])
@@ -76,10 +80,10 @@ def templates_table(spark: SparkSession, templates: dict[str, str]) -> tuple[Dat
         if len(cuts) > 1 and n - cuts[-1] < PIECE // 2:
             cuts.pop()
         for lo, hi in zip(cuts, [*cuts[1:], n], strict=True):
-            pieces.append((r["template"], r["all"], lo, r["all"][lo:hi], hi - lo))
-    table = spark.createDataFrame(pieces, "template string, whole array<bigint>, place int, piece array<bigint>, m int")
-    table = table.select("template", F.array_distinct("whole").alias("whole"), F.size("whole").alias("long"), "place", F.explode(bands_of(F.col("piece"), F.col("m"))).alias("band")).distinct()
-    return table, sorted({p[4] for p in pieces}), sorted(known)
+            pieces.append((r["template"], families[r["template"]], r["all"], lo, r["all"][lo:hi], hi - lo))
+    table = spark.createDataFrame(pieces, "template string, family string, whole array<bigint>, place int, piece array<bigint>, m int")
+    table = table.select("template", "family", F.array_distinct("whole").alias("whole"), F.size("whole").alias("long"), "place", F.explode(bands_of(F.col("piece"), F.col("m"))).alias("band")).distinct()
+    return table, sorted({p[5] for p in pieces}), sorted(known)
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,4 +112,8 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     lo = F.greatest(F.col("s") - F.col("place") - F.floor(F.col("long") / 4).cast("int") - 2, F.lit(0))
     around = F.slice("all", lo + 1, (F.col("long") * 1.5).cast("int") + 4)
     share = F.size(F.array_intersect("whole", around)) / F.size("whole")
-    return found.select("id", "template", share.alias("share"), "s").where(F.col("share") >= LEAST).groupBy("id", "template").agg(F.max("share").alias("containment"), F.min("s").alias("first_word")).withColumnRenamed("id", id_col)
+    met = found.select("id", "template", "family", share.alias("share"), "s", F.floor(F.col("s") / NEAR).alias("b")).where(F.col("share") >= LEAST).distinct()
+    # versions of one license share shingles: where several stand, the best does
+    around = met.select("id", "family", "share", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    best = met.join(around.groupBy("id", "family", "b").agg(F.max("share").alias("top")), ["id", "family", "b"]).where(F.col("share") == F.col("top"))
+    return best.groupBy("id", "template").agg(F.max("share").alias("containment"), F.min("s").alias("first_word")).withColumnRenamed("id", id_col)

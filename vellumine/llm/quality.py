@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.scratch import Scratch
 
-FAR, LEAST_WORDS, LEAST_CHARS, WINDOW = 0.5, 50, 200, 8
+FAR, LEAST_WORDS, LEAST_CHARS, WINDOW = 0.26, 50, 200, 8
 LANGUAGES = ("de", "en", "es", "fr")
 #: The commonest words of each language.
 COMMON = {

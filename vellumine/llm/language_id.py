@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.scratch import Scratch, ship
+from vellumine.llm.scratch import Scratch, sample_bound, ship
 from vellumine.llm.textnum import LOWER, U, hashes, texts, words
 
 SAMPLE, SAMPLE_CHARS, SLOTS, EVIDENCE, STRENGTH, RELIABLE, LEAST = 200, 20_000, 1 << 16, 60, 20.0, 0.9, 0.5
@@ -80,10 +80,15 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> Model:
-    samples = []
-    for one in languages:
-        rows = docs.where((F.col(label_col) == one) & (F.length(text_col) <= SAMPLE_CHARS)).orderBy(F.xxhash64(text_col, F.lit(5)), text_col).limit(SAMPLE).select(text_col).collect()
-        samples.append([r[0] for r in rows])
+    fit_for = docs.where(F.col(label_col).isin(*languages) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    counts = {r["label"]: r["count"] for r in fit_for.groupBy("label").count().collect()}  # at most a row for each language
+    turn = F.xxhash64("text", F.lit(5))
+    below = F.lit(False)
+    for one, count in counts.items():
+        below = below | ((F.col("label") == one) & (F.abs(turn) <= sample_bound(count, SAMPLE)))
+    chosen = fit_for.where(below).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(F.abs(turn), "text"))).where(F.col("nth") <= SAMPLE)
+    rows = chosen.select("label", "text").collect()  # at most SAMPLE rows of each language
+    samples = [[r["text"] for r in rows if r["label"] == one] for one in languages]
     known = [(one, s) for one, s in zip(languages, samples, strict=True) if s]
     return Model([k for k, _ in known], [s for _, s in known])
 

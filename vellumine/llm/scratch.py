@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import tempfile
 import uuid
@@ -34,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def sample_bound(count: int, n: int) -> int:
+    """A bound on 63-bit hashes that about n to 2 n of count rows stay under, so that what is sorted for a sample does not grow with the input."""
+    share = min(1.0, (1.5 * n + 20 + 4 * math.sqrt(n)) / max(1, count))
+    return int(share * ((1 << 63) - 1))
+
+
 class Scratch:
     """Parquet tables of one operator run, under the shared folder; removed when the driver ends.
 

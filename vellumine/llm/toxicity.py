@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import ship
+from vellumine.llm.scratch import sample_bound, ship
 from vellumine.llm.textnum import LOWER, U, hashes, mix, texts, words
 
 SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1500, 20_000, 4, 0.7
@@ -295,11 +295,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out."""
     own = docs.select(F.col("doc_id").alias("id"), F.col("text")).where(~is_held_out("doc_id") & (F.length("text") <= SAMPLE_CHARS))
     of = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    turn = F.xxhash64("id", F.lit(11))
+    of = of.where(~F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)))
+    turn = F.abs(F.xxhash64("id", F.lit(11)))
+    counts = {r["label"]: r["count"] for r in of.groupBy("label").count().collect()}  # two rows at most
     rows = []
-    for label in (0, 1):
-        least = of.where(F.col("label") == label).where(~F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)))
-        least = least.orderBy(turn, "id").limit(SAMPLE)
+    for label, count in sorted(counts.items()):
+        least = of.where((F.col("label") == label) & (turn <= sample_bound(count, SAMPLE))).orderBy(turn, "id").limit(SAMPLE)
         rows += own.join(F.broadcast(least), "id").orderBy(turn, "id").select("text", "label").collect()
     return train([(r["text"], r["label"]) for r in rows])
 

@@ -82,11 +82,11 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> Model:
     fit_for = docs.where(F.col(label_col).isin(*languages) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     counts = {r["label"]: r["count"] for r in fit_for.groupBy("label").count().collect()}  # at most a row for each language
-    turn = F.xxhash64("text", F.lit(5))
+    turn = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)
     below = F.lit(False)
     for one, count in counts.items():
-        below = below | ((F.col("label") == one) & (F.abs(turn) <= sample_bound(count, SAMPLE)))
-    chosen = fit_for.where(below).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(F.abs(turn), "text"))).where(F.col("nth") <= SAMPLE)
+        below = below | ((F.col("label") == one) & (turn <= sample_bound(count, SAMPLE)))
+    chosen = fit_for.where(below).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(turn, "text"))).where(F.col("nth") <= SAMPLE)
     rows = chosen.select("label", "text").collect()  # at most SAMPLE rows of each language
     samples = [[r["text"] for r in rows if r["label"] == one] for one in languages]
     known = [(one, s) for one, s in zip(languages, samples, strict=True) if s]

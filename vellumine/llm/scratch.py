@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def sample_bound(count: int, n: int) -> int:
     """A bound on 63-bit hashes that about n to 2 n of count rows stay under, so that what is sorted for a sample does not grow with the input."""
     share = min(1.0, (1.5 * n + 20 + 4 * math.sqrt(n)) / max(1, count))
-    return int(share * ((1 << 63) - 1))
+    return min((1 << 63) - 1, int(share * (1 << 63)))
 
 
 class Scratch:

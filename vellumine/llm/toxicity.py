@@ -296,7 +296,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     own = docs.select(F.col("doc_id").alias("id"), F.col("text")).where(~is_held_out("doc_id") & (F.length("text") <= SAMPLE_CHARS))
     of = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     of = of.where(~F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)))
-    turn = F.abs(F.xxhash64("id", F.lit(11)))
+    turn = F.shiftrightunsigned(F.xxhash64("id", F.lit(11)), 1)
     counts = {r["label"]: r["count"] for r in of.groupBy("label").count().collect()}  # two rows at most
     rows = []
     for label, count in sorted(counts.items()):

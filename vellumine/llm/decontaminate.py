@@ -117,7 +117,7 @@ def make_windows(wanted):
             bits[few & ((1 << 22) - 1)] = True
         for b in batches:
             ids = np.asarray(b.column(0).cast(pa.int64()).fill_null(-1))
-            for lo, _, data, off in texts(b.column(1)):
+            for lo, _, data, off in texts(b.column(1), 1 << 18):
                 token, kind, value, first = template(data, off)
                 doc, pos, h, at = windows(token, kind, value, first)
                 count = np.bincount(doc, minlength=len(off) - 1)

@@ -70,7 +70,7 @@ class Model:
     def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods of each text, and its number of words."""
         out, count = [], []
-        for lo, hi, data, off in texts(column):
+        for lo, hi, data, off in texts(column, 1 << 18):
             runs, at, word, first = observed(data, off)
             total = sums(self.table[runs], at) + sums(self.table[word], first) if self.languages else np.zeros((hi - lo, 0))
             n = np.diff(at) + np.diff(first)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vellumine.llm.scratch import sample_bound, ship
 from vellumine.llm.textnum import LOWER, U, hashes, mix, texts, words
 
-SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1500, 20_000, 4, 0.7
+SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1000, 20_000, 4, 0.7
 #: Table entries; subsequences share one where their hashes do.
 WIDTH, SLOTS = 24, 1 << 20
 LANDMARKS, COST, LOWEST, AT = 96, 10.0, -4.0, 0.3
@@ -177,30 +177,36 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     y = np.array([int(label) for _, label in sample])
     if len(y) == 0 or y.min() == y.max():
         return nobody()
-    rows, of, known = [], [], {}
-    for d, (text, _) in enumerate(sample):
+    # few objects: the driver trains, beside its JVM
+    mine = []
+    for text, _ in sample:
         raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        if not len(raw):
-            continue
-        starts, ends, first = words(raw, np.array([0, len(raw)]))
-        own, _ = codes(raw, starts, ends)
-        more, _ = apart(raw, starts, ends, first)
-        for row in np.unique(np.concatenate([own, more]), axis=0) if len(own) else ():
-            of.append((d, known.setdefault(row.tobytes(), len(known))))
-    if not known:
+        own = np.zeros((0, WIDTH), np.uint8)
+        if len(raw):
+            starts, ends, first = words(raw, np.array([0, len(raw)]))
+            own = np.concatenate([codes(raw, starts, ends)[0], apart(raw, starts, ends, first)[0]])
+        mine.append(np.unique(own.view(f"S{WIDTH}").ravel()))
+    doc = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+    known, unit = np.unique(np.concatenate(mine), return_inverse=True)
+    del mine
+    if not len(known):
         return nobody()
-    rows = np.frombuffer(b"".join(known), np.uint8).reshape(-1, WIDTH)
-    doc, unit = np.array(of).T
+    rows, unit = np.frombuffer(known.tobytes(), np.uint8).reshape(-1, WIDTH), unit.astype(np.int32)
     # how much more often toxic texts hold a run of letters starts the choice of units
     value, lent = np.full(len(rows), -9.0), np.zeros(len(rows), bool)
     edges = np.searchsorted(doc, np.arange(len(sample) + 1))
     for n in RUNS:
-        runs = np.stack([mix(rows[:, i : i + n].astype(U) @ (U(64) ** np.arange(n, dtype=U))) % U(SLOTS) for i in range(WIDTH - n + 1)], axis=1).astype(np.int64)
+        runs = np.empty((len(rows), WIDTH - n + 1), np.int32)
+        for i in range(WIDTH - n + 1):
+            h = np.zeros(len(rows), U)
+            for j in range(i, i + n):
+                h = h * U(64) + rows[:, j]
+            runs[:, i] = mix(h) % U(SLOTS)
         runs[rows[:, n - 1 :] == 0] = 0
-        counts = np.zeros((2, SLOTS), np.int64)
+        counts = np.zeros((2, SLOTS), np.int32)
         for d in range(len(sample)):
             counts[y[d], np.unique(runs[unit[edges[d] : edges[d + 1]]])] += 1
-        odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
+        odds = (np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))).astype(np.float32)
         odds[0] = -9
         value = np.maximum(value, odds[runs].max(axis=1))
         lent |= ((counts[1][runs] >= SUPPORT) & (odds[runs] >= ODDS)).any(axis=1)
@@ -244,17 +250,17 @@ class _dense:
     def __init__(self, rows: np.ndarray):
         index, weight = features(rows)
         self.seen = np.unique(index[index > 0])
-        self.column = np.full(SLOTS, len(self.seen), np.int64)
+        self.column = np.full(SLOTS, len(self.seen), np.int32)
         self.column[self.seen] = np.arange(len(self.seen))
         self.of = self.spread(index, weight)
 
     def spread(self, index, weight):
-        out = np.zeros((len(index), len(self.seen) + 1))
+        out = np.zeros((len(index), len(self.seen) + 1), np.float32)
         np.add.at(out, (np.arange(len(index))[:, None], self.column[index]), weight)
         return out[:, :-1]
 
     def between(self, rows):
-        return np.concatenate([self.spread(*features(rows[i : i + 1024])) @ self.of.T for i in range(0, len(rows), 1024)])
+        return np.concatenate([self.spread(*features(rows[i : i + 512])) @ self.of.T for i in range(0, len(rows), 512)])
 
     def table(self, alpha):
         out = np.zeros(SLOTS, np.float32)

@@ -32,6 +32,8 @@ from vellumine.llm.scratch import Scratch
 from vellumine.llm.textnum import LOWER, U, hashes, mix, shingles, texts, words
 
 SIZE, SMALL, RISK = 96, 16, 1e-4
+#: Levels of a tree at least; more where there are over 8 * 20 ** LEVELS sets, as unlike sets agree on a token in one case of 20 at most.
+LEVELS = 4
 #: Sketches of a pair at 0.8 differ in 6.4 of 64 bits on average, in more than this with probability 1e-4.
 SKETCH = 16
 #: Ids up to this many are sent to all executors to pick out texts; more are joined by a shuffle.
@@ -216,20 +218,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     signed = scratch.write(own.mapInArrow(sign(k), "id long, n long, f1 long, f2 long, sig binary, sketch long"), "signed")
     reps = scratch.write(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")), "reps")
     count, like = max(2, reps.count()), percent / 100
-    depth = max(2, math.ceil(math.log(count / 8) / math.log(20))) if count > 8 else 1
+    depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees = max(1, math.ceil(math.log(RISK) / math.log(missed(depth, like))))
     state = {"moved": None, "tested": None, "large": None, "step": 0}
     shape = "node long, rep long, sketch long"
 
+    def in_component(nodes: DataFrame) -> DataFrame:
+        if state["moved"] is None:
+            return nodes.withColumn("comp", F.col("rep"))
+        return nodes.join(state["moved"], "rep", "left").select("node", "rep", *(c for c in nodes.columns if c not in ("node", "rep")), F.coalesce("comp", "rep").alias("comp"))
+
     def labelled(nodes: DataFrame) -> DataFrame:
-        """With each document's component so far; only nodes that hold more than one."""
-        if state["moved"] is not None:
-            nodes = nodes.join(state["moved"], "rep", "left").select("node", "rep", "sketch", F.coalesce("comp", "rep").alias("comp"))
+        """With each document's component so far; only nodes that hold more than one. Both shuffles of the nodes carry three or five numbers a row."""
+        turn = F.xxhash64("rep", "node")
+        if state["moved"] is None:
+            held = nodes.groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre")).where("held > 1")
         else:
-            nodes = nodes.withColumn("comp", F.col("rep"))
-        nodes = nodes.withColumn("turn", F.xxhash64("rep", "node"))
-        held = nodes.groupBy("node").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("turn").alias("centre"))
-        return nodes.join(held.where("c0 <> c1").select("node", "held", "centre"), "node")
+            held = in_component(nodes.select("node", "rep")).groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        return in_component(nodes.join(held.select("node", "held", "centre"), "node")).withColumn("turn", turn)
 
     def pairs_of(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
         a, b = (x.select("node", *(F.col(c).alias(f"{c}{s}") for c in ("rep", "sketch", "comp"))) for x, s in ((a, 1), (b, 2)))

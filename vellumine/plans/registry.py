@@ -1,6 +1,93 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from vellumine.functions.text import json_value
+from vellumine.operators import explore as x
+from vellumine.sources.tables import catalog, table
+
+TERMS = ["that", "heren", "the"]
+
+_CATALOG = """(select 'document' as kind, cast(doc_id as varchar) as item_id, text as body from documents
+ union all select 'page', cast(page_id as varchar), regexp_replace(html, '<[^>]*>', ' ', 'g') from pages
+ union all select 'turn', conv_id || ':' || turn, text from conversations)"""
+_WORDS = rf"(select kind, item_id, regexp_extract_all(lower(body), '\p{{L}}+') as w from {_CATALOG})"
+_EVIDENCE = "(select d.doc_id, i.item_id, instr(d.text, i.text) as pos, length(i.text) as len from documents d join benchmark i on contains(d.text, i.text))"
+_LIST = "['that', 'heren', 'the']"
+
+
+def _vectors(spark, d):
+    vecs = table(spark, d, "embeddings")
+    return x.neighbours(vecs, vecs.where("vec_id % 50 = 0"), 10)
+
+
+def _evidence(spark, d):
+    return x.evidence(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def _hops(spark, d):
+    """Customers of a nation, their orders, the orders' parts."""
+    orders = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    parts = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    start = table(spark, d, "customer").where("c_nationkey = 7").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    return x.hops(orders.unionByName(parts), start, 2)
+
+
+QUERIES = {
+    "search_evidence": lambda s, d: x.search(catalog(s, d), TERMS, 5),
+    "catalog": lambda s, d: catalog(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars")),
+    "word_counts": lambda s, d: x.word_counts(catalog(s, d)),
+    "filter_items": lambda s, d: x.filter_items(table(s, d, "documents"), lang=["de", "fr"], source="src3").select("doc_id", "lang", "source"),
+    "facets": lambda s, d: x.facets(table(s, d, "documents"), "lang", "source"),
+    "bm25": lambda s, d: x.bm25(catalog(s, d).where("kind = 'document'"), TERMS, 20),
+    "neighbours": _vectors,
+    "evidence": _evidence,
+    "grounded": lambda s, d: x.grounded(table(s, d, "labels"), _evidence(s, d)),
+    "ungrounded": lambda s, d: x.ungrounded(table(s, d, "labels"), _evidence(s, d)),
+    "links": lambda s, d: x.links(catalog(s, d).where("kind = 'document'"), catalog(s, d).where("kind = 'page'"), 3),
+    "hops": _hops,
+    "copies": lambda s, d: x.copies(table(s, d, "documents")),
+    "activity": lambda s, d: x.activity(table(s, d, "events")),
+    "activity_sliding": lambda s, d: x.activity(table(s, d, "events"), "2 days", "1 day"),
+    "sessions": lambda s, d: x.sessions(table(s, d, "events")),
+    "json_property": lambda s, d: table(s, d, "events").groupBy(json_value(F.col("props"), "$.k").cast("long").alias("k")).agg(F.count("*").alias("n")),
+    "thread": lambda s, d: x.thread(table(s, d, "conversations")),
+}
+
+ORACLE_SQL = {
+    "search_evidence": f"""with w as (select kind, item_id, w, list_filter(w, lambda t: list_contains({_LIST}, t)) as h from {_WORDS}),
+ f as (select kind, item_id, w, len(h) as hits, len(list_distinct(h)) as terms, list_min(list_transform({_LIST}, lambda t: nullif(coalesce(list_position(w, t), 0), 0))) as tok_pos from w where len(h) > 0),
+ r as (select *, row_number() over (partition by kind order by terms desc, hits desc, item_id) as rank from f)
+ select kind, item_id, cast(hits as bigint) as hits, cast(terms as bigint) as terms, cast(tok_pos as bigint) as tok_pos,
+ array_to_string(w[greatest(tok_pos - 2, 1):greatest(tok_pos - 2, 1) + 4], ' ') as snippet, rank from r where rank <= 5""",
+    "catalog": f"select kind, count(*) as n, cast(sum(length(body)) as bigint) as chars from {_CATALOG} group by kind",
+    "word_counts": f"select w, count(*) as n, count(distinct kind || ' ' || item_id) as df from (select kind, item_id, unnest(w) as w from {_WORDS}) group by w",
+    "filter_items": "select doc_id, lang, source from documents where lang in ('de', 'fr') and source = 'src3'",
+    "facets": "select lang, source, count(*) as n from documents group by cube (lang, source)",
+    "bm25": f"""with e as (select item_id, len(w) as len, {', '.join(f"len(list_filter(w, lambda t: t = '{t}')) as tf{i}" for i, t in enumerate(TERMS))} from {_WORDS} where kind = 'document'),
+ s as (select count(*) as n, avg(len) as mean, {', '.join(f'count(*) filter (where tf{i} > 0) as df{i}' for i in range(3))} from e)
+ select 'document' as kind, item_id, round({' + '.join(f'ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))' for i in range(3))}, 6) as score
+ from e, s where tf0 + tf1 + tf2 > 0 order by score desc, item_id limit 20""",
+    "neighbours": """with s as (select q.vec_id as q_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as sim
+ from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id), r as (select *, row_number() over (partition by q_id order by sim desc, vec_id) as rank from s) select * from r where rank <= 10""",
+    "evidence": f"select * from {_EVIDENCE}",
+    "grounded": f"select * from labels where doc_id in (select doc_id from {_EVIDENCE})",
+    "ungrounded": f"select * from labels where doc_id not in (select doc_id from {_EVIDENCE})",
+    "links": f"""with a as (select kind, item_id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{4,}}')) as s from {_CATALOG} where kind <> 'turn'),
+ x as (select item_id as src_id, len(s) as sn, unnest(s) as w from a where kind = 'document'), y as (select item_id as dst_id, len(s) as dn, unnest(s) as w from a where kind = 'page'),
+ rare as (select w from y group by w having count(*) <= greatest(5, cast(floor(0.02 * (select count(*) from pages)) as bigint))),
+ b as (select src_id, dst_id, sn, dn, count(*) as shared from x join y using (w) join rare using (w) group by all),
+ g as (select src_id, dst_id, shared, round(shared / (sn + dn - shared), 6) as weight from b), r as (select *, row_number() over (partition by src_id order by weight desc, dst_id) as rank from g) select * from r where rank <= 3""",
+    "hops": """with c as (select c_custkey from customer where c_nationkey = 7), o as (select o_orderkey from orders where o_custkey in (select c_custkey from c))
+ select 'c' || c_custkey as id, cast(0 as bigint) as hop from c union all select 'o' || o_orderkey, 1 from o
+ union all select distinct 'p' || l_partkey, 2 from lineitem where l_orderkey in (select o_orderkey from o)""",
+    "copies": "select min(doc_id) as first_id, count(*) as size from documents group by text having count(*) > 1",
+    "activity": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
+    "activity_sliding": "select d::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from (select unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as d, event_type, value from events) group by all",
+    "sessions": """with l as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+ s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as nth from l) select user_id, min(ts) as start, count(*) as n from s group by user_id, nth""",
+    "json_property": "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1",
+    "thread": "select conv_id, turn, role, lag(role) over w as before, row_number() over w as place from conversations window w as (partition by conv_id order by turn)",
+}

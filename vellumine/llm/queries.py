@@ -72,4 +72,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, language_id_pages)}
-ORACLE_SQL: dict[str, str] = {}
+_B32 = " || ".join(f"substr('{warc.BASE32}', cast((v[{i + 1}] >> {shift}) & 31 as int) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages),
+ x as (select page_id, html, max(page_id) over (partition by html) as top, list_transform(range(8), lambda i: cast('0x' || substr(d, 5 * i + 1, 5) as bigint)) as v from p)
+ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_B32} as payload_digest,
+ case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id = top then null else top end as refers_to from x""",
+    "op5_near_dedup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else cast([] as varchar[]) end as s from w),
+ n as (select doc_id, len(s) as n, s from s), e as (select doc_id, n, unnest(s) as x from n),
+ l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ g as (select a, b from l union all select b, a from l),
+ r(v, m) as (select doc_id, doc_id from n union select g.b, r.m from r join g on r.v = g.a where r.m < g.b)
+ select doc_id, cast(n as bigint) as n_shingles, c as component_id, c = doc_id as kept from n join (select v, min(m) as c from r group by v) on v = doc_id""",
+}

@@ -1,0 +1,82 @@
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from vellumine.operators import explore
+from vellumine.plans import registry
+from vellumine.sources import tables
+from vellumine.streaming import activity
+
+SMALL = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+
+
+def rows(df):
+    df = df[sorted(df.columns)]
+    tell = lambda v: "" if pd.isna(v) else repr(round(v, 5)) if isinstance(v, float) else str(v)
+    return sorted(tuple(map(tell, r)) for r in df.itertuples(index=False))
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SMALL):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{SMALL}/{f}'")
+    got, want = registry.QUERIES[name](spark, SMALL).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+@needs_data
+def test_entry_has_evidence(spark):
+    found = entry.entry(spark).collect()
+    assert len(found) == 15
+    assert all(set(r["snippet"].split()) & set(registry.TERMS) for r in found)
+
+
+def test_nulls_and_empty_bodies(spark):
+    items = spark.createDataFrame([("a", "1", None), ("a", "2", ""), ("a", "3", "The end")], "kind string, item_id string, body string")
+    assert [r["item_id"] for r in explore.search(items, ["the"], 5).collect()] == ["3"]
+    assert explore.tokens(items).count() == 2
+    assert explore.search(items.limit(0), ["the"], 5).count() == 0
+    assert explore.bm25(items.limit(0), ["the"], 5).count() == 0
+
+
+def test_hops_in_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    got = explore.hops(edges, spark.createDataFrame([("a",)], "id string"), 5).collect()
+    assert {(r["id"], r["hop"]) for r in got} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+
+
+def test_stream_with_late_rows(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    make = lambda i, t: spark.sql(f"select {i}L event_id, timestamp_ntz'{t}' ts, 1L user_id, 'view' event_type, 1.0D value, '{{}}' props")
+    src = str(tmp_path / "in")
+    for i, t in enumerate(("2024-01-01 01:00:00", "2024-01-05 00:00:00", "2024-01-01 02:00:00")):
+        tables.write(make(i, t).coalesce(1), src, mode="append")
+    stream = activity.events_stream(spark, src, schema)
+    q = activity.activity_stream(stream).writeStream.outputMode("append").format("memory").queryName("act").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("select sum(n) n from act").first()["n"] >= 1
+    assert spark.sql("select * from act").where(F.col("start") >= "2024-01-05").count() == 0
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
+    for form in ("parquet", "orc", "json", "csv"):
+        path = str(tmp_path / form)
+        tables.write(df, path, form)
+        assert sorted(tables.read(spark, path, form, df.schema).collect(), key=str) == sorted(df.collect(), key=str)
+    with pytest.raises(ValueError):
+        tables.read(spark, str(tmp_path / "csv"), "csv")
+
+
+def test_neighbours_of_zero_vector(spark):
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = {(r["q_id"], r["vec_id"]): r["sim"] for r in explore.neighbours(vecs, vecs.where("vec_id = 0"), 2).collect()}
+    assert got[(0, 2)] == pytest.approx(0.707107) and got[(0, 1)] is None

@@ -38,6 +38,8 @@ LEVELS = 4
 SKETCH = 16
 #: Ids up to this many are sent to all executors to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
+BROADCAST_NODES = 400_000
 #: Levels that one more branching adds, and how often.
 DEEPER, AGAIN = 3, 1
 #: Texts of a block, on average, and distinct shingles of two blocks that are counted at once.
@@ -220,7 +222,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     count, like = max(2, reps.count()), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees = max(1, math.ceil(math.log(RISK) / math.log(missed(depth, like))))
-    state = {"moved": None, "tested": None, "large": None, "step": 0}
+    state = {"moved": None, "tested": None, "large": None, "step": 0, "held": 0}
     shape = "node long, rep long, sketch long"
 
     def in_component(nodes: DataFrame) -> DataFrame:
@@ -235,7 +237,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             held = nodes.groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre")).where("held > 1")
         else:
             held = in_component(nodes.select("node", "rep")).groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        return in_component(nodes.join(held.select("node", "held", "centre"), "node")).withColumn("turn", turn)
+        state["held"] += 1
+        held = scratch.write(held.select("node", "held", "centre"), f"held-{state['held']}")
+        if held.count() <= BROADCAST_NODES:  # then the nodes need not move again
+            held = F.broadcast(held)
+        return in_component(nodes.join(held, "node")).withColumn("turn", turn)
 
     def pairs_of(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
         a, b = (x.select("node", *(F.col(c).alias(f"{c}{s}") for c in ("rep", "sketch", "comp"))) for x, s in ((a, 1), (b, 2)))

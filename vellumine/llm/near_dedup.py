@@ -40,6 +40,8 @@ SKETCH = 16
 BROADCAST_IDS = 500_000
 #: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
 BROADCAST_NODES = 400_000
+#: Trees whose nodes are shuffled together: what lies on disk at once.
+AT_ONCE = 4
 #: Levels that one more branching adds, and how often.
 DEEPER, AGAIN = 3, 1
 #: Texts of a block, on average, and distinct shingles of two blocks that are counted at once.
@@ -219,6 +221,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.write(own.mapInArrow(sign(k), "id long, n long, f1 long, f2 long, sig binary, sketch long"), "signed")
     reps = scratch.write(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")), "reps")
+    signed = scratch.write(signed.select("id", "n", "f1", "f2"), "fingerprints")  # tokens are kept once, in reps
+    scratch.drop("signed")
     count, like = max(2, reps.count()), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees = max(1, math.ceil(math.log(RISK) / math.log(missed(depth, like))))
@@ -308,11 +312,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         settle(pairs_of(small, small, True).union(pairs_of(large.where("turn = centre"), large, False)))
         return large.select("node", "rep", "sketch")
 
-    few = min(2, trees)
-    for i, some in enumerate((range(few), range(few, trees))):
-        if len(some):
-            left = compare(reps.select("rep", "sig", "sketch").mapInArrow(branch(depth, some), shape), f"nodes-{i}")
-            state["large"] = left if state["large"] is None else state["large"].union(left)
+    for i, start in enumerate(range(0, trees, AT_ONCE)):
+        some = range(start, min(start + AT_ONCE, trees))
+        left = compare(reps.select("rep", "sig", "sketch").mapInArrow(branch(depth, some), shape), f"nodes-{i}")
+        state["large"] = left if state["large"] is None else state["large"].union(left)
     rest = state["large"]
     for i in range(AGAIN):
         rest = scratch.write(labelled(rest).select("node", "rep", "sketch"), f"rest-{i}")

@@ -305,16 +305,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         first, second = held.where("out").select("main", F.col("rows").alias("xs")), held.select("main", F.col("rows").alias("ys"))
         merge(scratch.write(first.join(second, "main").select("xs", "ys").mapInArrow(confirm_blocks(k, percent), "x long, y long").distinct(), "block-links"))
 
-    def compare(nodes: DataFrame, name: str) -> DataFrame:
-        """Small nodes exhaustively, the others against a centre; returns what the large nodes hold."""
+    def compare(nodes: DataFrame, name: str, centres_first: bool = False) -> DataFrame:
+        """Small nodes exhaustively, the others against a centre; returns what the large nodes hold. Groups that centres link up first send fewer pairs of texts."""
         active = scratch.write(labelled(nodes), name)
         small, large = active.where(F.col("held") <= SMALL), active.where(F.col("held") > SMALL)
-        settle(pairs_of(small, small, True).union(pairs_of(large.where("turn = centre"), large, False)))
+        if centres_first:
+            settle(pairs_of(active.where("turn = centre"), active, False))
+            small = in_component(small.drop("comp"))
+            settle(pairs_of(small, small, True))
+        else:
+            settle(pairs_of(small, small, True).union(pairs_of(large.where("turn = centre"), large, False)))
         return large.select("node", "rep", "sketch")
 
     for i, start in enumerate(range(0, trees, AT_ONCE)):
         some = range(start, min(start + AT_ONCE, trees))
-        left = compare(reps.select("rep", "sig", "sketch").mapInArrow(branch(depth, some), shape), f"nodes-{i}")
+        left = compare(reps.select("rep", "sig", "sketch").mapInArrow(branch(depth, some), shape), f"nodes-{i}", centres_first=i == 0)
         state["large"] = left if state["large"] is None else state["large"].union(left)
     rest = state["large"]
     for i in range(AGAIN):

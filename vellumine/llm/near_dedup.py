@@ -36,7 +36,7 @@ SIZE, SMALL, RISK = 96, 16, 1e-4
 LEVELS = 4
 #: Sketches of a pair at 0.8 differ in 6.4 of 64 bits on average, in more than this with probability 1e-4.
 SKETCH = 16
-#: Ids up to this many are sent to all executors to pick out texts; more are joined by a shuffle.
+#: Tables of ids up to this many rows are sent to all executors to pick out texts or components; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
 BROADCAST_NODES = 400_000
@@ -215,6 +215,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast, where it has so few rows of a number or two."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable), kept (id is component_id)."""
     scratch = Scratch(spark, "neardup")
@@ -226,13 +231,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     count, like = max(2, reps.count()), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees = max(1, math.ceil(math.log(RISK) / math.log(missed(depth, like))))
-    state = {"moved": None, "tested": None, "large": None, "step": 0, "held": 0}
+    state = {"moved": None, "many": 0, "tested": None, "large": None, "step": 0, "held": 0}
     shape = "node long, rep long, sketch long"
 
     def in_component(nodes: DataFrame) -> DataFrame:
         if state["moved"] is None:
             return nodes.withColumn("comp", F.col("rep"))
-        return nodes.join(state["moved"], "rep", "left").select("node", "rep", *(c for c in nodes.columns if c not in ("node", "rep")), F.coalesce("comp", "rep").alias("comp"))
+        return nodes.join(few(state["moved"], state["many"]), "rep", "left").select("node", "rep", *(c for c in nodes.columns if c not in ("node", "rep")), F.coalesce("comp", "rep").alias("comp"))
 
     def labelled(nodes: DataFrame) -> DataFrame:
         """With each document's component so far; only nodes that hold more than one. Both shuffles of the nodes carry three or five numbers a row."""
@@ -263,15 +268,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if not (many := ids.count()):
             return
-        if many <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        found = scratch.write(own.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"texts-{step}")
+        found = scratch.write(own.join(few(ids, many), "id", "left_semi").dropDuplicates(["id"]), f"texts-{step}")
         both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
         links = scratch.write(both.mapInArrow(confirm(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), f"links-{step}")
         scratch.drop(f"texts-{step}")
         if state["moved"] is not None:
             for c in ("a", "b"):
-                links = links.join(state["moved"].select(F.col("rep").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
+                links = links.join(few(state["moved"].select(F.col("rep").alias(c), "comp"), state["many"]), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
         merge(links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y"))
 
     def merge(edges: DataFrame) -> None:
@@ -284,6 +287,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if state["moved"] is not None:
             fresh = fresh.union(state["moved"].join(merged.select(F.col("v").alias("comp"), "l"), "comp", "left").select("rep", F.coalesce("l", "comp")))
         state["moved"] = scratch.write(fresh, f"moved-{step}")
+        state["many"] = state["moved"].count()
 
     def in_blocks(rest: DataFrame) -> None:
         """Compare what is outside its node's main component with all of that component, and with what else is outside."""
@@ -299,7 +303,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         every = outside.withColumn("out", F.lit(True)).select("rep", "comp", "main", "out").union(inside.select("rep", F.col("main").alias("comp"), "main", F.lit(False)))
         blocks = every.join(every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
         ids = scratch.write(blocks.select(F.col("rep").alias("id")).distinct(), "block-ids")
-        found = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+        found = own.join(few(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"])
         item = F.struct(F.col("rep").alias("id"), "comp", "text")
         held = scratch.write(blocks.join(found, F.col("rep") == F.col("id")).groupBy("main", "block", "out").agg(F.collect_list(item).alias("rows")), "blocks")
         first, second = held.where("out").select("main", F.col("rows").alias("xs")), held.select("main", F.col("rows").alias("ys"))
@@ -335,17 +339,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rep = reps.select("f1", "f2", "rep")
     out = signed.select("id", "n", "f1", "f2").join(rep, ["f1", "f2"], "left")
     if state["moved"] is not None:
-        out = out.join(state["moved"], "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
+        out = out.join(few(state["moved"], state["many"]), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
     best = F.when(F.col("f1").isNull(), F.col("id")).otherwise(F.col("rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), best.alias("component_id"), F.coalesce(F.col("id") == best, F.lit(False)).alias("kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: the row with the smallest doc_id. Rows with a null doc_id stay."""
-    seen = near_duplicates(spark, docs, k=k, percent=percent)
-    ids = Scratch(spark, "dedup").write(seen.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "ids")
-    twice = ids.where("__n > 1").limit(1).count() > 0
-    left = docs.join(ids.select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
-    if twice:
-        left = left.dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where(F.col("doc_id").isNull()))
+    seen = near_duplicates(spark, docs, k=k, percent=percent).where("doc_id is not null")
+    ids = Scratch(spark, "dedup").write(seen.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.when(F.col("kept"), 1)).alias("__n")), "ids")
+    gone = ids.where("__n = 0").select("__id")  # fewer than the kept ones, so that texts are shuffled only where many go
+    left = docs.join(few(gone, gone.count()), docs["doc_id"] == F.col("__id"), "left_anti")
+    if not ids.where("__n > 1").limit(1).count():
+        return left
+    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))

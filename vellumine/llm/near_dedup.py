@@ -331,7 +331,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if not rest.limit(1).count():
             break
         of = rest.groupBy("rep").agg(F.collect_list("node").alias("at"))  # at most one node for each tree and choice
-        rest = compare(reps.join(of, "rep").select("rep", "sig", "sketch", "at").mapInArrow(branch(DEEPER, None), shape), f"deeper-{i}")
+        own_tokens = reps.join(few(of.select("rep"), rest.select("rep").distinct().count()), "rep", "left_semi").select("rep", "sig", "sketch")
+        deeper = scratch.write(own_tokens.join(of, "rep").select("rep", "sig", "sketch", "at"), f"tokens-{i}")  # read twice
+        rest = compare(deeper.mapInArrow(branch(DEEPER, None), shape), f"deeper-{i}")
     else:
         rest = scratch.write(labelled(rest), "rest")
         if rest.limit(1).count():

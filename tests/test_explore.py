@@ -80,3 +80,19 @@ def test_neighbours_of_zero_vector(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = {(r["q_id"], r["vec_id"]): r["sim"] for r in explore.neighbours(vecs, vecs.where("vec_id = 0"), 2).collect()}
     assert got[(0, 2)] == pytest.approx(0.707107) and got[(0, 1)] is None
+
+
+def test_links_count_common_words(spark, monkeypatch):
+    """Words that all pages hold count in the sets, the ranks and the weights; several blocks give what one gives."""
+    monkeypatch.setattr(explore, "BLOCK", 3)
+    common = " ".join(f"{a}{b}mmon" for a in "abcd" for b in "efg")
+    pages = [("page", f"p{i}", f"{common} {'rare' + 'abcdefghijkl'[i]} {' '.join('pad' + x for x in 'abcdefghijkl'[:i])}") for i in range(12)]
+    docs = [("document", "d0", common), ("document", "d1", f"{common} rareb padx pady"), ("document", "d2", "raree"), ("document", "d3", "of a"), ("document", "d4", None)]
+    items = spark.createDataFrame(docs + pages, "kind string, item_id string, body string")
+    got = explore.links(items.where("kind = 'document'"), items.where("kind = 'page'"), 3).collect()
+    words = lambda t: {w for w in (t or "").split() if len(w) >= 4}
+    want = set()
+    for _, d, x in docs:
+        both = [(-round(len(words(x) & words(y)) / len(words(x) | words(y)), 6), p, len(words(x) & words(y))) for _, p, y in pages if words(x) & words(y)]
+        want |= {(d, p, n, -w, r + 1) for r, (w, p, n) in enumerate(sorted(both)[:3])}
+    assert {(r["src_id"], r["dst_id"], r["shared"], r["weight"], r["rank"]) for r in got} == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from vellumine.functions.text import cosine, snippet, words
 
 #: A side is broadcast up to this many rows, counted first; beyond it Spark shuffles.
 FEW = 100_000
+#: Items of a block, on average, where all pairs are compared.
+BLOCK = 256
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -95,19 +99,58 @@ def ungrounded(items: DataFrame, ev: DataFrame, key: str = "doc_id") -> DataFram
     return items.join(ev.select(key), key, "left_anti")
 
 
-def links(a: DataFrame, b: DataFrame, k: int, common: float = 0.02) -> DataFrame:
-    """For each item of a, the k items of b with most words of four letters in common by Jaccard. Words in over `common` of the
-    items of b are no index keys, which bounds the join; they count in sizes like the rest."""
-    own = lambda df, s: df.select(F.col("item_id").alias(f"{s}_id"), F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit("[a-z]{4,}"), F.lit(0))).alias("set"))
-    left, right = own(a, "src"), own(b, "dst")
-    n = max(1, right.count())
-    x = left.select("src_id", F.size("set").alias("sn"), F.explode("set").alias("w"))
-    y = right.select("dst_id", F.size("set").alias("dn"), F.explode("set").alias("w"))
-    rare = y.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= max(5, int(common * n))).select("w")
-    both = x.join(y.join(rare, "w"), "w").groupBy("src_id", "dst_id", "sn", "dn").agg(F.count("*").alias("shared"))
+def _shared(k: int):
+    """Two blocks of (id, set): for each of the first, its k best of the second by rounded Jaccard, then id. Postings of the second block are
+    counted, so that all words count and no shared word becomes a row."""
+
+    def run(batches):
+        for b in batches:
+            out = {"src_id": [], "dst_id": [], "sn": [], "dn": [], "shared": []}
+            for xs, ys in zip(b.column(0), b.column(1), strict=True):
+                (x_id, x_sets), (y_id, y_sets) = ((s.values.field("id").to_pylist(), s.values.field("set")) for s in (xs, ys))
+                sn, dn = (np.asarray(s.value_lengths()).astype(np.int64) for s in (x_sets, y_sets))
+                x, y = (np.asarray(s.flatten()) for s in (x_sets, y_sets))
+                by_id = np.empty(len(y_id), np.int64)
+                by_id[sorted(range(len(y_id)), key=y_id.__getitem__)] = np.arange(len(y_id))
+                order = np.argsort(y, kind="stable")
+                keys, first, many = np.unique(y[order], return_index=True, return_counts=True)
+                holder = np.repeat(np.arange(len(y_id)), dn)[order]
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                hit = keys[at] == x
+                ends = np.cumsum(sn)
+                for i, (lo, hi) in enumerate(zip(ends - sn, ends, strict=True)):
+                    p = at[lo:hi][hit[lo:hi]]
+                    if not len(p):
+                        continue
+                    n = many[p]
+                    spots = np.repeat(first[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    shared = np.bincount(holder[spots], minlength=len(y_id))
+                    found = np.flatnonzero(shared)
+                    union = sn[i] + dn[found] - shared[found]
+                    weight = (shared[found] * 2_000_000 + union) // (2 * union)  # six digits, half up, as F.round
+                    for j in found[np.lexsort((by_id[found], -weight))[:k]]:
+                        for c, v in zip(out.values(), (x_id[i], y_id[j], sn[i], dn[j], shared[j]), strict=True):
+                            c.append(v)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    return run
+
+
+def links(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """For each item of a, the k items of b with most words of four letters in common by Jaccard over their whole sets of words, as hashes.
+    Items are compared in blocks of BLOCK by BLOCK; each pair of blocks keeps k for each item, so what is ranked stays small."""
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("body"), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.xxhash64(w)))
+        own = df.select(F.col("item_id").alias("id"), found.alias("set")).where(F.size("set") > 0)
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // BLOCK))))
+        return own.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "set")).alias(name)).select(name)
+
+    best = blocks(a, "xs").crossJoin(blocks(b, "ys")).mapInArrow(_shared(k), "src_id string, dst_id string, sn long, dn long, shared long")
     weight = F.round(F.col("shared") / (F.col("sn") + F.col("dn") - F.col("shared")), 6)
     rank = Window.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id")
-    return both.select("src_id", "dst_id", "shared", weight.alias("weight")).withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= k)
+    return best.select("src_id", "dst_id", "shared", weight.alias("weight")).withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= k)
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

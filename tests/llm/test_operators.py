@@ -199,6 +199,28 @@ def test_near_duplicates(spark, k):
     assert all(r["kept"] == (i == want[i][1]) for i, r in got.items())
 
 
+def lost_at_depth(trees, n, rng):
+    """How many of n pairs, at 0.8 on average, share no node in any tree once large nodes have branched on."""
+    x = rng.integers(0, 1 << 32, (n, near_dedup.SIZE)).astype(np.uint32)
+    y = np.where(rng.random(x.shape) < 0.8, x, rng.integers(0, 1 << 32, x.shape)).astype(np.uint32)
+    together, sig, doc = np.zeros(n, bool), np.concatenate([x, y]), np.arange(2 * n)
+    for tree in near_dedup.mix(np.arange(trees).astype(np.uint64) + np.uint64(77)):
+        at, node = near_dedup._children(sig, doc, np.full(2 * n, tree), near_dedup.LEVELS + near_dedup.AGAIN * near_dedup.DEEPER)
+        pair, node = at % n, node.astype(np.uint64)
+        one = np.unique(near_dedup.mix(node ^ near_dedup.mix(pair.astype(np.uint64)))[at < n])
+        other = near_dedup.mix(node ^ near_dedup.mix(pair.astype(np.uint64)))
+        together[pair[(at >= n) & np.isin(other, one)]] = True
+    return int((~together).sum())
+
+
+def test_pairs_in_large_nodes_meet():
+    trees, apart = near_dedup.plan(near_dedup.LEVELS, 0.8)
+    n, rng = 20_000, np.random.default_rng(3)
+    assert lost_at_depth(trees, n, rng) <= 8  # 2 at RISK
+    assert lost_at_depth(11, n, rng) > 20  # the trees of small nodes alone
+    assert (rng.binomial(64, 0.1, 1_000_000) > apart).mean() + near_dedup.trees_miss(trees, near_dedup.LEVELS + near_dedup.DEEPER, 0.8) <= 1.1 * near_dedup.RISK
+
+
 def test_blocks_link_what_pairs_link():
     rng = np.random.default_rng(2)
     base = prose(rng, 200).split()

@@ -8,7 +8,8 @@ is compared with one centre per node; as trees have other centres, a group links
 What is then still apart within a large node branches on, and in the end each such rest is compared with all members
 of the component that its node mainly holds, in blocks of BLOCK by BLOCK texts, so that no pair becomes a row.
 Pairs pass a 64-bit sketch first; every link is confirmed on the full shingle sets. Trees are repeated until a pair
-at the threshold is missed by all with probability RISK at most.
+at the threshold is missed by all, or by the sketch, with probability RISK at most, also if all the nodes that it shares are large
+and it must stay together for the further levels too. As all trees draw from the same tokens, that is averaged over how many of these a pair shares.
 
 Documents with equal sets count once (the smallest id stands for them), so copies never make pairs.
 
@@ -34,8 +35,8 @@ from vellumine.llm.textnum import LOWER, U, hashes, mix, shingles, texts, words
 SIZE, SMALL, RISK = 96, 16, 1e-4
 #: Levels of a tree at least; more where there are over 8 * 20 ** LEVELS sets, as unlike sets agree on a token in one case of 20 at most.
 LEVELS = 4
-#: Sketches of a pair at 0.8 differ in 6.4 of 64 bits on average, in more than this with probability 1e-4.
-SKETCH = 16
+#: The part of RISK that the sketch may take; the trees have the rest.
+SKETCH_PART = 0.15
 #: Tables of ids up to this many rows are sent to all executors to pick out texts or components; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
@@ -200,6 +201,25 @@ def missed(levels: int, like: float) -> float:
     return gone
 
 
+def binomial(n: int, p: float) -> list[float]:
+    return [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+
+
+def trees_miss(trees: int, levels: int, like: float) -> float:
+    """Probability that a pair this alike shares no node at this level in any of the trees, which all draw from the same SIZE tokens."""
+    return sum(p * missed(levels, shared / SIZE) ** trees for shared, p in enumerate(binomial(SIZE, like)))
+
+
+def plan(depth: int, like: float) -> tuple[int, int]:
+    """The trees, and the bits in which sketches may differ. Large nodes branch on, so pairs must be found AGAIN * DEEPER levels below depth."""
+    apart = binomial(64, (1 - like) / 2)  # each token that differs changes its bit in one case of two
+    bits = next(m for m in range(65) if sum(apart[m + 1 :]) <= SKETCH_PART * RISK)
+    trees, left = 1, RISK - sum(apart[bits + 1 :])
+    while trees_miss(trees, depth + AGAIN * DEEPER, like) > left:
+        trees += 1
+    return trees, bits
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(v, l): the smallest vertex that each vertex of edges (x, y) reaches. Minimum label of neighbours, then a jump to the label's label."""
     both = scratch.write(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
@@ -230,7 +250,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     scratch.drop("signed")
     count, like = max(2, reps.count()), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
-    trees = max(1, math.ceil(math.log(RISK) / math.log(missed(depth, like))))
+    trees, apart = plan(depth, like)
     state = {"moved": None, "many": 0, "tested": None, "large": None, "step": 0, "held": 0}
     shape = "node long, rep long, sketch long"
 
@@ -254,7 +274,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     def pairs_of(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
         a, b = (x.select("node", *(F.col(c).alias(f"{c}{s}") for c in ("rep", "sketch", "comp"))) for x, s in ((a, 1), (b, 2)))
-        meet = a.join(b, (a["node"] == b["node"]) & (F.col("comp1") != F.col("comp2")) & (F.col("rep1") < F.col("rep2") if once else F.lit(True)) & (F.bit_count(F.col("sketch1").bitwiseXOR(F.col("sketch2"))) <= SKETCH))
+        meet = a.join(b, (a["node"] == b["node"]) & (F.col("comp1") != F.col("comp2")) & (F.col("rep1") < F.col("rep2") if once else F.lit(True)) & (F.bit_count(F.col("sketch1").bitwiseXOR(F.col("sketch2"))) <= apart))
         return meet.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
 
     def settle(pairs: DataFrame) -> None:

@@ -134,6 +134,17 @@ def test_quality_divergence(spark):
     assert all(kept[i] for i, _ in clean) and not kept[99]
 
 
+def test_quality_rejects_short_and_long_tables(spark):
+    """A document of 20 to 49 words is judged by its classes alone, not by half their distance."""
+    rng = np.random.default_rng(6)
+    vocabulary = "the of and to in a house river stone bird winter letter garden".split()
+    clean = [(i, prose(rng, 120, vocabulary)) for i in range(40)]
+    short = [(90, prose(rng, 45, vocabulary + ["letters", "gardens", "winters"] * 9)), (91, " ".join(f"{w} |" for w in rng.choice(vocabulary[6:], 24)))]
+    got = {r["doc_id"]: r for r in quality.judge(spark, docs_of(spark, clean + short)).collect()}
+    assert all(got[i]["kept"] for i, _ in clean) and got[90]["kept"]
+    assert got[91]["n_words"] == 48 and not got[91]["base_failed"] and not got[91]["kept"]
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------
 
 

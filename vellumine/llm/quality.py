@@ -3,7 +3,7 @@
 A document's histogram of character classes and that of common words are compared with each language's reference by
 Jensen-Shannon distance (logarithms to base 2). References are the sums over all documents of a language that pass the base rules.
 The verdict rejects a document whose nearest reference is farther than FAR on the mean of both. Guards: a histogram of fewer than
-LEAST_WORDS words or LEAST_CHARS characters does not count against a document, nor does a language without a reference.
+LEAST_WORDS words or LEAST_CHARS characters is left out of the mean (0 where both are), as is a language without a reference.
 
 Cases: null and empty texts: all counts 0, base_failed. Repeated rows are judged each. A null or other language adds to no reference. Other columns are ignored.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.scratch import Scratch
 
-FAR, LEAST_WORDS, LEAST_CHARS, WINDOW = 0.26, 50, 200, 8
+FAR, LEAST_WORDS, LEAST_CHARS, WINDOW = 0.20, 50, 200, 8
 LANGUAGES = ("de", "en", "es", "fr")
 #: The commonest words of each language.
 COMMON = {
@@ -97,9 +97,10 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     # one row: the references of at most four languages
     whole = sums.agg(F.sort_array(F.collect_list(F.struct("lang", "of_classes", "of_common"))).alias("references"))
     df = facts.crossJoin(F.broadcast(whole))
-    by_class = lambda r: F.when(F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x) >= LEAST_CHARS, distance(F.col("classes"), r["of_classes"])).otherwise(0.0)
-    by_word = lambda r: F.when(F.col("n_words") >= LEAST_WORDS, distance(F.col("common"), r["of_common"])).otherwise(0.0)
-    far = F.array_min(F.transform("references", lambda r: (by_class(r) + by_word(r)) / 2))
+    by_class = lambda r: F.when(F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x) >= LEAST_CHARS, distance(F.col("classes"), r["of_classes"]))
+    by_word = lambda r: F.when(F.col("n_words") >= LEAST_WORDS, distance(F.col("common"), r["of_common"]))
+    mean = lambda d: F.coalesce((d["c"] + d["w"]) / 2, d["c"], d["w"], F.lit(0.0))
+    far = F.array_min(F.transform("references", lambda r: let(F.struct(by_class(r).alias("c"), by_word(r).alias("w")), mean)))
     df = df.withColumn("divergence", F.when(~F.col("base_failed"), far))
     kept = ~F.col("base_failed") & (F.coalesce("divergence", F.lit(0.0)) <= FAR)
     return df.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "divergence")

@@ -126,23 +126,58 @@ def test_quality_counts(spark):
     assert quality.judge(spark, docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_quality_divergence(spark):
-    rng = np.random.default_rng(5)
-    clean = [(i, prose(rng, 120, "the of and to in a house river stone bird winter letter garden".split())) for i in range(40)]
-    odd = [(99, " ".join(f"%%{i}$$##" for i in rng.integers(0, 10_000, 120)))]
-    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark, docs_of(spark, clean + odd)).collect()}
-    assert all(kept[i] for i, _ in clean) and not kept[99]
+ENGLISH = "the the the of of and to in a is that house river stone bird winter letter garden morning window letters gardens street market paper water autumn summer evening silver teacher".split()
 
 
-def test_quality_rejects_short_and_long_tables(spark):
-    """A document of 20 to 49 words is judged by its classes alone, not by half their distance."""
-    rng = np.random.default_rng(6)
-    vocabulary = "the of and to in a house river stone bird winter letter garden".split()
-    clean = [(i, prose(rng, 120, vocabulary)) for i in range(40)]
-    short = [(90, prose(rng, 45, vocabulary + ["letters", "gardens", "winters"] * 9)), (91, " ".join(f"{w} |" for w in rng.choice(vocabulary[6:], 24)))]
-    got = {r["doc_id"]: r for r in quality.judge(spark, docs_of(spark, clean + short)).collect()}
-    assert all(got[i]["kept"] for i, _ in clean) and got[90]["kept"]
-    assert got[91]["n_words"] == 48 and not got[91]["base_failed"] and not got[91]["kept"]
+def brute_distance(p, q):
+    """Jensen-Shannon distance from its definition."""
+    p, q = (np.array(x, float) / sum(x) for x in (p, q))
+    m = (p + q) / 2
+    kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    return np.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+
+def brute_divergence(text, lang):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, digit, upper, stop, symbol = len(text), *(len(re.findall(x, text)) for x in (r"[0-9]", r"[A-Z]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]"))
+    space, wide = n - sum(map(len, w)), min(len(text.encode()) - n, n)
+    classes = [space, digit, upper, stop, symbol, wide, max(0, n - space - digit - upper - stop - symbol - wide)]
+    common = [sum(x.lower() == c for x in w) for c in quality.WORDS]
+    common.append(len(w) - sum(common))
+    found = []
+    for one in quality.SHARES:
+        shares = list(quality.CLASS_SHARES[one])
+        words = [quality.SHARES[one].get(c, 0) + quality.STRAY for c in quality.WORDS]
+        if lang in quality.SHARES:
+            parts = ([brute_distance(classes, shares)] if n >= quality.LEAST_CHARS else []) + ([brute_distance(common, [*words, 1000 - sum(words)])] if len(w) >= quality.LEAST_WORDS else [])
+        else:
+            one_class = lambda c: [c[0], c[1], c[3], c[4], c[2] + c[5] + c[6]]
+            parts = [brute_distance(one_class(classes), one_class(shares))] if n >= quality.LEAST_CHARS else []
+        found.append(float(np.mean(parts)) if parts else 0.0)
+    return min(found)
+
+
+def test_quality_divergence(spark):
+    """Distance and verdict against the definition: known, other and no language, short texts, and the guards."""
+    rng = np.random.default_rng(5)
+    rows = [(i, prose(rng, int(n), ENGLISH).capitalize() + ".") for i, n in enumerate(rng.integers(20, 200, 40))]
+    odd = [(90, " ".join(f"%%{i}$$##" for i in rng.integers(0, 10_000, 120))), (91, " ".join(f"{w} |" for w in rng.choice(ENGLISH[8:], 24))), (92, "\u4f60 \u597d " * 60 + prose(rng, 100, ENGLISH))]
+    odd += [(93, odd[0][1]), (94, odd[0][1]), (95, rows[0][1] + " " + prose(rng, 90, ENGLISH)), (96, "a b c d e f g h i j k l m n o p q r s t u")]
+    langs = {93: "it", 94: None, 95: "it"}
+    docs = spark.createDataFrame([(i, t, langs.get(i, "en"), "s") for i, t in rows + odd], "doc_id long, text string, lang string, id string")
+    got = {r["doc_id"]: r for r in quality.judge(spark, docs).collect()}
+    for i, text in rows + odd:
+        if got[i]["base_failed"]:
+            assert got[i]["divergence"] is None and not got[i]["kept"]
+        else:
+            want = brute_divergence(text, langs.get(i, "en"))
+            assert got[i]["divergence"] == pytest.approx(want, abs=1e-9) and got[i]["kept"] == (want <= quality.FAR)
+    assert all(got[i]["kept"] for i, t in rows if len(t.split()) >= 100 and not got[i]["base_failed"])
+    assert not any(got[i]["kept"] for i in (90, 91, 93, 94)) and got[95]["kept"] and got[96]["divergence"] == 0
+    alone = {r["doc_id"]: r["divergence"] for r in quality.judge(spark, docs.where("doc_id = 90")).collect()}
+    assert alone[90] == got[90]["divergence"]  # junk in a table moves no reference
+    none = quality.judge(spark, docs, languages=()).collect()
+    assert all(r["divergence"] is None and r["kept"] == (not r["base_failed"]) for r in none)
 
 
 # --- toxicity ---------------------------------------------------------------------------------------------------

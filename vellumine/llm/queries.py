@@ -26,7 +26,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(spark, table(spark, sf_dir, "documents"))
+    return quality.judge(spark, table(spark, sf_dir, "documents")).withColumn("divergence", F.round("divergence", 6))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,46 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, language_id_pages)}
 _B32 = " || ".join(f"substr('{warc.BASE32}', cast((v[{i + 1}] >> {shift}) & 31 as int) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
 
+
+
+def _distance(p: str, q: list[float]) -> str:
+    """SQL of the Jensen-Shannon distance of a list of shares (all null: no distance) and fixed shares."""
+    shares = f"[{', '.join(repr(x / sum(q)) for x in q)}]"
+    part = lambda x: f"case when {x} > 0 then {x} * log2({x} / ((s[1] + s[2]) / 2)) else 0 end"
+    return f"case when list_sum({p}) > 0 then sqrt(greatest(list_sum(list_transform(list_zip({p}, {shares}), lambda s: {part('s[1]')} + {part('s[2]')})) / 2, 0)) end"
+
+
+def _quality_sql() -> str:
+    long, wide = quality.LEAST_WORDS, f"chars >= {quality.LEAST_CHARS}"
+    near, other = [], []
+    for shares, common, merged in quality.references():
+        c, w = f"case when {wide} then {_distance('classes', shares)} end", f"case when n_words >= {long} then {_distance('common', common)} end"
+        near.append(f"coalesce(({c} + {w}) / 2, {c}, {w}, 0)")
+        other.append(f"coalesce(case when {wide} then {_distance('letters', merged)} end, 0)")
+    following = ", ".join(f"lead(x, {i}) over o" for i in range(quality.WINDOW))
+    names, langs = (f"[{', '.join(repr(x) for x in y)}]" for y in (quality.WORDS, sorted(quality.SHARES)))
+    return rf"""with d as (select doc_id, lang, coalesce(text, '') as text from documents),
+ w as (select doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+  list_transform(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: strlen(x) <= {max(map(len, quality.WORDS))}), lambda x: lower(x)) as short from d),
+ u as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i, len(w) as n from w),
+ i as (select doc_id, i, n, concat_ws(' ', {following}) as g from u window o as (partition by doc_id order by i)),
+ r as (select doc_id, i, count(*) over (partition by doc_id, g) as n from i where i <= n - {quality.WINDOW - 1}),
+ v as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + {quality.WINDOW})) as p from r where n > 1) group by doc_id),
+ m as (select doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, length(text) as chars, strlen(text) as bytes, len(regexp_extract_all(text, '[0-9]')) as digit, len(regexp_extract_all(text, '[A-Z]')) as upper,
+  len(regexp_extract_all(text, '[.,;:!?''"()-]')) as stop, list_transform({names}, lambda k: len(list_filter(short, lambda x: x = k))) as each from w left join v using (doc_id)),
+ c as (select *, chars - word_chars as space, least(bytes - chars, chars) as wide, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, list_append(each, n_words - list_sum(each)) as common from m),
+ o as (select *, greatest(chars - space - digit - upper - stop - n_symbols - wide, 0) as other from c),
+ l as materialized (select *, [space, digit, upper, stop, n_symbols, wide, other] as c0, [space, digit, stop, n_symbols, upper + wide + other] as l0 from o),
+ s as materialized (select *, list_sum(c0) as nc, list_sum(common) as nw from l),
+ h as materialized (select * exclude (common), list_transform(c0, lambda x: x / nc) as classes, list_transform(l0, lambda x: x / nc) as letters, list_transform(common, lambda x: x / nw) as common from s),
+ f as (select *, case when base_failed then null when list_contains({langs}, lang) then least({', '.join(near)}) else least({', '.join(other)}) end as far from h)
+ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+ cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and coalesce(far, 0) <= {quality.FAR} as kept, round(far, 6) as divergence from f"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality": _quality_sql(),
     "op1_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages),
  x as (select page_id, html, max(page_id) over (partition by html) as top, list_transform(range(8), lambda i: cast('0x' || substr(d, 5 * i + 1, 5) as bigint)) as v from p)
  select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_B32} as payload_digest,

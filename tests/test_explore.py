@@ -1,15 +1,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vellumine.operators import explore
 from vellumine.plans import registry
 from vellumine.sources import tables
-from vellumine.streaming import activity
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -53,19 +52,6 @@ def test_hops_in_a_cycle(spark):
     assert {(r["id"], r["hop"]) for r in got} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
-def test_stream_with_late_rows(spark, tmp_path):
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    make = lambda i, t: spark.sql(f"select {i}L event_id, timestamp_ntz'{t}' ts, 1L user_id, 'view' event_type, 1.0D value, '{{}}' props")
-    src = str(tmp_path / "in")
-    for i, t in enumerate(("2024-01-01 01:00:00", "2024-01-05 00:00:00", "2024-01-01 02:00:00")):
-        tables.write(make(i, t).coalesce(1), src, mode="append")
-    stream = activity.events_stream(spark, src, schema)
-    q = activity.activity_stream(stream).writeStream.outputMode("append").format("memory").queryName("act").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.sql("select sum(n) n from act").first()["n"] >= 1
-    assert spark.sql("select * from act").where(F.col("start") >= "2024-01-05").count() == 0
-
-
 def test_sinks_and_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
     for form in ("parquet", "orc", "json", "csv"):
@@ -84,7 +70,8 @@ def test_neighbours_of_zero_vector(spark):
 
 def test_links_count_common_words(spark, monkeypatch):
     """Words that all pages hold count in the sets, the ranks and the weights; several blocks give what one gives."""
-    monkeypatch.setattr(explore, "BLOCK", 3)
+    monkeypatch.setattr(explore, "BLOCK", 2)
+    monkeypatch.setattr(explore, "WIDE", 3)
     common = " ".join(f"{a}{b}mmon" for a in "abcd" for b in "efg")
     pages = [("page", f"p{i}", f"{common} {'rare' + 'abcdefghijkl'[i]} {' '.join('pad' + x for x in 'abcdefghijkl'[:i])}") for i in range(12)]
     docs = [("document", "d0", common), ("document", "d1", f"{common} rareb padx pady"), ("document", "d2", "raree"), ("document", "d3", "of a"), ("document", "d4", None)]
@@ -96,3 +83,64 @@ def test_links_count_common_words(spark, monkeypatch):
         both = [(-round(len(words(x) & words(y)) / len(words(x) | words(y)), 6), p, len(words(x) & words(y))) for _, p, y in pages if words(x) & words(y)]
         want |= {(d, p, n, -w, r + 1) for r, (w, p, n) in enumerate(sorted(both)[:3])}
     assert {(r["src_id"], r["dst_id"], r["shared"], r["weight"], r["rank"]) for r in got} == want
+
+
+def test_words_of_awkward_items(spark):
+    items = spark.createDataFrame([("a", "1", "The the end"), ("a", "1", "the"), ("a", "2", None), ("a", "3", "")], "kind string, item_id string, body string")
+    assert {(r["w"], r["n"], r["df"]) for r in explore.word_counts(items).collect()} == {("the", 3, 2), ("end", 1, 1)}
+    assert explore.word_counts(items.limit(0)).count() == 0
+
+
+def test_evidence_for_passages_of_any_length(spark, monkeypatch):
+    """Against plain containment: one word, parts of words, three words, repeated passages, many short ones in blocks, nulls."""
+    docs = [(1, "on the mat the cat sat, twice the cat sat"), (2, "concatenate"), (3, None), (4, ""), (None, "the cat sat"), (5, "the  cat sat"), (1, "another text of id 1"), (6, "a\nb c\td e f g"), (7, "word " * 5000 + "the last four words here")]
+    passages = [(1, "the cat sat"), (2, "cat"), (3, "at sa"), (4, None), (5, ""), (6, "mat the cat sat, twi"), (7, "b c\td e"), (None, "cat"), (8, " cat sat"), (9, "other text of"), (10, "last four words here"), (11, "cat"), (12, "absent words are not here")]
+    monkeypatch.setattr(explore, "FEW", 2)
+    got = explore.evidence(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")).collect()
+    want = {(d, i, t.index(p) + 1, len(p)) for d, t in docs for i, p in passages if d is not None and i is not None and t and p and p in t}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_copies_without_text(spark):
+    docs = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x"), (5, "y")], "doc_id long, text string")
+    assert [tuple(r) for r in explore.copies(docs).collect()] == [(3, 2)]
+
+
+def test_hops_do_not_grow_the_plan(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [(None, "1"), ("1", None)], "src string, dst string")
+    found = explore.hops(edges, spark.createDataFrame([("0",), (None,)], "id string"), 15)
+    assert {(r["id"], r["hop"]) for r in found.collect()} == {(str(i), i) for i in range(16)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one = {tuple(r) for r in explore.neighbours(vecs, vecs.where("vec_id < 9"), 3).collect()}
+    monkeypatch.setattr(explore, "VECTORS", 2)
+    assert {tuple(r) for r in explore.neighbours(vecs, vecs.where("vec_id < 9"), 3).collect()} == one and len(one) == 27
+
+
+def recall(spark, vecs, queries, k, **how):
+    pair = lambda df: {(r["q_id"], r["vec_id"]) for r in df.select("q_id", "vec_id").collect()}
+    exact = pair(explore.neighbours(vecs, queries, k))
+    return len(exact & pair(explore.neighbours_approx(vecs, queries, k, **how))) / len(exact)
+
+
+@needs_data
+def test_recall_of_approximate_neighbours(spark):
+    vecs = tables.table(spark, "/root/testdata/sf0.1", "embeddings")
+    assert recall(spark, vecs, vecs.where("vec_id % 50 = 0"), 10) >= 0.9
+
+
+def test_approximate_neighbours_awkward(spark):
+    """A crowded cell, nulls, zeros, repeated rows, nothing at all; looking through all cells is exact."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.ones((200, 8)) + 0.01 * rng.normal(size=(200, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (7, x[7].tolist())]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    some = vecs.where("vec_id % 50 = 0 and vec_id < 500")
+    assert recall(spark, vecs.where("vec_id < 500"), some, 5, recall=1.0) >= 0.99
+    assert explore.neighbours_approx(vecs, some, 5).groupBy("q_id").count().where("count <> 5").count() == 0
+    assert explore.neighbours_approx(vecs.limit(0), vecs.limit(0), 5).count() == 0

@@ -1,18 +1,29 @@
-"""Exploring items: tokens, facets, search with evidence, relevance, neighbours, passages, links and hops."""
+"""Exploring items: tokens, facets, search with evidence, relevance, neighbours, passages, links and hops.
+
+Cases, unless an operator says otherwise: a null body or text has no words and is found by nothing. Empty tables give no rows. Repeated rows
+count, and are found, as often as they stand. Ties are broken by id in ascending order. Other columns are ignored.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import cosine, snippet, words
+from vellumine.plans.scratch import Scratch
 
 #: A side is broadcast up to this many rows, counted first; beyond it Spark shuffles.
 FEW = 100_000
-#: Items of a block, on average, where all pairs are compared.
-BLOCK = 256
+#: Vectors of a block of queries, which is broadcast.
+VECTORS = 20_000
+#: Items of a block, on average, of the queries and of what they are compared with.
+BLOCK, WIDE = 256, 2048
+#: Vectors that the cells of the approximate index are fit on at most, and rounds of fitting.
+SAMPLE, ROUNDS = 20_000, 12
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -25,9 +36,10 @@ def tokens(items: DataFrame) -> DataFrame:
 
 
 def word_counts(items: DataFrame) -> DataFrame:
-    """w, n, df: how often each word occurs, and in how many items. Counted per item first, which combines before the shuffle."""
-    each = tokens(items).groupBy("kind", "item_id", "w").agg(F.count("*").alias("n"))
-    return each.groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    """w, n, df: how often each word occurs, and in how many items. An item's words are told apart within its row, so one shuffle of partial sums is enough."""
+    one = lambda n, df: lambda w: F.struct(w.alias("w"), F.lit(n).alias("n"), F.lit(df).alias("df"))
+    each = items.select(words(F.col("body")).alias("ws")).select(F.inline(F.concat(F.transform("ws", one(1, 0)), F.transform(F.array_distinct("ws"), one(0, 1)))))
+    return each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def filter_items(df: DataFrame, **equal) -> DataFrame:
@@ -53,7 +65,7 @@ def search(items: DataFrame, terms: list[str], k: int) -> DataFrame:
 
 
 def bm25(items: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k most relevant items. Sizes and frequencies come from one pass that holds a row for each item."""
+    """The k most relevant items. Sizes and frequencies come from one pass over the texts, which is kept as a few numbers for each item."""
     w = words(F.col("body"))
     base = items.select("kind", "item_id", w.alias("w"))
 
@@ -61,6 +73,7 @@ def bm25(items: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
         return F.size(F.filter("w", lambda x: x == term)).cast("long")
 
     each = base.select("kind", "item_id", F.size("w").cast("long").alias("len"), *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    each = Scratch(items.sparkSession, "bm25").write(each, "each")
     stats = each.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
     df = each.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -70,25 +83,107 @@ def bm25(items: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
     return df.select("kind", "item_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "kind", "item_id").limit(k)
 
 
-def neighbours(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine: each task keeps its best of each query before the shuffle (rank limit)."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    sim = few(q).crossJoin(vecs.select("vec_id", "embedding")).where("q_id <> vec_id").select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
+def _ranked(sim: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")
     return sim.withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= k)
 
 
+def neighbours(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest vectors of each query by cosine, exactly: queries are broadcast in blocks of VECTORS on average, each of which reads the vectors once;
+    each task keeps its best of each query before the shuffle (rank limit). The cosine with a zero vector is null and ranks last."""
+    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    blocks = max(1, -(-q.count() // VECTORS))
+    other = vecs.select("vec_id", "embedding")
+    parts = [F.broadcast(q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)).join(other, F.col("q_id") != F.col("vec_id")) for i in range(blocks)]
+    return _ranked(reduce(DataFrame.unionAll, parts).select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim")), k)
+
+
+def cells_of(vecs: DataFrame, k: int = 10, recall: float = 0.95, cells: int | None = None) -> tuple[np.ndarray, int]:
+    """Centres of cells of the unit sphere, and how many cells a query must look through to find `recall` of its k nearest. Both are fit on at most SAMPLE vectors,
+    those with the least hashes of their ids: centres by rounds of k-means, the number by exact search of 500 of them among the sample. Zero and null vectors are no sample."""
+    turn = F.xxhash64("vec_id", F.lit(3))
+    rows = vecs.where("embedding is not null").orderBy(turn, "vec_id").limit(SAMPLE).select("embedding").collect()
+    x = np.array([r[0] for r in rows], np.float64) if rows else np.zeros((0, 1))
+    size = np.linalg.norm(x, axis=1)
+    x = x[size > 0] / size[size > 0, None]
+    n = min(len(x), cells or max(1, int(np.sqrt(len(x)) / 2)))
+    if not n:
+        return x, 0
+    centre = x[np.random.default_rng(1).choice(len(x), n, replace=False)]
+    for _ in range(ROUNDS):
+        own = (x @ centre.T).argmax(axis=1)
+        total = np.zeros_like(centre)
+        np.add.at(total, own, x)
+        size = np.linalg.norm(total, axis=1)
+        centre[size > 0] = total[size > 0] / size[size > 0, None]
+    own = (x @ centre.T).argmax(axis=1)
+    asked = x[:500]
+    sim = asked @ x.T
+    sim[np.arange(len(asked)), np.arange(len(asked))] = -9
+    top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
+    needed = np.sort(np.take_along_axis(place, own[top], axis=1).ravel())
+    return centre, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else n
+
+
+def _nearest_cells(centre: np.ndarray, most: int):
+    """vec_id, cells: those whose centres are nearest to the vector, at most so many."""
+
+    def run(batches):
+        for b in batches:
+            v = b.column(1)
+            x = np.array([r or [0.0] * centre.shape[1] for r in v.to_pylist()], np.float64).reshape(-1, centre.shape[1])
+            cells = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :most]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), v, pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64()))], ["vec_id", "embedding", "cells"])
+
+    return run
+
+
+def neighbours_approx(vecs: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, salts: int = 8) -> DataFrame:
+    """About the k nearest vectors of each query by cosine: every vector stands in the cell of its nearest centre, and a query looks through as many of the cells
+    nearest to it as a sample needed for `recall`, with exact cosines. Vectors without clusters need most cells. No cell is capped; a crowded one is dealt to `salts` tasks, to all of which its queries go. Null vectors are left out; a
+    zero vector stands in the first cell. If there are no vectors to fit cells on, no rows."""
+    centre, probed = cells_of(vecs, k, recall)
+    spark = vecs.sparkSession
+    scratch = Scratch(spark, "cells")
+    if not len(centre):
+        return _ranked(queries.limit(0).select(F.col("vec_id").alias("q_id"), "vec_id", F.lit(0.0).alias("sim")), k)
+    shape = "vec_id long, embedding array<float>, cells array<long>"
+    held = lambda df, most: df.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_nearest_cells(centre, most), shape)
+    index = held(vecs, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt"))
+    probes = held(queries, probed).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+    probes = scratch.write(probes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "probes")
+    sim = index.join(probes, ["cell", "salt"]).where("q_id <> vec_id").select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
+    return _ranked(sim, k)
+
+
 def evidence(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, item_id, pos, len of each passage found whole in a document, at its first place.
+    """doc_id, item_id, pos, len of each passage found whole in a document, at its first place, in characters of the text as it stands.
 
-    Passages of four words or more are joined by their second and third, as a hash join, and then compared; shorter ones have no evidence.
+    A passage's first and last word may be parts of a text's words, those between are whole. So passages of four words or more meet texts
+    by the hash of their second and third word, and those of three by their second; both join hashes with ids alone, and texts are fetched for what met.
+    Passages of one or two words hold no whole word to join by: each is looked for in every text, a pass for each block of FEW of them.
+    Null and empty passages are found nowhere, and rows without an id are not reported.
     """
-    key = lambda x: F.xxhash64(x)
-    p = passages.select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w")).where(F.size("w") >= 4).select("item_id", "passage", key(F.slice("w", 2, 2)).alias("h"))
-    w = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 2)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: key(F.slice("w", i, 2))))
-    found = w.select("doc_id", "text", F.explode(keys).alias("h")).join(few(p), "h").where(F.contains("text", "passage"))
-    return found.select("doc_id", "item_id", F.instr("text", F.col("passage")).cast("long").alias("pos"), F.length("passage").cast("long").alias("len")).distinct()
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "evidence")
+    split = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    p = passages.where("length(text) > 0 and item_id is not null").select("item_id", F.col("text").alias("passage"), split.alias("w"))
+    key = F.when(F.size("w") >= 4, F.xxhash64(F.lit(2), F.get("w", F.lit(1)), F.get("w", F.lit(2)))).when(F.size("w") == 3, F.xxhash64(F.lit(1), F.get("w", F.lit(1))))
+    p = scratch.write(p.select("item_id", "passage", key.alias("h")), "passages")
+    slim = p.where("h is not null").select("item_id", "h")
+    own = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.lit(2), F.get("w", i), F.get("w", i + 1)))
+    single = F.transform("w", lambda w: F.xxhash64(F.lit(1), w))
+    keys = F.array_distinct(F.concat(single, F.when(F.size("w") >= 2, pair).otherwise(F.array().cast("array<bigint>"))))
+    met = scratch.write(own.select("doc_id", split.alias("w")).select("doc_id", F.explode(keys).alias("h")).join(few(slim), "h").select("doc_id", "item_id").distinct(), "met")
+    found = own.join(few(met), "doc_id").join(few(p.where("h is not null").select("item_id", "passage")), "item_id").where(F.contains("text", "passage"))
+    short = p.where("h is null").select("item_id", "passage")
+    blocks = -(-short.count() // FEW)
+    parts = [own.join(F.broadcast(short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)), F.contains("text", "passage")) for i in range(blocks)]
+    cols = ("doc_id", "item_id", "text", "passage")
+    every = reduce(DataFrame.unionAll, [x.select(*cols) for x in (found, *parts)])
+    return every.select("doc_id", "item_id", F.instr("text", F.col("passage")).cast("long").alias("pos"), F.length("passage").cast("long").alias("len")).distinct()
 
 
 def grounded(items: DataFrame, ev: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -137,35 +232,47 @@ def _shared(k: int):
     return run
 
 
-def links(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """For each item of a, the k items of b with most words of four letters in common by Jaccard over their whole sets of words, as hashes.
-    Items are compared in blocks of BLOCK by BLOCK; each pair of blocks keeps k for each item, so what is ranked stays small."""
+def links(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """For each of the queries, the k items with most words of four letters (a to z) in common, by Jaccard over their whole sets of words, as hashes. Exact: no word is left out.
+
+    A query's best items share few words with it (a Jaccard of 0.08 in the test tables), where no prefix of rare words would find them, so each
+    query meets every item: queries in blocks of BLOCK are sent to each block of WIDE items, which counts shared words through its postings and keeps k for each query.
+    """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
+    def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("body"), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.xxhash64(w)))
+        n = max(1, -(-df.count() // size))
         own = df.select(F.col("item_id").alias("id"), found.alias("set")).where(F.size("set") > 0)
-        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // BLOCK))))
-        return own.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "set")).alias(name)).select(name)
+        return own.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "set")).alias("rows")), n
 
-    best = blocks(a, "xs").crossJoin(blocks(b, "ys")).mapInArrow(_shared(k), "src_id string, dst_id string, sn long, dn long, shared long")
+    (left, _), (right, n) = blocks(queries, BLOCK), blocks(items, WIDE)
+    sent = left.select(F.col("rows").alias("xs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    both = sent.join(right.select("block", F.col("rows").alias("ys")), "block").select("xs", "ys")
+    best = both.mapInArrow(_shared(k), "src_id string, dst_id string, sn long, dn long, shared long")
     weight = F.round(F.col("shared") / (F.col("sn") + F.col("dn") - F.col("shared")), 6)
     rank = Window.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id")
     return best.select("src_id", "dst_id", "shared", weight.alias("weight")).withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= k)
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """id, hop: what is reached in at most depth steps, each at its least. edges: src, dst; start: id. A join for each step, of new ids alone."""
-    seen = start.select("id", F.lit(0).cast("long").alias("hop")).distinct()
-    front = seen
+    """id, hop: what is reached in at most depth steps, each at its least. edges: src, dst; start: id. A join for each step, of the last step's new ids alone;
+    each step is kept, so the plan does not grow with depth. Edges with a null end lead nowhere; a null start is dropped."""
+    scratch = Scratch(edges.sparkSession, "hops")
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    front = scratch.write(start.where("id is not null").select("id", F.lit(0).cast("long").alias("hop")).distinct(), "0")
+    seen = front
     for i in range(1, depth + 1):
-        front = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), F.lit(i).cast("long").alias("hop")).distinct().join(seen.select("id"), "id", "left_anti")
+        near = edges.join(few(front.select(F.col("id").alias("src"))), "src").select(F.col("dst").alias("id")).distinct()
+        front = scratch.write(near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(i).cast("long")), str(i))
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """first_id and size of each group of equal texts."""
-    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")).where("size > 1").select("first_id", "size")
+    """first_id and size of each group of equal texts. Null texts are copies of nothing."""
+    return docs.where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")).where("size > 1").select("first_id", "size")
 
 
 def activity(events: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import json_value
 from vellumine.operators import explore as x
+from vellumine.operators import relational as r
+from vellumine.plans.scratch import Scratch
 from vellumine.sources.tables import catalog, table
+from vellumine.streaming import activity
 
 TERMS = ["that", "heren", "the"]
 
@@ -16,6 +19,10 @@ _CATALOG = """(select 'document' as kind, cast(doc_id as varchar) as item_id, te
 _WORDS = rf"(select kind, item_id, regexp_extract_all(lower(body), '\p{{L}}+') as w from {_CATALOG})"
 _EVIDENCE = "(select d.doc_id, i.item_id, instr(d.text, i.text) as pos, length(i.text) as len from documents d join benchmark i on contains(d.text, i.text))"
 _LIST = "['that', 'heren', 'the']"
+_LINKS = f"""(with a as (select kind, item_id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{4,}}')) as s from {_CATALOG} where kind = 'page' or kind = 'document' and cast(item_id as bigint) % 50 = 0),
+ x as (select item_id as src_id, len(s) as sn, unnest(s) as w from a where kind = 'document'), y as (select item_id as dst_id, len(s) as dn, unnest(s) as w from a where kind = 'page'),
+ b as (select src_id, dst_id, sn, dn, count(*) as shared from x join y using (w) group by all),
+ g as (select src_id, dst_id, shared, round(shared / (sn + dn - shared), 6) as weight from b), r as (select *, row_number() over (partition by src_id order by weight desc, dst_id) as rank from g) select * from r where rank <= 3)"""
 
 
 def _vectors(spark, d):
@@ -35,6 +42,58 @@ def _hops(spark, d):
     return x.hops(orders.unionByName(parts), start, 2)
 
 
+def _links(spark, d):
+    """Every fiftieth document is a query, as for neighbours; all pages are searched."""
+    items = catalog(spark, d)
+    return x.links(items.where("kind = 'document' and cast(item_id as bigint) % 50 = 0"), items.where("kind = 'page'"), 3)
+
+
+def _hops_links(spark, d):
+    """Documents and pages that are reached over links, read in both directions, from the first document."""
+    found = Scratch(spark, "links").write(_links(spark, d).select(F.concat(F.lit("document "), "src_id").alias("src"), F.concat(F.lit("page "), "dst_id").alias("dst")), "links")
+    both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return x.hops(both, spark.sql("select 'document 0' as id"), 4)
+
+
+def _approx(spark, d):
+    vecs = table(spark, d, "embeddings")
+    return x.neighbours_approx(vecs, vecs.where("vec_id % 50 = 0"), 10)
+
+
+def _activity_stream(spark, d):
+    stream = activity.events_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return activity.settled(spark, activity.activity_stream(stream), "activity").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def _streaks(spark, d):
+    """All events come in one batch here, so each user has one row."""
+    stream = activity.events_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return activity.settled(spark, activity.streaks_stream(stream), "streaks", "update")
+
+
+def _asof(spark, d):
+    e = table(spark, d, "events")
+    return r.asof(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").withColumn("as_of", F.coalesce("as_of", F.lit(-1).cast("bigint")))
+
+
+def _intervals(spark, d):
+    """Errors in the six hours from a purchase of the same user."""
+    e = table(spark, d, "events")
+    after = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("start"), F.expr("ts + interval 6 hours").alias("end"))
+    return r.interval_join(e.where("event_type = 'error'").select("user_id", "event_id", "ts"), after, "user_id", "ts", "start", "end", 21_600).select("purchase_id", "event_id")
+
+
+def _ranges(spark, d):
+    """Events by the range of value that holds them."""
+    ranges = spark.range(20).select(F.col("id").alias("band"), (F.col("id") * 7.5 - 20).alias("low"), (F.col("id") * 7.5 - 9.5).alias("high"))
+    return r.range_join(table(spark, d, "events").select("event_id", "value"), ranges, "value", "low", "high", 7.5).groupBy("band").agg(F.count("*").alias("n"))
+
+
+def _overlap(spark, d):
+    e = table(spark, d, "events")
+    return r.overlap(e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'error'").select("user_id"))
+
+
 QUERIES = {
     "search_evidence": lambda s, d: x.search(catalog(s, d), TERMS, 5),
     "catalog": lambda s, d: catalog(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars")),
@@ -46,7 +105,17 @@ QUERIES = {
     "evidence": _evidence,
     "grounded": lambda s, d: x.grounded(table(s, d, "labels"), _evidence(s, d)),
     "ungrounded": lambda s, d: x.ungrounded(table(s, d, "labels"), _evidence(s, d)),
-    "links": lambda s, d: x.links(catalog(s, d).where("kind = 'document'"), catalog(s, d).where("kind = 'page'"), 3),
+    "links": _links,
+    "hops_links": _hops_links,
+    "neighbours_approx": _approx,
+    "activity_stream": _activity_stream,
+    "streaks_stream": _streaks,
+    "asof": _asof,
+    "interval_join": _intervals,
+    "range_join": _ranges,
+    "subtotals": lambda s, d: r.subtotals(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], quantity="l_quantity"),
+    "overlap": _overlap,
+    "sketched": lambda s, d: r.sketched(table(s, d, "events"), "event_type", "user_id", "value"),
     "hops": _hops,
     "copies": lambda s, d: x.copies(table(s, d, "documents")),
     "activity": lambda s, d: x.activity(table(s, d, "events")),
@@ -75,15 +144,22 @@ ORACLE_SQL = {
     "evidence": f"select * from {_EVIDENCE}",
     "grounded": f"select * from labels where doc_id in (select doc_id from {_EVIDENCE})",
     "ungrounded": f"select * from labels where doc_id not in (select doc_id from {_EVIDENCE})",
-    "links": f"""with a as (select kind, item_id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{4,}}')) as s from {_CATALOG} where kind <> 'turn'),
- x as (select item_id as src_id, len(s) as sn, unnest(s) as w from a where kind = 'document'), y as (select item_id as dst_id, len(s) as dn, unnest(s) as w from a where kind = 'page'),
- rare as (select w from y group by w having count(*) <= greatest(5, cast(floor(0.02 * (select count(*) from pages)) as bigint))),
- b as (select src_id, dst_id, sn, dn, count(*) as shared from x join y using (w) join rare using (w) group by all),
- g as (select src_id, dst_id, shared, round(shared / (sn + dn - shared), 6) as weight from b), r as (select *, row_number() over (partition by src_id order by weight desc, dst_id) as rank from g) select * from r where rank <= 3""",
+    "links": f"select * from {_LINKS}",
+    "hops_links": f"""with recursive l as materialized (select 'document ' || src_id as a, 'page ' || dst_id as b from {_LINKS}), e as (select a, b from l union all select b, a from l),
+ h(id, hop) as (select 'document 0', 0 union select e.b, hop + 1 from h join e on h.id = e.a where hop < 4) select id, cast(min(hop) as bigint) as hop from h group by id""",
+    "activity_stream": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by all",
+    "streaks_stream": """with l as (select user_id, ts, event_id, event_type, case when event_type = lag(event_type) over w then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+ s as (select user_id, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as nth from l), n as (select user_id, nth, count(*) as n from s group by all) select user_id, max(n) as longest from n group by user_id""",
+    "asof": "select p.event_id, p.user_id, p.ts, coalesce(c.event_id, -1) as as_of from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts",
+    "interval_join": "select p.event_id as purchase_id, e.event_id from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error' and e.ts >= p.ts and e.ts < p.ts + interval 6 hours",
+    "range_join": "select band, count(*) as n from events join (select range as band, range * 7.5 - 20 as low, range * 7.5 - 9.5 as high from range(20)) on value >= low and value < high group by band",
+    "subtotals": "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, cast(grouping(l_returnflag) + grouping(l_linestatus) as bigint) as level from lineitem group by rollup (l_returnflag, l_linestatus)",
+    "overlap": """with a as (select distinct user_id from events where event_type = 'purchase'), b as (select distinct user_id from events where event_type = 'error')
+ select user_id, case when user_id not in (select user_id from b) then 'a' when user_id not in (select user_id from a) then 'b' else 'both' end as side from (select user_id from a union select user_id from b)""",
     "hops": """with c as (select c_custkey from customer where c_nationkey = 7), o as (select o_orderkey from orders where o_custkey in (select c_custkey from c))
  select 'c' || c_custkey as id, cast(0 as bigint) as hop from c union all select 'o' || o_orderkey, 1 from o
  union all select distinct 'p' || l_partkey, 2 from lineitem where l_orderkey in (select o_orderkey from o)""",
-    "copies": "select min(doc_id) as first_id, count(*) as size from documents group by text having count(*) > 1",
+    "copies": "select min(doc_id) as first_id, count(*) as size from documents where text is not null group by text having count(*) > 1",
     "activity": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
     "activity_sliding": "select d::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from (select unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as d, event_type, value from events) group by all",
     "sessions": """with l as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),

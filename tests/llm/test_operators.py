@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from vellumine.llm import bpe, decontaminate, html_text, language_id, license_scan, near_dedup, quality, toxicity, url_filter, warc
-from vellumine.llm.scratch import Scratch
+from vellumine.plans.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, rep string"
 
@@ -284,7 +284,40 @@ def test_deduplicate_awkward(spark):
     docs = docs_of(spark, AWKWARD)
     left = near_dedup.deduplicate(spark, docs).collect()
     assert sorted(str(r["doc_id"]) for r in left) == sorted(map(str, [0, 1, 2, 3, None, 4, 5, 6]))
-    assert near_dedup.near_duplicates(spark, docs.limit(0)).count() == 0
+    assert near_dedup.near_duplicates(spark, docs.limit(0)).count() == 0 and near_dedup.deduplicate(spark, docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """An id on rows with unlike texts: each text has its own links, and no text is lost without a near one that stays."""
+    rng = np.random.default_rng(21)
+    a, b, c = (prose(rng, 60, [f"w{i}" for i in range(900)]) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c), (5, ""), (5, "")]
+    names = ["__id", "__n", "gone", "f1", "best", "salt", "part", "comp", "main"]
+    docs = spark.createDataFrame([(i, t, *(["x"] * len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark, docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 56, 4), (4, 56, 4), (5, 0, 5), (5, 0, 5)])
+    left = near_dedup.deduplicate(spark, docs)
+    assert left.columns == docs.columns
+    texts = sorted((r["doc_id"], r["text"]) for r in left.collect())
+    assert texts == sorted([(1, a), (1, b), (4, c), (5, ""), (5, "")])
+    assert near_dedup.deduplicate(spark, docs.where("doc_id in (2, 4)").dropDuplicates(["doc_id"])).count() == 2
+
+
+def test_hot_groups_without_broadcasts(spark, monkeypatch):
+    """Large nodes, documents in many pairs and one great component dealt to several tasks give what one task gives."""
+    for name, value in (("SPLIT", 7), ("SMALL", 4), ("BLOCK", 5), ("BLOCK_BYTES", 3000), ("BROADCAST_IDS", 0), ("BROADCAST_NODES", 0)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup.beside, "__defaults__", ("left", 0))
+    rng = np.random.default_rng(22)
+    base, vocabulary = prose(rng, 100, [f"w{i}" for i in range(900)]).split(), [f"x{i}" for i in range(900)]
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for j in rng.integers(0, len(w), int(rng.integers(0, 7))):
+            w[j] = str(rng.choice(vocabulary))
+        texts.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark, docs_of(spark, texts), k=2).collect()}
+    assert got == brute_components(texts, 2)
 
 
 # --- language ---------------------------------------------------------------------------------------------------

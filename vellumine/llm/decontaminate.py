@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import Scratch, ship
 from vellumine.llm.textnum import LOWER, U, hashes, mix, spans, texts
+from vellumine.plans.scratch import Scratch, ship
 
 WINDOW, LITERAL, LEAST, BROADCAST = 5, 2, 0.8, 2_000_000
 #: Names of units, in four languages.

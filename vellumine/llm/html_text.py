@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import boosting
-from vellumine.llm.scratch import ship
+from vellumine.plans.scratch import ship
 
 PAGES, SEED = 700, 3
 #: HTML elements by their role for the parser.

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.scratch import Scratch, sample_bound, ship
 from vellumine.llm.textnum import LOWER, U, hashes, texts, words
+from vellumine.plans.scratch import Scratch, sample_bound, ship
 
 SAMPLE, SAMPLE_CHARS, SLOTS, EVIDENCE, STRENGTH, RELIABLE, LEAST = 200, 20_000, 1 << 16, 60, 20.0, 0.9, 0.5
 BROADCAST_HOSTS = 100_000

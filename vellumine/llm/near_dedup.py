@@ -11,11 +11,15 @@ Pairs pass a 64-bit sketch first; every link is confirmed on the full shingle se
 at the threshold is missed by all, or by the sketch, with probability RISK at most, also if all the nodes that it shares are large
 and it must stay together for the further levels too. As all trees draw from the same tokens, that is averaged over how many of these a pair shares.
 
-Documents with equal sets count once (the smallest id stands for them), so copies never make pairs.
+Documents with equal sets count once, so copies never make pairs. A set goes by its smallest id; where ids repeat over rows with unlike
+sets, by a number of its own, and texts are then kept by that number.
+
+Hot keys: a large node, a document in many pairs and a component with many members are dealt to several tasks; what they are joined with is small
+and sent to each. Blocks are bounded by texts and by bytes.
 
 Cases: no words or null text: n_shingles 0, linked with nothing. Fewer words than k: the whole sequence is the one shingle.
-Repeated ids: each row gets a row; they share their id's component. Null id: n_shingles, component_id of the copies'
-group (null if none has an id), kept false. Empty table: no rows. Other columns are ignored.
+Repeated ids: each row gets a row, with the component of its own text; an id may so stand in several components. Null id: n_shingles, component_id of the copies'
+group (null if none has an id), kept false. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,24 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import Scratch
+from vellumine.llm.joins import BROADCAST_IDS, beside, dealt, unused
 from vellumine.llm.textnum import LOWER, U, hashes, mix, shingles, texts, words
+from vellumine.plans.scratch import Scratch
 
 SIZE, SMALL, RISK = 96, 16, 1e-4
 #: Levels of a tree at least; more where there are over 8 * 20 ** LEVELS sets, as unlike sets agree on a token in one case of 20 at most.
 LEVELS = 4
 #: The part of RISK that the sketch may take; the trees have the rest.
 SKETCH_PART = 0.15
-#: Tables of ids up to this many rows are sent to all executors to pick out texts or components; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
 BROADCAST_NODES = 400_000
 #: Trees whose nodes are shuffled together: what lies on disk at once.
 AT_ONCE = 4
 #: Levels that one more branching adds, and how often.
 DEEPER, AGAIN = 3, 1
-#: Texts of a block, on average, and distinct shingles of two blocks that are counted at once.
-BLOCK, COLUMNS = 64, 20_000
+#: Texts of a block and their bytes, on average, and distinct shingles of two blocks that are counted at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 64, 1 << 20, 20_000
+#: Rows of a key that one task takes.
+SPLIT = 500
 _RNG = np.random.default_rng(20240601)
 _XOR, _MULT = _RNG.integers(0, 1 << 63, SIZE, dtype=np.int64).astype(U), _RNG.integers(0, 1 << 63, SIZE, dtype=np.int64).astype(U) * U(2) + U(1)
 
@@ -71,29 +76,53 @@ def minwise(x: np.ndarray) -> np.ndarray:
     return (low >> U(32)).astype(np.uint32)
 
 
+def fingerprint(x: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set of hashes."""
+    two = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64)
+    return int(two[0]), int(two[1])
+
+
+def each_set(column, k):
+    """The sorted set of each text's shingles; None of a text without words."""
+    for _, _, data, off in texts(column):
+        made, at = sets(data, off, k)
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield distinct(made[lo:hi]) if hi > lo else None
+
+
 def sign(k: int):
+    """id and text to id, size of the set, fingerprint, minwise tokens and sketch."""
+
     def run(batches):
         for b in batches:
             rows = {"n": [], "f1": [], "f2": [], "sig": [], "sketch": []}
-            for _, _, data, off in texts(b.column(1)):
-                made, at = sets(data, off, k)
-                for lo, hi in zip(at[:-1], at[1:], strict=True):
-                    if lo == hi:
-                        for c, v in zip(rows.values(), (0, None, None, None, None), strict=True):
-                            c.append(v)
-                        continue
-                    x = distinct(made[lo:hi])
-                    print_ = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64)
+            for x in each_set(b.column(1), k):
+                made = (0, None, None, None, None)
+                if x is not None:
                     sig = minwise(x)
                     bits = np.packbits((mix(sig[:64].astype(U)) & U(1)).astype(np.uint8)).view(np.int64)
-                    for c, v in zip(rows.values(), (len(x), int(print_[0]), int(print_[1]), sig.tobytes(), int(bits[0])), strict=True):
-                        c.append(v)
+                    made = (len(x), *fingerprint(x), sig.tobytes(), int(bits[0]))
+                for c, v in zip(rows.values(), made, strict=True):
+                    c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], ["id", *rows])
 
     return run
 
 
+def with_fingerprints(docs: DataFrame, text_col: str, k: int, names: tuple[str, str]) -> DataFrame:
+    """docs and, under these names, each row's fingerprint (null without words)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            made = [(None, None) if x is None else fingerprint(x) for x in each_set(b.column(at), k)]
+            f1, f2 = zip(*made, strict=True) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], [*b.schema.names, *names])
+
+    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add(names[0], "long").add(names[1], "long"))
+
+
 def _children(sig, doc, node, levels):
     """Follow each (document, node) down so many levels."""
     for _ in range(levels):
@@ -221,18 +250,20 @@ def plan(depth: int, like: float) -> tuple[int, int]:
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """(v, l): the smallest vertex that each vertex of edges (x, y) reaches. Minimum label of neighbours, then a jump to the label's label."""
+    """(v, l): the smallest vertex that each vertex of edges (x, y) reaches. Minimum label of neighbours, then a jump to the label's label, until nothing changes."""
     both = scratch.write(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
     label = scratch.write(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("l")), f"{name}-0")
-    for i in range(1, 200):
-        near = both.join(label.select(F.col("v").alias("y"), "l"), "y").groupBy(F.col("x").alias("v")).agg(F.min("l").alias("m"))
+    i, count = 0, label.count()
+    while True:
+        i += 1
+        near = beside(both, label.select(F.col("v").alias("y"), "l"), "y", count, "inner").groupBy(F.col("x").alias("v")).agg(F.min("l").alias("m"))
         low = label.join(near, "v").select("v", F.least("l", "m").alias("n"), F.col("l").alias("was"))
-        low = low.join(label.select(F.col("v").alias("n"), F.col("l").alias("next")), "n", "left").select("v", F.least("n", F.coalesce("next", "n")).alias("l"), "was")
+        heads = low.select("n").distinct().join(label.select(F.col("v").alias("n"), F.col("l").alias("next")), "n")
+        low = beside(low, heads, "n", count).select("v", F.least("n", F.coalesce("next", "n")).alias("l"), "was")
         low = scratch.write(low, f"{name}-{i}")
         label, done = low.select("v", "l"), low.where("l <> was").limit(1).count() == 0
         if done:
             return label
-    raise RuntimeError("components did not settle")
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -240,14 +271,19 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable), kept (id is component_id)."""
+def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """One row per row of docs: id, n (set size), f1 and f2 (fingerprint) and grp (the group), null without words, component (smallest id reachable)."""
     scratch = Scratch(spark, "neardup")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.write(own.mapInArrow(sign(k), "id long, n long, f1 long, f2 long, sig binary, sketch long"), "signed")
-    reps = scratch.write(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")), "reps")
+    reps = scratch.write(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")).withColumn("first", F.col("rep")), "reps")
     signed = scratch.write(signed.select("id", "n", "f1", "f2"), "fingerprints")  # tokens are kept once, in reps
     scratch.drop("signed")
+    repeated = reps.groupBy("rep").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "numbered")  # fixed once written
+        marked = with_fingerprints(own.where("id is not null"), "text", k, ("f1", "f2")).where("f1 is not null")
+        own = scratch.write(marked.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"), "texts")
     count, like = max(2, reps.count()), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees, apart = plan(depth, like)
@@ -268,33 +304,48 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             held = in_component(nodes.select("node", "rep")).groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         state["held"] += 1
         held = scratch.write(held.select("node", "held", "centre"), f"held-{state['held']}")
-        if held.count() <= BROADCAST_NODES:  # then the nodes need not move again
-            held = F.broadcast(held)
-        return in_component(nodes.join(held, "node")).withColumn("turn", turn)
+        return in_component(beside(nodes, held, "node", held.count(), "inner", BROADCAST_NODES)).withColumn("turn", turn)
+
+    def meet(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
+        """Pairs of one node and part whose components differ and whose sketches are near."""
+        a, b = (x.select("node", "part", *(F.col(c).alias(f"{c}{s}") for c in ("rep", "sketch", "comp"))) for x, s in ((a, 1), (b, 2)))
+        near = (F.col("comp1") != F.col("comp2")) & (F.col("rep1") < F.col("rep2") if once else F.lit(True)) & (F.bit_count(F.col("sketch1").bitwiseXOR(F.col("sketch2"))) <= apart)
+        return a.join(b, (a["node"] == b["node"]) & (a["part"] == b["part"]) & near).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
+
+    def all_pairs(nodes: DataFrame) -> DataFrame:
+        nodes = nodes.withColumn("part", F.lit(0).cast("long"))
+        return meet(nodes, nodes, True)
 
-    def pairs_of(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
-        a, b = (x.select("node", *(F.col(c).alias(f"{c}{s}") for c in ("rep", "sketch", "comp"))) for x, s in ((a, 1), (b, 2)))
-        meet = a.join(b, (a["node"] == b["node"]) & (F.col("comp1") != F.col("comp2")) & (F.col("rep1") < F.col("rep2") if once else F.lit(True)) & (F.bit_count(F.col("sketch1").bitwiseXOR(F.col("sketch2"))) <= apart))
-        return meet.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
+    def centre_pairs(nodes: DataFrame) -> DataFrame:
+        """Each document with its node's centre. A node is dealt to a task for every SPLIT documents, and its centre to all of them."""
+        parts = F.ceil(F.col("held") / SPLIT)
+        return meet(nodes.where("turn = centre").withColumn("part", dealt(parts)), nodes.withColumn("part", F.pmod(F.xxhash64("rep"), parts)), False)
 
     def settle(pairs: DataFrame) -> None:
-        """Confirm the pairs that are new and merge the components that they link."""
+        """Confirm the pairs that are new and merge the components that they link. A text that is in more than SPLIT pairs is sent to several tasks."""
         step = state["step"] = state["step"] + 1
         pairs = pairs.distinct()
         if state["tested"] is not None:
             pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{step}")
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.ceil(F.count("*") / SPLIT).alias("parts")), f"ids-{step}")
         if not (many := ids.count()):
             return
-        found = scratch.write(own.join(few(ids, many), "id", "left_semi").dropDuplicates(["id"]), f"texts-{step}")
-        both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        links = scratch.write(both.mapInArrow(confirm(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), f"links-{step}")
+        hot = ids.where("parts > 1")
+        hots = hot.count()
+        found = scratch.write(own.join(few(ids, many), "id").dropDuplicates(["id"]).withColumn("part", dealt(F.col("parts"))), f"texts-{step}")
+        both = pairs
+        for c, other in (("a", "b"), ("b", "a")):
+            both = beside(both, hot.select(F.col("id").alias(c), F.col("parts").alias(f"of_{c}")), c, hots)
+            both = both.withColumn(f"part_{c}", F.pmod(F.xxhash64(other), F.coalesce(f"of_{c}", F.lit(1))))
+        for c, text in (("a", "x"), ("b", "y")):
+            both = both.join(found.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("text").alias(text)), [c, f"part_{c}"])
+        links = scratch.write(both.select("a", "b", "x", "y").mapInArrow(confirm(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), f"links-{step}")
         scratch.drop(f"texts-{step}")
         if state["moved"] is not None:
             for c in ("a", "b"):
-                links = links.join(few(state["moved"].select(F.col("rep").alias(c), "comp"), state["many"]), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
+                links = beside(links, state["moved"].select(F.col("rep").alias(c), "comp"), c, state["many"]).withColumn(c, F.coalesce("comp", c)).drop("comp")
         merge(links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y"))
 
     def merge(edges: DataFrame) -> None:
@@ -305,40 +356,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         merged = components(scratch, edges, f"components-{step}")
         fresh = merged.where("v <> l").select(F.col("v").alias("rep"), F.col("l").alias("comp"))
         if state["moved"] is not None:
-            fresh = fresh.union(state["moved"].join(merged.select(F.col("v").alias("comp"), "l"), "comp", "left").select("rep", F.coalesce("l", "comp")))
+            fresh = fresh.union(beside(state["moved"], merged.select(F.col("v").alias("comp"), "l"), "comp", merged.count()).select("rep", F.coalesce("l", "comp")))
         state["moved"] = scratch.write(fresh, f"moved-{step}")
         state["many"] = state["moved"].count()
 
     def in_blocks(rest: DataFrame) -> None:
-        """Compare what is outside its node's main component with all of that component, and with what else is outside."""
+        """Compare what is outside its node's main component with all of that component, and with what else is outside. Each pair of blocks is a task's row of its own."""
         state["step"] += 1
         sizes = rest.groupBy("node", "comp").agg(F.count("*").alias("of"))
-        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("of", -F.col("comp"))).alias("main"))
-        outside = scratch.write(rest.join(main, "node").where("comp <> main").select("rep", "comp", "main").distinct(), "outside")
+        main = scratch.write(sizes.groupBy("node").agg(F.max_by("comp", F.struct("of", -F.col("comp"))).alias("main")), "mains")
+        outside = scratch.write(beside(rest, main, "node", main.count(), "inner").where("comp <> main").select("rep", "comp", "main").distinct(), "outside")
         mains = outside.select("main").distinct()
         # the smallest id of a component is one of its members, but is not in `moved`
         inside = mains.select(F.col("main").alias("rep"), "main")
         if state["moved"] is not None:
-            inside = inside.union(state["moved"].select("rep", F.col("comp").alias("main")).join(mains, "main").select("rep", "main"))
+            inside = inside.union(beside(state["moved"].select("rep", F.col("comp").alias("main")), mains, "main", mains.count(), "inner").select("rep", "main"))
         every = outside.withColumn("out", F.lit(True)).select("rep", "comp", "main", "out").union(inside.select("rep", F.col("main").alias("comp"), "main", F.lit(False)))
-        blocks = every.join(every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-        ids = scratch.write(blocks.select(F.col("rep").alias("id")).distinct(), "block-ids")
-        found = own.join(few(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"])
+        ids = scratch.write(every.select(F.col("rep").alias("id")).distinct(), "block-ids")
+        found = own.join(few(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
+        members = scratch.write(every.join(found, "rep"), "members")
+        blocks = members.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
         item = F.struct(F.col("rep").alias("id"), "comp", "text")
-        held = scratch.write(blocks.join(found, F.col("rep") == F.col("id")).groupBy("main", "block", "out").agg(F.collect_list(item).alias("rows")), "blocks")
-        first, second = held.where("out").select("main", F.col("rows").alias("xs")), held.select("main", F.col("rows").alias("ys"))
-        merge(scratch.write(first.join(second, "main").select("xs", "ys").mapInArrow(confirm_blocks(k, percent), "x long, y long").distinct(), "block-links"))
+        placed = beside(members, blocks, "main", blocks.count(), "inner").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        held = scratch.write(placed.groupBy("main", "blocks", "block", "out").agg(F.collect_list(item).alias("rows")), "blocks")
+        first = held.where("out").select("main", F.col("rows").alias("xs"), dealt(F.col("blocks")).alias("block"))
+        second = held.select("main", "block", F.col("rows").alias("ys"))
+        merge(scratch.write(first.join(second, ["main", "block"]).select("xs", "ys").mapInArrow(confirm_blocks(k, percent), "x long, y long").distinct(), "block-links"))
 
     def compare(nodes: DataFrame, name: str, centres_first: bool = False) -> DataFrame:
         """Small nodes exhaustively, the others against a centre; returns what the large nodes hold. Groups that centres link up first send fewer pairs of texts."""
         active = scratch.write(labelled(nodes), name)
         small, large = active.where(F.col("held") <= SMALL), active.where(F.col("held") > SMALL)
         if centres_first:
-            settle(pairs_of(active.where("turn = centre"), active, False))
-            small = in_component(small.drop("comp"))
-            settle(pairs_of(small, small, True))
+            settle(centre_pairs(active))
+            settle(all_pairs(in_component(small.drop("comp"))))
         else:
-            settle(pairs_of(small, small, True).union(pairs_of(large.where("turn = centre"), large, False)))
+            settle(all_pairs(small).union(centre_pairs(large)))
         return large.select("node", "rep", "sketch")
 
     for i, start in enumerate(range(0, trees, AT_ONCE)):
@@ -358,20 +411,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         rest = scratch.write(labelled(rest), "rest")
         if rest.limit(1).count():
             in_blocks(rest)
-    rep = reps.select("f1", "f2", "rep")
-    out = signed.select("id", "n", "f1", "f2").join(rep, ["f1", "f2"], "left")
+    out = beside(signed, reps.select("f1", "f2", "rep"), ["f1", "f2"], count)
     if state["moved"] is not None:
-        out = out.join(few(state["moved"], state["many"]), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
-    best = F.when(F.col("f1").isNull(), F.col("id")).otherwise(F.col("rep"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), best.alias("component_id"), F.coalesce(F.col("id") == best, F.lit(False)).alias("kept"))
-
-
-def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: the row with the smallest doc_id. Rows with a null doc_id stay."""
-    seen = near_duplicates(spark, docs, k=k, percent=percent).where("doc_id is not null")
-    ids = Scratch(spark, "dedup").write(seen.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.when(F.col("kept"), 1)).alias("__n")), "ids")
-    gone = ids.where("__n = 0").select("__id")  # fewer than the kept ones, so that texts are shuffled only where many go
-    left = docs.join(few(gone, gone.count()), docs["doc_id"] == F.col("__id"), "left_anti")
-    if not ids.where("__n > 1").limit(1).count():
-        return left
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+        out = beside(out, state["moved"], "rep", state["many"]).withColumn("rep", F.coalesce("comp", "rep")).drop("comp")
+    out = out.withColumn("grp", F.col("rep"))
+    if repeated:
+        first = reps.select("rep", "first")
+        if state["moved"] is not None:
+            first = beside(first, state["moved"], "rep", state["many"]).select(F.coalesce("comp", "rep").alias("rep"), "first")
+        out = beside(out, scratch.write(first.groupBy("rep").agg(F.min("first").alias("least")), "firsts"), "rep", count).withColumn("rep", F.col("least"))
+    return out.select("id", "n", "f1", "f2", "grp", F.when(F.col("f1").isNull(), F.col("id")).otherwise(F.col("rep")).alias("component"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable), kept (id is component_id)."""
+    out = classes(spark, docs, id_col, text_col, k, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: the row with the smallest id, of repeated ids the one whose fingerprint is least; rows that agree in both
+    are copies, of which one stays. Rows without words and rows with a null id stay. So no text is lost that is not near one that stays."""
+    seen = classes(spark, docs, id_col, text_col, k, percent).where("id is not null and f1 is not null")
+    scratch = Scratch(spark, "dedup")
+    seen = scratch.write(seen.select("id", "f1", "f2", "grp", "component"), "seen")
+    if not seen.groupBy("id").count().where("count > 1").limit(1).count():
+        name = unused(docs, "gone")
+        gone = seen.where("id <> component").select(F.col("id").alias(name))  # fewer than the kept ones, so that texts are shuffled only where many go
+        return docs.join(few(gone, gone.count()), docs[id_col].cast("long") == F.col(name), "left_anti")
+    f1, f2, best = (unused(docs, x) for x in ("f1", "f2", "best"))
+    stays = scratch.write(seen.groupBy("grp").agg(F.min(F.struct("id", "f1", "f2")).alias("s")).select(F.struct(F.col("s.id").alias("i"), F.col("s.f1").alias("f"), F.col("s.f2").alias("g")).alias(best)), "stays")
+    marked = with_fingerprints(docs, text_col, k, (f1, f2))
+    kept = marked.where(F.col(f1).isNotNull() & F.col(id_col).isNotNull())
+    kept = kept.join(few(stays, stays.count()), F.struct(F.col(id_col).cast("long").alias("i"), F.col(f1).alias("f"), F.col(f2).alias("g")) == F.col(best), "left_semi")
+    rest = marked.where(F.col(f1).isNull() | F.col(id_col).isNull())
+    return kept.dropDuplicates([id_col, f1, f2]).unionByName(rest).select(*docs.columns)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import sample_bound, ship
 from vellumine.llm.textnum import LOWER, U, hashes, mix, texts, words
+from vellumine.plans.scratch import sample_bound, ship
 
 SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1000, 20_000, 4, 0.7
 #: Table entries; subsequences share one where their hashes do.

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.scratch import ship
 from vellumine.llm.textnum import U, mix
+from vellumine.plans.scratch import ship
 
 SLOTS, LENGTHS, RIDGE, AT = 1 << 16, (3, 4, 5), 1.0, 0.5
 #: Verdict, host, start of path.

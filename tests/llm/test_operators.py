@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -80,6 +81,31 @@ def test_main_text_of_made_up_pages():
     assert right >= 85
 
 
+PARAGRAPHS = ["The river rose early this year and the town watched it from the bridge.", "Two men walked home. They had nothing to say, and it was late.", "One. Two words here. Three sentences follow, of unlike length. Four is enough for now. The fifth ends it."]
+SHELLS = """%s|<p>%s</p>|<p>%s|<div>%s</div>|<div><p>%s</p></div>|<section><p>%s</p></section>|<html><body><div><div><p>%s</p></div></div></body></html>|<main>%s</main>|<table><tr><td>%s</td></tr></table>|<p>%s</p><footer>c 2020 x</footer>
+<nav><ul><li><a href=/>Home</a></li></ul></nav><div><p>%s</p></div><footer>&copy; x</footer>|<div class=kopf><a href=/>Start</a></div><div class=inhalt><p>%s</p></div><div class=fuss>Impressum</div>|<nav><a href=/>Home</a></nav><p>%s</p>""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+def test_one_paragraph_is_the_text(shell):
+    """Pages of layouts without a wrapper, a class or a known name."""
+    assert html_text.trained().texts([shell % p for p in PARAGRAPHS]) == PARAGRAPHS
+
+
+def test_maths_and_media_are_text():
+    page = "<article><p>where <math><mi>x</mi> = 2</math> holds, <svg><text>y</text></svg> too. <video>No video here.</video></p></article>"
+    assert html_text.trained().texts([page]) == ["where x = 2 holds, y too. No video here."]
+
+
+def test_unclosed_and_deep_pages_take_linear_time():
+    n = 20_000
+    pages = ["<b>" * n + "<p>x y z.</p>" * n, "<div>" * n + "<li>x", "<svg>a" * n, "<button>a" * n, "<p>" * n, "<table><tr><td>a" * 2000, "<a href='" + "x" * 1_000_000, "<article><p>" + "A long page has one text. " * 40_000]
+    began = time.perf_counter()
+    texts = html_text.trained().texts(pages)
+    assert time.perf_counter() - began < 30
+    assert texts[0].split() == ["x", "y", "z."] * n and len(texts[-1]) == 26 * 40_000 - 1
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -93,6 +119,8 @@ def test_main_text_query_shape(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A longer text, of a page.</p></article>", "k", "h"), (2, None, None, "k", "h")], PAGES)
     got = {r["page_id"]: r for r in html_text.extract(spark, pages).collect()}
     assert got[1]["text"] == "A longer text, of a page." and got[2]["n_chars"] == 0
+    again = pages.union(pages).withColumnRenamed("key", "__html").withColumnRenamed("header", "text")
+    assert sorted(r["text"] for r in html_text.extract(spark, again).collect()) == ["", "", "A longer text, of a page.", "A longer text, of a page."]
     assert html_text.extract(spark, pages.limit(0)).count() == 0
 
 

@@ -7,7 +7,7 @@ dropped block has no kept descendant. The kept blocks' text is decoded, its whit
 
 The trees are trained on PAGES made-up pages of many layouts, whose main text is known; the training is a function of a seed alone.
 
-Cases: null or empty html, or none kept: an empty text. Broken, unclosed or cut markup is read as far as it goes: an unclosed tag at the end is dropped.
+Cases: null or empty html, or none kept: an empty text. A page of one paragraph, also right in the body, is main text. Text of maths, drawings and media is text of the block around it. Broken, unclosed or cut markup is read as far as it goes: an unclosed tag at the end is dropped.
 Repeated rows are read each. Other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import boosting
+from vellumine.llm.joins import unused
 from vellumine.plans.scratch import ship
 
 PAGES, SEED = 700, 3
@@ -31,7 +32,7 @@ BLOCKS = set("""html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li
 nav header footer aside form fieldset details summary address center hgroup dialog menu""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-MUTE = set("script style template noscript iframe textarea select button svg math title head object video audio canvas option datalist".split())
+MUTE = set("script style template noscript iframe textarea select button title head option datalist".split())
 RAW = set("script style textarea title iframe noscript template".split())
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -39,18 +40,18 @@ KEEPS_OPEN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"ta
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|data-role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Groups of attribute tokens.
+#: Groups of attribute tokens, in English, German, French and Spanish.
 GROUPS = {
-    "main": "article content main post entry story body text blog page copy prose articlebody read single".split(),
-    "title": "title headline heading".split(),
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc topbar tabs pagination pager skip".split(),
-    "frame": "header footer masthead banner copyright colophon site bottom top legal".split(),
-    "side": "sidebar aside side rail widget widgets related recommended more popular trending tags archive".split(),
-    "ads": "ad ads advert advertisement sponsor sponsored promo promotion promoted adsense dfp affiliate".split(),
-    "notice": "cookie cookies consent gdpr notice popup modal overlay alert banner warning paywall".split(),
-    "form": "form newsletter subscribe subscription signup login search register email contact".split(),
-    "talk": "comment comments commentlist reply replies respond disqus discussion reader readers feedback".split(),
-    "social": "share sharing social follow like tweet facebook".split(),
+    "main": "article content main post entry story body text blog page copy prose articlebody read single inhalt artikel beitrag contenu articulo contenido cuerpo".split(),
+    "title": "title headline heading titel titre titulo".split(),
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc topbar tabs pagination pager skip brotkrumen navegacion".split(),
+    "frame": "header footer masthead banner copyright colophon site bottom top legal kopf kopfzeile fuss fusszeile impressum entete pied cabecera pie".split(),
+    "side": "sidebar aside side rail widget widgets related recommended more popular trending tags archive seitenleiste randspalte barre laterale barra lateral".split(),
+    "ads": "ad ads advert advertisement sponsor sponsored promo promotion promoted adsense dfp affiliate werbung anzeige publicite publicidad anuncio".split(),
+    "notice": "cookie cookies consent gdpr notice popup modal overlay alert banner warning paywall hinweis avis aviso".split(),
+    "form": "form newsletter subscribe subscription signup login search register email contact suche anmeldung recherche connexion buscar".split(),
+    "talk": "comment comments commentlist reply replies respond disqus discussion reader readers feedback kommentar kommentare commentaire commentaires comentario comentarios".split(),
+    "social": "share sharing social follow like tweet facebook teilen partager compartir".split(),
 }
 _GROUP = {t: i for i, words in enumerate(GROUPS.values()) for t in words}
 TAGS = ["article", "main", "section", "div", "p", "h", "ul", "li", "table", "td", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "body", "dl"]
@@ -68,9 +69,12 @@ class Block:
         self.length = self.link = self.links = self.stops = self.kids = 0
 
 
-@lru_cache(20_000)
 def groups_of(attributes: str) -> int:
     """Bits of the groups of attribute tokens; the highest for a hidden element."""
+    return _groups(attributes) if len(attributes) > 300 else _known_groups(attributes)
+
+
+def _groups(attributes: str) -> int:
     bits = 0
     for value in ATTRIBUTE.findall(attributes):
         for token in _WORD.findall(_CAMEL.sub(" ", value).lower()):
@@ -79,12 +83,27 @@ def groups_of(attributes: str) -> int:
     return bits | (1 << 20 if HIDDEN.search(attributes) else 0)
 
 
+_known_groups = lru_cache(20_000)(_groups)
+
+
 def parse(page: str) -> list[Block]:
-    """Blocks in page order, the root first; each with its own pieces of text and their order."""
+    """Blocks in page order, the root first; each with its own pieces of text and their order. Time is linear in the page, also where tags are never closed."""
     blocks = [Block("body", -1, 0)]
     here, stack, anchor, order = 0, [], 0, 0  # stack: (tag, index of the block to go back to or -1)
+    opened: dict[str, list[int]] = {}  # places in the stack of each tag that is open
+    solid: list[int] = []  # places in the stack of blocks
+    endless: set[str] = set()  # tags that are closed nowhere from here on
     at, buffer = 0, []
 
+    def top(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
+    def push(tag, back):
+        opened.setdefault(tag, []).append(len(stack))
+        if back >= 0:
+            solid.append(len(stack))
+        stack.append((tag, back))
+
     def flush():
         nonlocal order
         if buffer:
@@ -106,8 +125,10 @@ def parse(page: str) -> list[Block]:
     def close(depth):
         nonlocal here
         while len(stack) > depth:
-            _, back = stack.pop()
+            tag, back = stack.pop()
+            opened[tag].pop()
             if back >= 0:
+                solid.pop()
                 flush()
                 here = back
 
@@ -121,12 +142,10 @@ def parse(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 anchor = 0
-            elif tag == "p" and not any(t == "p" for t, _ in stack):
+            elif tag == "p" and not opened.get("p"):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         if tag == "br" or tag == "hr":
             buffer.append(" ")
@@ -135,8 +154,9 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in MUTE and not m[3].endswith("/"):
             if tag != "head":
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
-                found = end.search(page, at)
+                found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if not found:
+                    endless.add(tag)
                 if tag in RAW or found:
                     at = found.end() if found else len(page) if tag in RAW else at
             else:
@@ -150,23 +170,26 @@ def parse(page: str) -> list[Block]:
             continue
         if tag not in BLOCKS:
             if not m[3].endswith("/"):
-                stack.append((tag, -1))
+                push(tag, -1)
             continue
         # a block ends an open paragraph, and an item the one before it
-        for i in range(len(stack) - 1, -1, -1):
-            t = stack[i][0]
-            if t == "p" or t in CLOSES.get(tag, ()):
-                close(i)
-                if t != "p" and tag not in ("tr", "tbody"):
+        while solid:
+            if tag in CLOSES:
+                i = top(("p", *CLOSES[tag]))
+                if i <= top(KEEPS_OPEN[tag]):
                     break
-            elif t in KEEPS_OPEN.get(tag, ()) or (t in BLOCKS and tag not in CLOSES):
+            elif stack[i := solid[-1]][0] != "p":
+                break
+            last = stack[i][0]
+            close(i)
+            if last != "p" and tag not in ("tr", "tbody"):
                 break
         if tag in ("html", "body"):
             blocks[0].groups |= groups_of(m[3]) if m[3] else 0
             continue
         flush()
         anchor = 0
-        stack.append((tag, here))
+        push(tag, here)
         blocks[here].kids += 1
         blocks.append(Block(tag, here, groups_of(m[3]) if m[3] else 0))
         here = len(blocks) - 1
@@ -270,11 +293,14 @@ MARK = ""
 
 def made_up(rng: np.random.Generator) -> str:
     """A page of a random layout, in whose main text each piece ends in MARK."""
-    pick = lambda *a: a[int(rng.integers(len(a)))]
+    pick = lambda *a: a[int(rng.random() * len(a))]
     chance = lambda p: rng.random() < p
+    syllables = ("th", "en", "la", "or", "ti", "es", "de", "un", "ra", "so", "mi", "ch")
 
     def words(n):
-        return " ".join("".join(pick("th", "en", "la", "or", "ti", "es", "de", "un", "ra", "so", "mi", "ch") for _ in range(int(rng.integers(1, 5)))) for _ in range(max(1, n)))
+        sizes = rng.integers(1, 5, max(1, n)).tolist()
+        drawn = iter(rng.integers(0, len(syllables), sum(sizes)).tolist())
+        return " ".join("".join(syllables[next(drawn)] for _ in range(size)) for size in sizes)
 
     def sentence(n):
         out = words(n).capitalize()
@@ -334,8 +360,10 @@ def made_up(rng: np.random.Generator) -> str:
         return f"<div{classes('share', 'social')}>{pick(words(3), f'<ul>{links(3)}</ul>')}</div>"
 
     def inside():
-        n = int(rng.integers(1, 16)) if chance(0.8) else 1
-        parts = [f"<h1>{sentence(int(rng.integers(1, 12)))}{MARK}</h1>"] if chance(0.75) else []
+        n = int(rng.integers(1, 16)) if chance(0.7) else 1
+        if n == 1 and chance(0.4):  # text without a paragraph of its own
+            return "<br>".join(prose(True) for _ in range(pick(1, 1, 2)))
+        parts = [f"<h1>{sentence(int(rng.integers(1, 12)))}{MARK}</h1>"] if chance(0.75 if n > 1 else 0.4) else []
         for _ in range(n):
             r = rng.random()
             if r < 0.78:
@@ -360,19 +388,24 @@ def made_up(rng: np.random.Generator) -> str:
         return "".join(parts)
 
     body = inside()
-    shell = pick("article", "article", "article", "main", "div", "div", "section", "plain")
+    shell = pick("article", "article", "article", "main", "div", "div", "section", "plain", "bare", "odd")
     if shell == "plain":
-        core = f"<div>{body}</div>"
+        core = f"<{(box := pick('div', 'div', 'section', 'center'))}>{body}</{box}>"
+    elif shell == "bare":  # right in the body
+        core = body
+    elif shell == "odd":  # names that tell nothing
+        core = f'<div class="{words(1)}">{body}</div>'
     elif shell == "div":
-        core = f"<div{classes('content', 'article', 'main', 'post', 'entry', 'story', 'article-body', 'text')}>{body}</div>"
+        core = f"<div{classes('content', 'article', 'main', 'post', 'entry', 'story', 'article-body', 'text', 'inhalt', 'artikel', 'contenu', 'contenido')}>{body}</div>"
     else:
         core = f"<{shell}{classes('post', 'content', 'entry') if chance(0.4) else ''}>{body}</{shell}>"
     if chance(0.3):
         core = pick(f"<main>{core}</main>", f"<div{classes('container', 'wrapper', 'page', 'content')}>{core}{side() if chance(0.4) else ''}</div>")
     if chance(0.15):
         core = f"<h1>{sentence(6)}{MARK}</h1>" + core
-    before = [f() for f, p in ((notice, 0.25), (head, 0.4), (menu, 0.6), (advert, 0.4), (form, 0.1), (side, 0.15)) if chance(p)]
-    after = [f() for f, p in ((social, 0.15), (talk, 0.35), (side, 0.3), (advert, 0.25), (form, 0.2), (menu, 0.1), (notice, 0.1), (foot, 0.7)) if chance(p)]
+    few = 0.35 if chance(0.4) else 1.0  # many pages have little around the text
+    before = [f() for f, p in ((notice, 0.25), (head, 0.4), (menu, 0.6), (advert, 0.4), (form, 0.1), (side, 0.15)) if chance(few * p)]
+    after = [f() for f, p in ((social, 0.15), (talk, 0.35), (side, 0.3), (advert, 0.25), (form, 0.2), (menu, 0.1), (notice, 0.1), (foot, 0.7)) if chance(few * p)]
     if chance(0.3):
         rng.shuffle(before)
     page = "".join(before) + core + "".join(after)
@@ -405,7 +438,7 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html
     """id, the columns of keep, text and n_chars of every row."""
     ship(spark)
     shared = spark.sparkContext.broadcast(trained())
-    own = pages.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(html_col).alias("__html"))
+    own = pages.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(html_col).alias(unused(pages, "html")))
     fields = own.schema.fields[:-1]
 
     def run(batches):

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vellumine.llm import bpe, decontaminate, html_text, language_id, license_scan, near_dedup, quality, toxicity, url_filter, warc
 from vellumine.plans.scratch import Scratch
@@ -60,6 +61,21 @@ def test_archive_least_and_empty(spark):
     assert warc.read_archive(warc.write_archive(spark, pages.limit(0))).count() == 0
 
 
+def test_archive_of_many_copies_and_a_long_page(spark, monkeypatch):
+    """One payload on most pages, dealt to several tasks; a payload of 20 MB; tampering is seen."""
+    monkeypatch.setattr(warc, "SPLIT", 9)
+    rows = [(i, f"http://h/{i}", None if i % 5 else f"<p>{i}</p>", "k", "h") for i in range(200)] + [(1000, "u", "\u00e9" * 10_000_000, "k", "h"), (7, "u", None, "k", "h")]
+    archive = warc.write_archive(spark, spark.createDataFrame(rows, PAGES))
+    got = warc.read_archive(archive).select("page_id", "payload_bytes", "record_type", "refers_to", F.octet_length("record").alias("n"), F.octet_length("header").alias("head")).collect()
+    assert len(got) == 202 and sum(r["record_type"] == "revisit" for r in got) == 160
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {199}
+    assert all(r["n"] == r["head"] + 4 + (r["payload_bytes"] if r["record_type"] == "response" else 0) for r in got)
+    assert max(r["payload_bytes"] for r in got) == 20_000_000
+    for bad in (warc.Archive(archive.payloads.withColumn("payload", F.lit(b"x")), archive.headers), warc.Archive(archive.payloads, archive.headers.withColumn("header", F.expr("concat(header, cast('x' as binary))")))):
+        with pytest.raises(Exception, match="payload does not match its key|length is not its header"):
+            warc.read_archive(bad).select("payload_digest").collect()
+
+
 # --- main text ---------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +397,65 @@ def test_language_evidence(spark):
     assert got[302]["confidence"] != without[302]["confidence"]
 
 
+def brute_posteriors(model, rows):
+    """Priors and posteriors row by row, from the likelihoods alone. rows: (text, host, declared)."""
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    n, suffix = len(model.languages), lambda h: h.rsplit(".", 1)[1] if "." in h else ""
+    ll, words = model.likelihoods(pa.array([t for t, _, _ in rows], pa.string()))
+    mine = [soft(x) if w else np.zeros(n) for x, w in zip(ll, words, strict=True)]
+    hosts = [h or "" for _, h, _ in rows]
+    out = []
+    for x, p, h, w, (_, _, said) in zip(ll, mine, hosts, words, rows, strict=True):
+        everywhere = sum(mine) + 1
+        known = any(h == g and v for g, v in zip(hosts, words, strict=True))
+        of_suffix = sum(q for q, g in zip(mine, hosts, strict=True) if suffix(g) == suffix(h))
+        above = (of_suffix + language_id.STRENGTH * everywhere / everywhere.sum()) / (np.sum(of_suffix) + language_id.STRENGTH) if known else np.full(n, 1 / n)
+        held = sum(q for q, g in zip(mine, hosts, strict=True) if g == h) - p if known else np.zeros(n)
+        prior = (np.maximum(held, 0) + language_id.STRENGTH * above) / (max(0, sum(v > 0 for g, v in zip(hosts, words, strict=True) if g == h) - (w > 0)) + language_id.STRENGTH)
+        told = np.zeros(n) if said not in model.languages else np.log([language_id.RELIABLE if one == said else (1 - language_id.RELIABLE) / (n - 1) for one in model.languages])
+        out.append(soft(x + told + np.log(prior)))
+    return out
+
+
+@pytest.mark.parametrize("few_hosts", [True, False])
+def test_language_against_brute_force(spark, monkeypatch, few_hosts):
+    """Fused evidence of awkward rows: nulls, no words, a very long text, repeated rows, hosts that are dealt to several tasks."""
+    if not few_hosts:
+        monkeypatch.setattr(language_id, "BROADCAST_HOSTS", 0)
+    rng = np.random.default_rng(31)
+    hosts, rows = ["a.de", "b.de", "c.com", "plain", None, "a.de"], []
+    for i in range(60):
+        words = WORDS["de" if i % 3 else "en"] if i % 7 else WORDS["de"] + WORDS["en"]
+        rows.append((prose(rng, int(rng.integers(1, 12)), words), hosts[i % 6], ("de", "en", None, "xx")[i % 4]))
+    rows += [(None, "a.de", "de"), ("", None, None), (" .,1 ", "b.de", "en"), (prose(rng, 200_000, WORDS["en"]), "c.com", None), rows[5], rows[5]]
+    model = language_id.Model(["de", "en"], [[prose(rng, 50, WORDS["de"])], [prose(rng, 50, WORDS["en"])]])
+    df = spark.createDataFrame([(i, *r, "x", "y") for i, r in enumerate(rows)], "page_id long, text string, host string, declared string, __ll string, __host string")
+    got = {r["page_id"]: r for r in language_id.identify(spark, df, model, "page_id", host_col="host", declared_col="declared").collect()}
+    for i, (p, (text, _, _)) in enumerate(zip(brute_posteriors(model, rows), rows, strict=True)):
+        assert got[i]["confidence"] == pytest.approx(p.max(), abs=1e-6)
+        assert got[i]["language"] == (model.languages[int(p.argmax())] if (text or "").strip(" .,1") else None)
+
+
+def test_language_sample_ties_and_names(spark):
+    """A great group of copies does not fill the sample; equal evidence goes to the first language; columns of any name come back as they were."""
+    rng = np.random.default_rng(32)
+    texts = [(i, prose(rng, 30, WORDS["en"] + [f"w{j}" for j in range(300)])) for i in range(250)] + [(1000 + i, "one copy of the text") for i in range(800)]
+    model = language_id.fit(spark, docs_of(spark, texts))
+    assert (model.table[: language_id.SLOTS] != 0).any() or model.languages == ["en"]
+    counted = []
+    build = language_id.Model.__init__
+    language_id.Model.__init__ = lambda self, languages, samples: (counted.extend(samples), build(self, languages, samples))[1]
+    try:
+        language_id.fit(spark, docs_of(spark, texts))
+    finally:
+        language_id.Model.__init__ = build
+    assert len(counted[0]) == len(set(counted[0])) == language_id.SAMPLE
+    same = language_id.Model(["de", "en"], [["river stone"], ["river stone"]])
+    docs = spark.createDataFrame([(1, "river stone bird", "h", "l", "p", "r")], "doc_id long, text string, source string, __ll string, __posterior string, row string")
+    assert language_id.identify(spark, docs, same, "doc_id", host_col="source").first()["language"] == "de"
+    assert language_id.keep_identified(spark, docs, same).collect() == docs.collect()
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 An archive is two tables: payloads holds the bytes of each distinct payload once, under its SHA-256; headers holds the exact header
 bytes of every record (WARC header and HTTP head) with the key of its payload. Records are rebuilt by joining the two;
-on reading, each stored payload is hashed again and must give its key and the digest in the headers.
+on reading, each stored payload is hashed again and must give its key, each rebuilt record must be as long as its header says, and
+the payload cut from a rebuilt response must give the digest in the header. A payload that many records share is sent to a task for every SPLIT of them.
 
 Of records whose payloads are equal and have LEAST bytes at least, the one with the largest page_id is the response and the
 others are revisits that refer to it; smaller payloads are responses always (and still stored once).
 
 Cases: null html is an empty payload; a null url gives no target header; line ends in a url are percent-coded. Rows that repeat the largest
-page_id are all responses. A null page_id counts as least and its header has no page id. Other columns are ignored.
+page_id are all responses. A null page_id counts as least and its header has no page id. Payloads of any length are one value of a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.llm.joins import beside, dealt
 from vellumine.plans.scratch import Scratch
 
 LEAST = 0
+#: Records of one payload that one task rebuilds.
+SPLIT = 500
 DATE = "2024-01-01T00:00:00Z"
 #: The base32 alphabet, and the profile of a revisit by equal digest.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -29,8 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass
 class Archive:
-    payloads: DataFrame  # key, holder, payload
-    headers: DataFrame  # key, header
+    payloads: DataFrame  # key, holder, copies, payload
+    headers: DataFrame  # key, part (of those that rebuild this payload's records), header
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -81,11 +85,11 @@ def write_archive(spark: SparkSession, pages: DataFrame, scratch: Scratch | None
     scratch = scratch or Scratch(spark, "warc")
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    payloads = scratch.write(rows.groupBy("key").agg(F.max("page_id").alias("holder"), F.max("payload").alias("payload")), "payloads")
+    payloads = scratch.write(rows.groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"), F.max("payload").alias("payload")), "payloads")
     slim = rows.select("page_id", "url", "key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
-    known = slim.join(payloads.select("key", "holder"), "key")
+    known = beside(slim, payloads.select("key", "holder", "copies"), "key", payloads.count(), "inner")
     known = known.withColumn("revisit", (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("holder")))
-    headers = scratch.write(known.select("key", _header(date).alias("header")), "headers")
+    headers = scratch.write(known.select("key", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("copies") / SPLIT)).alias("part"), _header(date).alias("header")), "headers")
     return Archive(payloads, headers)
 
 
@@ -94,20 +98,29 @@ def _field(name: str) -> Column:
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """page_id, payload, payload_bytes, payload_digest, record_type, refers_to, header of each record. Fails on a payload that is not what its key says."""
-    digest = base32_sha1(F.col("payload"))
-    sound = F.when(F.sha2("payload", 256) == F.col("key"), digest).otherwise(F.raise_error(F.concat(F.lit("payload does not match its key "), F.col("key"))))
-    stored = archive.payloads.select("key", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"))
-    said = archive.headers.select("key", "header", _field("X-Page-ID").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page-ID").cast("long").alias("refers_to"), _field("WARC-Payload-Digest").alias("said"))
-    both = said.join(stored, "key")
-    agreed = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest is not its payload's")))
-    return both.select("page_id", "payload", "payload_bytes", agreed.alias("payload_digest"), "record_type", "refers_to", "header")
+    """page_id, record (its exact bytes, as it stands in a WARC file), payload, payload_bytes, payload_digest, record_type, refers_to, header of each record.
+    Fails on a payload that is not what its key says and on a record that is not what its header says."""
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("key")))
+    sound = F.when(F.sha2("payload", 256) == F.col("key"), F.col("payload")).otherwise(fail("payload does not match its key ").cast("binary"))
+    stored = archive.payloads.select("key", sound.alias("payload"), dealt(F.ceil(F.col("copies") / SPLIT)).alias("part"))
+    said = archive.headers.select("key", "part", "header", _field("X-Page-ID").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page-ID").cast("long").alias("refers_to"), _field("WARC-Payload-Digest").alias("said"))
+    head = F.regexp_extract(F.decode("header", "utf-8"), r"(?s)^(.*?\r\n\r\n)", 1)
+    said = said.withColumn("head_bytes", F.octet_length(head)).withColumn("block_bytes", F.regexp_extract(head, r"\r\nContent-Length: (\d+)\r\n", 1).cast("long"))
+    is_response = F.col("record_type") == "response"
+    both = said.join(stored, ["key", "part"]).withColumn("record", F.concat("header", F.when(is_response, F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n")))
+    # of a response, the payload is cut from the rebuilt record
+    length = F.octet_length("record") - F.octet_length("header") - 4
+    whole = F.octet_length("record") == F.col("head_bytes") + F.col("block_bytes") + 4
+    cut = F.when(~whole, fail("a record's length is not its header's ").cast("binary")).when(is_response, F.substr("record", F.octet_length("header") + 1, length)).otherwise(F.col("payload"))
+    both = both.select("page_id", "record", cut.alias("payload"), "record_type", "refers_to", "header", "said", "key")
+    both = both.withColumn("digest", base32_sha1(F.col("payload")))
+    agreed = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("digest")), F.col("digest")).otherwise(fail("a header's digest is not that of the payload "))
+    return both.select("page_id", "record", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), agreed.alias("payload_digest"), "record_type", "refers_to", "header")
 
 
 def records(archive: Archive) -> DataFrame:
     """page_id and the exact bytes of each record as it stands in a WARC file."""
-    whole = F.concat("header", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n"))
-    return read_archive(archive).select("page_id", whole.alias("record"))
+    return read_archive(archive).select("page_id", "record")
 
 
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:

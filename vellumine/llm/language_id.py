@@ -5,11 +5,11 @@ EVIDENCE independent observations), that of the language which the markup declar
 Priors come from grouped sums of the text posteriors over all rows and are smoothed in a hierarchy: all rows, the
 address suffix, the host, each level shrunk to the one above by STRENGTH rows, and without the row's own share.
 
-The text model is fit on at most SAMPLE rows of each labelled language, of at most SAMPLE_CHARS characters, those with the least
-hashes; likelihoods and priors cover all rows. Host priors are broadcast up to BROADCAST_HOSTS hosts, else joined.
+The text model is fit on at most SAMPLE distinct texts of each labelled language, of at most SAMPLE_CHARS characters, those with the least
+hashes, so a group of copies counts once; likelihoods and priors cover all rows. Host priors are broadcast up to BROADCAST_HOSTS hosts; beyond it each host is dealt to several tasks.
 
 Cases: null or empty text: no text evidence, language null, kept false. No labels to fit on: the same for all rows. Null or
-unknown declared languages, suffixes and hosts: no evidence of that kind. Repeated rows count each. Ties go to the first language in order.
+unknown declared languages, suffixes and hosts: no evidence of that kind. Repeated rows count each. Very long texts are read whole, as evidence of EVIDENCE observations. Ties go to the first language in order.
 A row is kept if a language's posterior is at least LEAST.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.llm.joins import beside
 from vellumine.llm.textnum import LOWER, U, hashes, texts, words
 from vellumine.plans.scratch import Scratch, sample_bound, ship
 
@@ -81,13 +82,16 @@ class Model:
 
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> Model:
     fit_for = docs.where(F.col(label_col).isin(*languages) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    counts = {r["label"]: r["count"] for r in fit_for.groupBy("label").count().collect()}  # at most a row for each language
     turn = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)
+    fit_for = fit_for.withColumn("turn", turn)
+    # at most a row for each language; a sketch, as copies must not count towards the bound
+    counts = {r["label"]: r["n"] for r in fit_for.groupBy("label").agg(F.approx_count_distinct("turn", 0.02).alias("n")).collect()}
     below = F.lit(False)
     for one, count in counts.items():
-        below = below | ((F.col("label") == one) & (turn <= sample_bound(count, SAMPLE)))
-    chosen = fit_for.where(below).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(turn, "text"))).where(F.col("nth") <= SAMPLE)
-    rows = chosen.select("label", "text").collect()  # at most SAMPLE rows of each language
+        below = below | ((F.col("label") == one) & (F.col("turn") <= sample_bound(count, SAMPLE)))
+    texts_ = fit_for.where(below).groupBy("label", "turn").agg(F.min("text").alias("text"))
+    chosen = texts_.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("turn"))).where(F.col("nth") <= SAMPLE)
+    rows = chosen.select("label", "turn", "text").orderBy("label", "turn").collect()  # at most SAMPLE rows of each language
     samples = [[r["text"] for r in rows if r["label"] == one] for one in languages]
     known = [(one, s) for one, s in zip(languages, samples, strict=True) if s]
     return Model([k for k, _ in known], [s for _, s in known])
@@ -153,9 +157,7 @@ def decide(likely: DataFrame, prior: DataFrame, languages: list[str]) -> DataFra
     n = len(languages)
     if not n:
         return likely.withColumn("__posterior", F.array().cast("array<double>"))
-    if prior.count() <= BROADCAST_HOSTS:
-        prior = F.broadcast(prior)
-    df = likely.join(prior, "__host", "left")
+    df = beside(likely, prior, "__host", prior.count(), "left", BROADCAST_HOSTS)
     text = F.array(*posterior(F.col("__ll"), n))
     seen = F.col("__words") > 0
     mine = [F.when(seen, text[i]).otherwise(0.0) for i in range(n)]
@@ -188,11 +190,10 @@ def identify(spark: SparkSession, df: DataFrame, model: Model, id_col: str, text
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", host_col: str | None = "source") -> DataFrame:
-    """docs without the rows of which no language is likely enough: one pass for the priors, one that carries the rows along."""
-    cols = docs.columns
-    own = docs.withColumn("__host", _host(host_col)).withColumn("__declared", F.lit(None).cast("string"))
+    """docs without the rows of which no language is likely enough: one pass for the priors, one that carries the rows along, each packed as one column."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _host(host_col).alias("__host"), F.lit(None).cast("string").alias("__declared"), F.col(text_col).alias("__text"))
     scratch = Scratch(spark, "language")
-    slim = with_likelihoods(spark, own.select("__host", F.col(text_col).alias("__text")), model, "__text", True)
+    slim = with_likelihoods(spark, own.select("__host", "__text"), model, "__text", True)
     prior = scratch.write(priors(spark, slim, model.languages), "priors") if model.languages else slim
-    done = decide(with_likelihoods(spark, own, model, text_col, False), prior, model.languages)
-    return done.where(_verdict(done, model.languages)[2]).select(*cols)
+    done = decide(with_likelihoods(spark, own, model, "__text", True), prior, model.languages)
+    return done.where(_verdict(done, model.languages)[2]).select("row.*")

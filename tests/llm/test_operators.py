@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -249,6 +250,45 @@ def test_toxicity_rows(spark):
     assert toxicity.drop_toxic(spark, docs, model).columns == docs.columns
 
 
+def brute_kernel(a, b):
+    """The scaled kernel of two units from its definition: common subsequences of four letters within a span of six."""
+    maps = []
+    for unit in (a, b):
+        row, made, norm = ["^", *unit, "$"], {}, 0.0
+        for i, j, k, m in itertools.combinations(range(len(row)), 4):
+            if m - i <= 5:
+                weight = toxicity.DECAY ** (m - i - 3)
+                key = (row[i], row[j], row[k], row[m])
+                made[key], norm = made.get(key, 0) + weight, norm + weight**2
+        maps.append({k: v / np.sqrt(norm) for k, v in made.items()})
+    return sum(v * maps[1].get(k, 0) for k, v in maps[0].items())
+
+
+def test_string_kernel():
+    units = ["idiot", "idxiot", "idiots", "moron", "MOR0N", "\u0438\u0434\u0438\u043e\u0442", "\u0438\u0434\u0438\u0442", "\u4f60\u597d\u4f60\u597d", "garden", "ab"]
+    raw = " ".join(units).encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = toxicity.words(data, np.array([0, len(data)]))
+    code, place = toxicity.letters(data)
+    rows, of = toxicity.codes(code, place[starts], place[ends])
+    got = toxicity._dense(rows).between(rows)
+    plain = [u.lower().replace("0", "o") for u in units]
+    want = np.array([[brute_kernel(a, b) for b in plain] for a in plain])
+    assert (of == np.arange(len(units))).all() and np.allclose(got, want, atol=1e-3)
+    assert got[0, 1] > 0.3 and got[3, 4] == pytest.approx(got[3, 3]) and got[5, 6] > got[5, 0]
+
+
+def test_toxicity_of_other_scripts_and_long_texts():
+    rng = np.random.default_rng(18)
+    words_ = ["".join(rng.choice(list("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u043a\u043b\u043c"), 6)) for _ in range(200)]
+    clean = [(prose(rng, 40, words_), 0) for _ in range(150)]
+    bad = [(prose(rng, 20, words_) + " \u0438\u0434\u0438\u043e\u0442 " + prose(rng, 20, words_), 1) for _ in range(80)]
+    model = toxicity.train(clean + bad)
+    long = prose(rng, 100_000, words_)
+    got = model.scores(pa.array(["\u0438\u0434\u0438 \u0418\u0414\u0418\u041e\u0422", "\u0438\u0434-\u0438\u043e\u0442", long + " \u0438\u0434\u0438\u043e\u0442", long, "x" * 1_000_000], pa.string()))
+    assert (got[:3] >= toxicity.AT).all() and (got[3:] < toxicity.AT).all()
+
+
 # --- near-duplicates ---------------------------------------------------------------------------------------------------
 
 

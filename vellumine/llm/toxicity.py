@@ -1,21 +1,22 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-A text is scored by its worst unit: a word, or a run of single letters set apart ("i d i o t"). Units are compared by the
-subsequences of four letters that they share within a span of six, each weighted by DECAY to its span, so gaps and inserted
+A text is scored by its worst unit: a word, or a run of single letters set apart ("i d i o t"). Letters are code points: case and common look-alikes are
+folded, letters beyond a to z are told apart by their number. Units are compared by the subsequences of four letters that they share within a span of six, each weighted by DECAY to its span, so gaps and inserted
 characters cost little; the kernel is scaled by each unit's own norm. Landmarks are units of the labelled sample;
-the machine is trained on sentences' units as bags: each toxic text lends its worst unit, chosen anew in each
+the machine is trained on labelled sentences as bags of units (a bag is as toxic as its worst unit): each toxic text lends its worst unit, chosen anew in each
 of ROUNDS, and clean texts lend random units and their worst. Each is also trained on with a letter inserted. In the space that the
 landmarks span the machine is linear, so its weights fold into one table over all subsequences, and a text costs a few look-ups a letter.
 
 Long words are taken in overlapping pieces, so whole texts are scored. Training takes at most SAMPLE texts of each label of at most
 SAMPLE_CHARS characters, those with the least hashes; all else covers all rows.
 
-Cases: null or empty text, or no labels to learn from (none of one kind): the lowest score. Repeated rows are scored
+Cases: a very long text or word is read whole, in pieces. Null or empty text, or no labels to learn from (none of one kind): the lowest score. Repeated rows are scored
 each; a null id is not held out; null labels are not learned from. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,17 +28,42 @@ from vellumine.llm.textnum import LOWER, U, hashes, mix, texts, words
 from vellumine.plans.scratch import sample_bound, ship
 
 SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1000, 20_000, 4, 0.7
-#: Table entries; subsequences share one where their hashes do.
+#: Table entries; subsequences share one where their hashes do. One more, the first, is for none.
 WIDTH, SLOTS = 24, 1 << 20
-LANDMARKS, COST, LOWEST, AT = 96, 10.0, -4.0, 0.3
-#: Letters 1 to 26 in either case, look-alikes as letters, marks of start and end, the rest by kind.
-KIND = np.full(256, 29, np.uint8)
-KIND[ord("a") : ord("z") + 1] = KIND[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-for _c, _l in zip("013457@$!", "oieastasi", strict=True):
-    KIND[ord(_c)] = ord(_l) - 96
-for _b in range(0x80, 0x100):
-    KIND[_b] = 30 if _b >= 0xC0 else 31 + (_b & 31)
-START, END = 27, 28
+LANDMARKS, COST, LOWEST, AT = 192, 10.0, -4.0, 0.3
+START, END, SIGN, OTHER = 27, 28, 29, 30
+#: Signs that stand for letters.
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+
+
+def _kinds() -> np.ndarray:
+    """The code of each code point up to U+FFFF: 1 to 26 for a to z and their look-alikes, SIGN for what is no letter, from OTHER on the rest by number, without case."""
+    out = np.empty(1 << 16, np.uint8)
+    for c in range(1 << 16):
+        base = LOOKALIKES.get(chr(c)) or chr(c).lower()[:1]
+        out[c] = ord(base) - 96 if "a" <= base <= "z" else OTHER + ord(base) % (64 - OTHER) if c >= 0x80 and unicodedata.category(base)[0] in "LMN" else SIGN
+    return out
+
+
+KIND = _kinds()
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the code points of UTF-8 bytes, and for each byte (and the end) how many code points begin before it."""
+    begins = (data & 0xC0) != 0x80
+    place = np.concatenate([[0], np.cumsum(begins)])
+    at = np.flatnonzero(begins)
+    lead = data[at].astype(np.int64)
+    point = lead.copy()
+    for first, size, mask in ((0xC0, 2, 31), (0xE0, 3, 15), (0xF0, 4, 7)):
+        of = np.flatnonzero((lead >= first) & (lead < first + (0x10 if size == 3 else 0x20 if size == 2 else 0x08)))
+        value = lead[of] & mask
+        for i in range(1, size):
+            value = value << 6 | (data[np.minimum(at[of] + i, len(data) - 1)] & 63)
+        point[of] = value
+    return KIND[point & 0xFFFF], place
+
+
 #: Places of the second to fourth letter after the first, and the weight of each such subsequence.
 GAPS = [(i, j, k, DECAY ** (k - 3)) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
 #: Lengths of the runs of letters whose odds choose the first units.
@@ -47,7 +73,7 @@ SUPPORT, ODDS = 3, 3.0
 
 
 def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of letter codes for each unit or piece of one, and the unit that each row is of."""
+    """A row of letters for each unit or piece of one, and the unit that each row is of."""
     most = WIDTH - 2
     size = ends - starts
     pieces = np.maximum(1, -(-(size - most) // (most // 2)) + 1)
@@ -59,13 +85,13 @@ def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     out = np.zeros((len(of), WIDTH), np.uint8)
     out[:, 0] = START
     if len(of):
-        out[:, 1:-1] = np.where(cols < n[:, None], KIND[data[np.minimum(at[:, None] + cols, len(data) - 1)]], 0)
+        out[:, 1:-1] = np.where(cols < n[:, None], data[np.minimum(at[:, None] + cols, len(data) - 1)], 0)
     out[np.arange(len(of)), n + 1] = END
     return out, of
 
 
 def apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of codes of the runs of three or more one-byte words, in pieces, and the text of each."""
+    """Rows of letters of the runs of three or more one-letter words, in pieces, and the text of each."""
     one = (ends - starts) == 1
     if not one.any():
         return np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64)
@@ -76,9 +102,9 @@ def apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     hi = np.append(lo[1:], len(where))
     rows, of = [], []
     for a, b in zip(lo[hi - lo >= 3], hi[hi - lo >= 3], strict=True):
-        letters = KIND[data[starts[where[a:b]]]]
-        for i in range(0, max(1, len(letters) - (WIDTH - 2) // 2), (WIDTH - 2) // 2):
-            piece = letters[i : i + WIDTH - 2]
+        single = data[starts[where[a:b]]]
+        for i in range(0, max(1, len(single) - (WIDTH - 2) // 2), (WIDTH - 2) // 2):
+            piece = single[i : i + WIDTH - 2]
             row = np.zeros(WIDTH, np.uint8)
             row[0], row[1 : len(piece) + 1], row[len(piece) + 1] = START, piece, END
             rows.append(row)
@@ -95,7 +121,7 @@ def features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = WIDTH - k
         x = pairs[i][:, :n] * np.uint32(4096) + pairs[k - j][:, j : j + n]
         whole = (wide[:, :n] > 0) & (wide[:, k:] > 0)
-        index.append(np.where(whole, ((x * np.uint32(2654435761)) >> np.uint32(12)) | np.uint32(1), 0))
+        index.append(np.where(whole, ((x * np.uint32(2654435761)) >> np.uint32(12)) + np.uint32(1), 0))
         weight.append(np.full(n, w, np.float32))
     index, weight = np.concatenate(index, axis=1), np.concatenate(weight)
     there = np.where(index > 0, weight, np.float32(0))
@@ -124,15 +150,16 @@ class Model:
         for lo, hi, data, off in texts(column):
             low = LOWER[data]
             starts, ends, first = words(low, off)
+            code, place = letters(data)
             worst = np.full(hi - lo, LOWEST, np.float32)
             if len(starts):
                 _, at, back = np.unique(hashes(low, starts, ends), return_index=True, return_inverse=True)
-                rows, of = codes(low, starts[at], ends[at])
+                rows, of = codes(code, place[starts[at]], place[ends[at]])
                 best = np.full(len(at), LOWEST, np.float32)
                 np.maximum.at(best, of, values(self.table, rows) + np.float32(self.bias))
                 full = np.flatnonzero(np.diff(first))
                 worst[full] = np.maximum.reduceat(best[back], first[full])
-                rows, of = apart(low, starts, ends, first)
+                rows, of = apart(code, place[starts], place[ends], first)
                 if len(of):
                     np.maximum.at(worst, of, values(self.table, rows) + np.float32(self.bias))
             out.append(np.maximum(worst, LOWEST))
@@ -143,7 +170,7 @@ class Model:
 
 
 def nobody() -> Model:
-    return Model(np.zeros(SLOTS, np.float32), LOWEST, 1.0, 0.0)
+    return Model(np.zeros(SLOTS + 1, np.float32), LOWEST, 1.0, 0.0)
 
 
 def _inserted(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -180,11 +207,13 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     # few objects: the driver trains, beside its JVM
     mine = []
     for text, _ in sample:
-        raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        raw = np.frombuffer((text or "").encode(), np.uint8)
         own = np.zeros((0, WIDTH), np.uint8)
         if len(raw):
             starts, ends, first = words(raw, np.array([0, len(raw)]))
-            own = np.concatenate([codes(raw, starts, ends)[0], apart(raw, starts, ends, first)[0]])
+            code, place = letters(raw)
+            starts, ends = place[starts], place[ends]
+            own = np.concatenate([codes(code, starts, ends)[0], apart(code, starts, ends, first)[0]])
         mine.append(np.unique(own.view(f"S{WIDTH}").ravel()))
     doc = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
     known, unit = np.unique(np.concatenate(mine), return_inverse=True)
@@ -250,7 +279,7 @@ class _dense:
     def __init__(self, rows: np.ndarray):
         index, weight = features(rows)
         self.seen = np.unique(index[index > 0])
-        self.column = np.full(SLOTS, len(self.seen), np.int32)
+        self.column = np.full(SLOTS + 1, len(self.seen), np.int32)
         self.column[self.seen] = np.arange(len(self.seen))
         self.of = self.spread(index, weight)
 
@@ -263,7 +292,7 @@ class _dense:
         return np.concatenate([self.spread(*features(rows[i : i + 512])) @ self.of.T for i in range(0, len(rows), 512)])
 
     def table(self, alpha):
-        out = np.zeros(SLOTS, np.float32)
+        out = np.zeros(SLOTS + 1, np.float32)
         out[self.seen] = alpha @ self.of
         return out
 

@@ -87,9 +87,12 @@ def write_archive(spark: SparkSession, pages: DataFrame, scratch: Scratch | None
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
     payloads = scratch.write(rows.groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"), F.max("payload").alias("payload")), "payloads")
     slim = rows.select("page_id", "url", "key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
-    known = beside(slim, payloads.select("key", "holder", "copies"), "key", payloads.count(), "inner")
+    # payloads of many records are few: their records are told which task's copy they meet
+    hot = payloads.where(F.col("copies") > SPLIT).select("key", F.ceil(F.col("copies") / SPLIT).alias("parts"))
+    slim = beside(slim, hot, "key", hot.count()).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long"))))
+    known = slim.join(payloads.select("key", "holder", dealt(F.ceil(F.col("copies") / SPLIT)).alias("part")), ["key", "part"])
     known = known.withColumn("revisit", (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("holder")))
-    headers = scratch.write(known.select("key", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("copies") / SPLIT)).alias("part"), _header(date).alias("header")), "headers")
+    headers = scratch.write(known.select("key", "part", _header(date).alias("header")), "headers")
     return Archive(payloads, headers)
 
 

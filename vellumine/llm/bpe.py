@@ -26,7 +26,7 @@ from vellumine.plans.scratch import ship
 
 #: Fixed: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 300_000
+KEPT = 600_000
 #: Fragments of more letters are merged by a heap, and not kept.
 LONG = 64
 
@@ -65,33 +65,24 @@ class Codec(dict):
 
     def cuts(self, letters: str) -> list[str]:
         """The fragments between forced boundaries."""
-        inside, out, lo = self.inside, [], 0
-        for i in range(1, len(letters)):
-            if letters[i - 1 : i + 1] not in inside:
-                out.append(letters[lo:i])
-                lo = i
-        out.append(letters[lo:])
-        return out
+        inside = self.inside
+        at = [i for i in range(1, len(letters)) if letters[i - 1 : i + 1] not in inside]
+        return [letters[lo:hi] for lo, hi in zip([0, *at], [*at, len(letters)])] if at else [letters]
 
     def merged(self, letters: str) -> list[str]:
         """The tokens of a fragment: the pair of least rank is merged first, of equal pairs the leftmost."""
         parts, ranks, never = list(letters), self.ranks, len(self.ranks)
         if len(parts) > LONG:
             return self.merged_by_heap(parts)
-        while len(parts) > 1:
-            rank = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
-            best = min(rank)
-            if best == never:
-                break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i < n - 1 and rank[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+        while rank and (best := min(rank)) < never:
+            i = rank.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            if i:
+                rank[i - 1] = ranks.get((parts[i - 1], parts[i]), never)
+            if i < len(rank):
+                rank[i] = ranks.get((parts[i], parts[i + 1]), never)
         return parts
 
     def merged_by_heap(self, parts: list) -> list[str]:

@@ -4,7 +4,7 @@ A text is scored by its worst unit: a word, or a run of single letters set apart
 folded, letters beyond a to z are told apart by their number. Units are compared by the subsequences of four letters that they share within a span of six, each weighted by DECAY to its span, so gaps and inserted
 characters cost little; the kernel is scaled by each unit's own norm. Landmarks are units of the labelled sample;
 the machine is trained on labelled sentences as bags of units (a bag is as toxic as its worst unit): each toxic text lends its worst unit, chosen anew in each
-of ROUNDS, and clean texts lend random units and their worst. Each is also trained on with a letter inserted. In the space that the
+of ROUNDS, and clean texts lend random units and their worst. Each is also trained on with a letter inserted, toxic ones INSERTED times. In the space that the
 landmarks span the machine is linear, so its weights fold into one table over all subsequences, and a text costs a few look-ups a letter.
 
 Long words are taken in overlapping pieces, so whole texts are scored. Training takes at most SAMPLE texts of each label of at most
@@ -31,6 +31,8 @@ SAMPLE, SAMPLE_CHARS, ROUNDS, DECAY = 1000, 20_000, 4, 0.7
 #: Table entries; subsequences share one where their hashes do. One more, the first, is for none.
 WIDTH, SLOTS = 24, 1 << 20
 LANDMARKS, COST, LOWEST, AT = 192, 10.0, -4.0, 0.3
+#: Copies of each toxic unit with a letter inserted somewhere, so that few units still show most places.
+INSERTED = 4
 START, END, SIGN, OTHER = 27, 28, 29, 30
 #: Signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -257,8 +259,8 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
         marks = _landmarks(rows, bad[:400], LANDMARKS // 2)
         marks = np.concatenate([marks, rng.choice(hard, min(len(hard), LANDMARKS // 4), replace=False), easy[: LANDMARKS // 4]])
         land = _dense(rows[marks])
-        x = np.concatenate([rows[bad], _inserted(rows[bad], rng), rows[hard], _inserted(rows[hard], rng), rows[easy]])
-        label = np.repeat([1, 1, -1, -1, -1], [len(bad), len(bad), len(hard), len(hard), len(easy)])
+        x = np.concatenate([rows[bad], *(_inserted(rows[bad], rng) for _ in range(INSERTED)), rows[hard], _inserted(rows[hard], rng), rows[easy]])
+        label = np.repeat([1, 1, -1, -1, -1], [len(bad), INSERTED * len(bad), len(hard), len(hard), len(easy)])
         cost = np.where(label > 0, COST * len(label) / max(1, (label > 0).sum()) / 4, COST)
         cost[: len(bad)] *= np.minimum(times, 20) / times.mean()
         gram = land.between(rows[marks])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import bpe, decontaminate, html_text, language_id, license_scan, near_dedup, quality, toxicity, url_filter, warc
+from vellumine.llm import bpe, decontaminate, html_text, language_id, license_scan, near_dedup, packing, quality, toxicity, turns, url_filter, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, language_id_pages)}
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = turns.repair(turns.damage(table(spark, sf_dir, "conversations")), "copies")
+    return repaired.withColumn("repaired_sha256", turns.digest(F.col("repaired"))).drop("repaired")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(spark, table(spark, sf_dir, "documents"), word_tokenizer())
+    return packing.pack(spark, pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(spark, coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, op11_turns, op12_packing, op13_vector_codes, language_id_pages)}
 _B32 = " || ".join(f"substr('{warc.BASE32}', cast((v[{i + 1}] >> {shift}) & 31 as int) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
 
 
@@ -113,8 +134,55 @@ def _quality_sql() -> str:
  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and coalesce(far, 0) <= {quality.FAR} as kept, round(far, 6) as divergence from f"""
 
 
+def _turns_sql() -> str:
+    """Paths are strings: nine digits of cost, then the audit, with I, J and R, S for user and assistant; so least() keeps the better. A recursion goes over the turns."""
+    never = "'500000000'"
+    path = lambda p, cost, letter: f"lpad(cast(cast(substr({p}, 1, 9) as bigint) + {cost} as varchar), 9, '0') || substr({p}, 10) || '{letter}'"
+    return rf"""with recursive crc as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select range as i from range(256)))),
+ r as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+ k as (select r.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 as k from r, crc),
+ d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case k when 3 then 2 else 1 end)) as copy from k where k <> 0),
+ o as (select *, substr(role, 1, 1) as initial, row_number() over w as i, lag(substr(role, 1, 1)) over w as before, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth from d window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+ b as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, nth > 1 and regexp_matches(text, '[^\x20\x09-\x0D]') as duplicate from o),
+ f as materialized (select *, not blank and not duplicate and not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as truncated, before is not null and before || initial not in ('su', 'ua', 'au') as illegal from b),
+ s(conv_id, i, n, s, u, a) as (select distinct conv_id, cast(0 as bigint), '000000000', {never}, '000000003I', '000000006IJ' from conversations
+  union all select conv_id, i, n, s, u, least(a, {path("u", 3, "J")}) from (select conv_id, i, n, s, least(u, {path("least(n, s, a)", 3, "I")}) as u, a from (
+   select x.conv_id, x.i + 1 as i, {path("n", 4, "D")} as n, least({path("s", 4, "D")}, case when lives and initial = 's' then {path("n", "cut", "K")} else {never} end) as s,
+    least({path("u", 4, "D")}, case when lives and initial = 'u' then {path("least(n, s, a)", "cut", "K")} else {never} end, case when lives then {path("least(n, s, a)", "cut + 3", "R")} else {never} end) as u,
+    least({path("a", 4, "D")}, case when lives and initial = 'a' then {path("u", "cut", "K")} else {never} end, case when lives then {path("u", "cut + 3", "S")} else {never} end) as a
+   from s x join (select conv_id, i, initial, not blank and not duplicate as lives, case when truncated then 3 else 0 end as cut from f) t on t.conv_id is not distinct from x.conv_id and t.i = x.i + 1))),
+ e as (select conv_id, substr(best, 10) as audit, cast(substr(best, 1, 9) as bigint) as cost from (select conv_id, least(n, a) as best, row_number() over (partition by conv_id order by i desc) as last from s) where last = 1),
+ l as (select conv_id, unnest(string_split(audit, '')) as c, unnest(range(1, length(audit) + 1)) as p from e where audit <> ''),
+ m as (select *, sum(case when c in ('I', 'J') then 0 else 1 end) over (partition by conv_id order by p) as i from l),
+ z as (select m.conv_id, string_agg(case c when 'I' then 'user:' when 'J' then 'assistant:' when 'K' then role || ':' || text when 'R' then 'user:' || text else 'assistant:' || text end, chr(10) order by p) as whole
+  from m left join f on f.conv_id is not distinct from m.conv_id and f.i = m.i where c <> 'D' group by m.conv_id),
+ g as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate, count(*) filter (where truncated) as truncated, count(*) filter (where illegal) as illegal from f group by conv_id)
+ select e.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cost, translate(audit, 'JS', 'IR') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+ from e left join g on g.conv_id is not distinct from e.conv_id left join z on z.conv_id is not distinct from e.conv_id"""
+
+
+def _codes_sql() -> str:
+    """A table for each round's codebooks; distances over all pairs of a part and an entry of its position."""
+    v = vector_codes
+    nearest = lambda c: f"(select row, pos, part, arg_min(entry, d) as entry, min(d[1]) as far from (select row, p.pos, p.part, entry, [list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry] as d from p join {c} c using (pos)) group by row, pos, part)"
+    rounds = "".join(
+        f""" c{i + 1} as materialized (select c.pos, c.entry, coalesce(n.part, c.part) as part from c{i} c left join (select pos, entry, list(v order by j) as part from (select pos, entry, j, cast(floor(sum(x) / count(*)) as bigint) as v
+  from (select pos, entry, unnest(part) as x, unnest(range(len(part))) as j from {nearest(f"c{i}")}) group by pos, entry, j) group by pos, entry) n using (pos, entry)),"""
+        for i in range(v.ROUNDS)
+    )
+    return f"""with k as materialized (select row_number() over (order by vec_id, ints) - 1 as row, vec_id, label, ints from (select vec_id, label, list_transform(embedding, lambda x: cast(floor({v.SCALE} * cast(x as double)) as bigint)) as ints
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+ p as materialized (select row, pos, ints[pos * len(ints) // {v.PARTS} + 1:(pos + 1) * len(ints) // {v.PARTS}] as part from k, (select range as pos from range({v.PARTS}))),
+ c0 as materialized (select pos, row as entry, part from p where row < {v.ENTRIES}),{rounds}
+ e as (select row, string_agg(lower(lpad(hex(entry), 2, '0')), '' order by pos) as code, cast(sum(far) as bigint) as error from {nearest(f"c{v.ROUNDS}")} group by row),
+ h as (select sha256(string_agg(x, ',' order by pos, entry, j)) as codebooks_sha256 from (select pos, entry, unnest(list_transform(part, lambda y: cast(y as varchar))) as x, unnest(range(len(part))) as j from c{v.ROUNDS}))
+ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from k join e using (row), h"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": _quality_sql(),
+    "op11_turns": _turns_sql(),
+    "op13_vector_codes": _codes_sql(),
     "op1_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages),
  x as (select page_id, html, max(page_id) over (partition by html) as top, list_transform(range(8), lambda i: cast('0x' || substr(d, 5 * i + 1, 5) as bigint)) as v from p)
  select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_B32} as payload_digest,

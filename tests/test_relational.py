@@ -77,3 +77,24 @@ spark.stop()
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root}, timeout=180)
     left = os.listdir(tmp_path)
     assert "other" in left and not any(x.startswith("vellumine") for x in left)
+
+
+def test_joins_by_time_keep_columns_of_their_own_names(spark):
+    points = spark.createDataFrame([(1, "2024-01-01 00:30:00", 5.0, "b", "a")], "k int, t string, v double, bucket string, as_of string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    spans = spark.createDataFrame([(1, "2024-01-01 00:00:00", "2024-01-01 01:00:00", 0.0, 9.0)], "k int, s string, e string, lo double, hi double")
+    spans = spans.withColumn("s", F.col("s").cast("timestamp_ntz")).withColumn("e", F.col("e").cast("timestamp_ntz"))
+    assert relational.interval_join(points, spans, "k", "t", "s", "e").select("bucket", "as_of").first() == ("b", "a")
+    assert relational.range_join(points.drop("k"), spans, "v", "lo", "hi", 2.0).select("bucket").first() == ("b",)
+    got = relational.asof(points, points, "k", "t", "v").first()
+    assert (got.as_of, got["_as_of"]) == ("a", 5.0)
+
+
+def test_buckets_of_local_times_do_not_follow_the_zone_of_the_session(spark):
+    rows = [(1, f"2024-10-27 0{h}:{m}0:00", h * 10 + m) for h in range(5) for m in range(6)]
+    df = spark.createDataFrame(rows, "k int, t string, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")  # the hour from two to three is there twice
+        assert all(r.v == r.as_of for r in relational.asof(df, df, "k", "t", "v", 1800).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

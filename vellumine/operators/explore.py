@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import cosine, snippet, words
+from vellumine.operators.quotes import AUTOMATON, places
 from vellumine.plans.scratch import Scratch
 
 #: A side is broadcast up to this many rows, counted first; beyond it Spark shuffles.
 FEW = 100_000
 #: Vectors of a block of queries, which is broadcast.
 VECTORS = 20_000
+#: Passages of up to so many automatons are sought by them alone.
+PASSES = 8
 #: Items of a block, on average, of the queries and of what they are compared with.
 BLOCK, WIDE = 256, 2048
+#: Bytes of the texts of a block, on average.
+BLOCK_BYTES = 16 << 20
 #: Vectors that the cells of the approximate index are fit on at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
 
@@ -157,33 +162,29 @@ def neighbours_approx(vecs: DataFrame, queries: DataFrame, k: int, recall: float
     return _ranked(sim, k)
 
 
-def evidence(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, item_id, pos, len of each passage found whole in a document, at its first place, in characters of the text as it stands.
+def evidence(docs: DataFrame, passages: DataFrame, most: int = PASSES * AUTOMATON) -> DataFrame:
+    """doc_id, item_id, pos, len of each passage found whole in a document, at its first place, in characters of the text as it stands; a row for each row of a document and of a passage that meet.
 
-    A passage's first and last word may be parts of a text's words, those between are whole. So passages of four words or more meet texts
-    by the hash of their second and third word, and those of three by their second; both join hashes with ids alone, and texts are fetched for what met.
-    Passages of one or two words hold no whole word to join by: each is looked for in every text, a pass for each block of FEW of them.
-    Null and empty passages are found nowhere, and rows without an id are not reported.
+    Passages of up to `most` bytes in all are sought by automatons in few passes over the documents, which are neither joined nor shuffled (quotes.places). More are joined: a passage's first and last word may be parts of
+    a text's words, those between are whole, so passages of four words or more meet texts by the hash of their second and third word, and those of three by their second; both join hashes with ids alone, and texts are fetched
+    for what met. Passages of one or two words hold no whole word to join by and stay with the automatons. Null and empty passages are found nowhere, and rows without an id are not reported.
     """
     spark = docs.sparkSession
+    if (passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most:
+        return places(docs, passages, first=True)
     scratch = Scratch(spark, "evidence")
     split = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    p = passages.where("length(text) > 0 and item_id is not null").select("item_id", F.col("text").alias("passage"), split.alias("w"))
+    p = passages.where("length(text) > 0 and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("passage"), split.alias("w"))
     key = F.when(F.size("w") >= 4, F.xxhash64(F.lit(2), F.get("w", F.lit(1)), F.get("w", F.lit(2)))).when(F.size("w") == 3, F.xxhash64(F.lit(1), F.get("w", F.lit(1))))
     p = scratch.write(p.select("item_id", "passage", key.alias("h")), "passages")
-    slim = p.where("h is not null").select("item_id", "h")
-    own = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    own = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.lit(2), F.get("w", i), F.get("w", i + 1)))
     single = F.transform("w", lambda w: F.xxhash64(F.lit(1), w))
     keys = F.array_distinct(F.concat(single, F.when(F.size("w") >= 2, pair).otherwise(F.array().cast("array<bigint>"))))
-    met = scratch.write(own.select("doc_id", split.alias("w")).select("doc_id", F.explode(keys).alias("h")).join(few(slim), "h").select("doc_id", "item_id").distinct(), "met")
-    found = own.join(few(met), "doc_id").join(few(p.where("h is not null").select("item_id", "passage")), "item_id").where(F.contains("text", "passage"))
-    short = p.where("h is null").select("item_id", "passage")
-    blocks = -(-short.count() // FEW)
-    parts = [own.join(F.broadcast(short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i)), F.contains("text", "passage")) for i in range(blocks)]
-    cols = ("doc_id", "item_id", "text", "passage")
-    every = reduce(DataFrame.unionAll, [x.select(*cols) for x in (found, *parts)])
-    return every.select("doc_id", "item_id", F.instr("text", F.col("passage")).cast("long").alias("pos"), F.length("passage").cast("long").alias("len")).distinct()
+    met = scratch.write(own.select("doc_id", split.alias("w")).select("doc_id", F.explode(keys).alias("h")).join(few(p.where("h is not null").select("item_id", "h")), "h").select("doc_id", "item_id").distinct(), "met")
+    found = own.join(few(met), "doc_id").join(p.where("h is not null").select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
+    found = found.select("doc_id", "item_id", F.instr("text", F.col("passage")).cast("long").alias("pos"), F.length("passage").cast("long").alias("len"))
+    return found.unionByName(places(docs, p.where("h is null").select("item_id", F.col("passage").alias("text")), first=True))
 
 
 def grounded(items: DataFrame, ev: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -241,7 +242,8 @@ def links(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("body"), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.xxhash64(w)))
-        n = max(1, -(-df.count() // size))
+        rows, wide = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+        n = max(1, -(-rows // size), -(-wide // BLOCK_BYTES))
         own = df.select(F.col("item_id").alias("id"), found.alias("set")).where(F.size("set") > 0)
         return own.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "set")).alias("rows")), n
 
@@ -256,9 +258,9 @@ def links(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """id, hop: what is reached in at most depth steps, each at its least. edges: src, dst; start: id. A join for each step, of the last step's new ids alone;
-    each step is kept, so the plan does not grow with depth. Edges with a null end lead nowhere; a null start is dropped."""
+    edges and each step are written once, so nothing is computed again and the plan does not grow with depth. Edges with a null end lead nowhere; a null start is dropped."""
     scratch = Scratch(edges.sparkSession, "hops")
-    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    edges = scratch.write(edges.where("src is not null and dst is not null").select("src", "dst"), "edges")
     front = scratch.write(start.where("id is not null").select("id", F.lit(0).cast("long").alias("hop")).distinct(), "0")
     seen = front
     for i in range(1, depth + 1):

@@ -9,20 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.names import unused
 
-def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
+
+def _bucket(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Number of the span of time; of local times without a zone by the clock itself, which no change of the session's zone disturbs."""
+    local = df.schema[ts].dataType.typeName() == "timestamp_ntz"
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) if local else F.unix_seconds(F.col(ts).cast("timestamp"))
+    return F.floor(epoch / seconds)
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, seconds: int = 86_400) -> DataFrame:
-    """left with `value` of the last row of right with the same key at or before its time (as `as_of`, null if none); of equal times the greatest value counts.
+    """left with the last known `value` of right with the same key at or before its time (as `as_of`, or that name with underscores if left has it; null if none): rows of right whose value is null tell nothing. Of equal times the greatest
+    value counts.
 
     Rows are dealt by key and bucket of time, so one key's rows do not meet in one task; what a bucket begins with comes from the buckets before it,
     of which there is one row for each key and bucket.
     """
     last = F.max_by("v", F.struct("t", "v"))
-    known = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v")).withColumn("b", _bucket(F.col("t"), seconds))
-    ask = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("k"), F.col(ts).alias("t")).withColumn("b", _bucket(F.col("t"), seconds))
+    known = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v"))
+    known = known.withColumn("b", _bucket(known, "t", seconds))
+    ask = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("k"), F.col(ts).alias("t"))
+    ask = ask.withColumn("b", _bucket(ask, "t", seconds))
     none = F.lit(None).cast(known.schema["v"].dataType)
     both = known.select("k", "b", "t", "v", F.lit(None).cast(ask.schema["row"].dataType).alias("row")).unionByName(ask.select("k", "b", "t", none.alias("v"), "row"))
     # right rows first at equal times, the greatest value last
@@ -31,22 +39,24 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, secon
     ends = known.groupBy("k", "b").agg(last.alias("end"))
     marks = ends.unionByName(ask.where("k is not null and t is not null").select("k", "b", none.alias("end")).distinct()).groupBy("k", "b").agg(F.max("end").alias("end"))
     before = marks.withColumn("start", F.last("end", ignorenulls=True).over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select("k", "b", "start")
-    return own.join(before, ["k", "b"], "left").select("row.*", F.when(F.col("k").isNotNull() & F.col("t").isNotNull(), F.coalesce("here", "start")).alias("as_of"))
+    return own.join(before, ["k", "b"], "left").select("row.*", F.when(F.col("k").isNotNull() & F.col("t").isNotNull(), F.coalesce("here", "start")).alias(unused("as_of", left)))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, seconds: int = 3600) -> DataFrame:
     """Points and the intervals of the same key that hold them (start <= time < end), as a hash join on key and bucket of time: each interval is sent to the buckets
     that it touches, so `seconds` should be near the intervals' length. Intervals with start >= end hold nothing. Columns other than the key must have names of their own."""
-    p = points.withColumn("__b", _bucket(F.col(ts), seconds))
-    i = intervals.where(F.col(start) < F.col(end)).withColumn("__b", F.explode(F.sequence(_bucket(F.col(start), seconds), _bucket(F.col(end), seconds))))
-    return p.join(i, [key, "__b"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("__b")
+    b = unused("bucket", points, intervals)
+    p = points.withColumn(b, _bucket(points, ts, seconds))
+    i = intervals.where(F.col(start) < F.col(end)).withColumn(b, F.explode(F.sequence(_bucket(intervals, start, seconds), _bucket(intervals, end, seconds))))
+    return p.join(i, [key, b]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop(b)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Points and the ranges that hold their value (low <= value < high), as a hash join on value // width: no nested loop. Empty ranges hold nothing."""
-    p = points.withColumn("__b", F.floor(F.col(value) / width))
-    r = ranges.where(F.col(low) < F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(r, "__b").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__b")
+    b = unused("bucket", points, ranges)
+    p = points.withColumn(b, F.floor(F.col(value) / width))
+    r = ranges.where(F.col(low) < F.col(high)).withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    return p.join(r, b).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(b)
 
 
 def subtotals(df: DataFrame, cols: list[str], **sums: str) -> DataFrame:

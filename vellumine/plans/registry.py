@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import json_value
 from vellumine.operators import explore as x
+from vellumine.operators import quotes
 from vellumine.operators import relational as r
 from vellumine.plans.scratch import Scratch
 from vellumine.sources.tables import catalog, table
@@ -18,6 +19,8 @@ _CATALOG = """(select 'document' as kind, cast(doc_id as varchar) as item_id, te
  union all select 'turn', conv_id || ':' || turn, text from conversations)"""
 _WORDS = rf"(select kind, item_id, regexp_extract_all(lower(body), '\p{{L}}+') as w from {_CATALOG})"
 _EVIDENCE = "(select d.doc_id, i.item_id, instr(d.text, i.text) as pos, length(i.text) as len from documents d join benchmark i on contains(d.text, i.text))"
+#: Pieces of a text, which together are the whole, with where each starts.
+_PIECES = r"""select *, coalesce(list_sum(list_transform(p[:i - 1], lambda x: length(x))), 0) + 1 as start from (select *, unnest(p) as x, unnest(range(1, len(p) + 1)) as i from ({}))"""
 _LIST = "['that', 'heren', 'the']"
 _LINKS = f"""(with a as (select kind, item_id, list_distinct(regexp_extract_all(lower(body), '[a-z]{{4,}}')) as s from {_CATALOG} where kind = 'page' or kind = 'document' and cast(item_id as bigint) % 50 = 0),
  x as (select item_id as src_id, len(s) as sn, unnest(s) as w from a where kind = 'document'), y as (select item_id as dst_id, len(s) as dn, unnest(s) as w from a where kind = 'page'),
@@ -34,6 +37,20 @@ def _evidence(spark, d):
     return x.evidence(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def _token_spans(spark, d):
+    """Of every turn: its tokens, their letters, and sums that every place is part of."""
+    t = quotes.token_spans(catalog(spark, d).where("kind = 'turn'"))
+    return t.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("letters"), F.sum(F.col("start") * F.col("pos")).alias("places"), F.max("stop").alias("stop"))
+
+
+def _evidence_places(spark, d):
+    """Every place of each benchmark passage, and of its first two words, in the documents."""
+    own = table(spark, d, "benchmark")
+    opening = F.concat(F.split("text", " ")[0], F.lit(" "), F.split("text", " ")[1])
+    both = own.select((F.col("item_id") * 2).alias("item_id"), "text").unionByName(own.select((F.col("item_id") * 2 + 1).alias("item_id"), opening.alias("text")))
+    return quotes.places(table(spark, d, "documents"), both)
+
+
 def _hops(spark, d):
     """Customers of a nation, their orders, the orders' parts."""
     orders = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
@@ -102,7 +119,10 @@ QUERIES = {
     "facets": lambda s, d: x.facets(table(s, d, "documents"), "lang", "source"),
     "bm25": lambda s, d: x.bm25(catalog(s, d).where("kind = 'document'"), TERMS, 20),
     "neighbours": _vectors,
+    "search_quotes": lambda s, d: quotes.search_quotes(catalog(s, d), TERMS, 5),
+    "token_spans": _token_spans,
     "evidence": _evidence,
+    "evidence_places": _evidence_places,
     "grounded": lambda s, d: x.grounded(table(s, d, "labels"), _evidence(s, d)),
     "ungrounded": lambda s, d: x.ungrounded(table(s, d, "labels"), _evidence(s, d)),
     "links": _links,
@@ -141,7 +161,18 @@ ORACLE_SQL = {
  from e, s where tf0 + tf1 + tf2 > 0 order by score desc, item_id limit 20""",
     "neighbours": """with s as (select q.vec_id as q_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as sim
  from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id), r as (select *, row_number() over (partition by q_id order by sim desc, vec_id) as rank from s) select * from r where rank <= 10""",
+    "search_quotes": rf"""with w as (select kind, item_id, list_filter(w, lambda t: list_contains({_LIST}, t)) as h from {_WORDS}),
+ r as (select kind, item_id, row_number() over (partition by kind order by len(list_distinct(h)) desc, len(h) desc, item_id) as rank from w where len(h) > 0),
+ b as (select kind, item_id, rank, body, regexp_extract_all(body, '\p{{L}}+|\P{{L}}+') as p from {_CATALOG} join r using (kind, item_id) where rank <= 5),
+ t as (select kind, item_id, rank, body, lower(x) as term, cast(start as bigint) as start, cast(start + length(x) as bigint) as stop, row_number() over (partition by kind, item_id order by i) as pos from ({_PIECES.format("select * from b")}) where regexp_matches(x, '^\p{{L}}')),
+ c as (select *, coalesce(lag(start, 2) over o, lag(start, 1) over o, start) as context_start, coalesce(lead(stop, 2) over o, lead(stop, 1) over o, stop) as last from t window o as (partition by kind, item_id order by pos))
+ select kind, item_id, rank, pos, term, start, stop, substr(body, start, stop - start) as quote, context_start, substr(body, context_start, last - context_start) as context from c where list_contains({_LIST}, term)""",
+    "token_spans": rf"""with t as (select item_id, x, start, row_number() over (partition by item_id order by i) as pos from ({_PIECES.format(f"select item_id, regexp_extract_all(body, '{chr(92)}p{{L}}+|{chr(92)}P{{L}}+') as p from {_CATALOG} where kind = 'turn'")}) where regexp_matches(x, '^\p{{L}}'))
+ select item_id, count(*) as n, cast(sum(length(x)) as bigint) as letters, cast(sum(start * pos) as bigint) as places, cast(max(start + length(x)) as bigint) as stop from t group by item_id""",
     "evidence": f"select * from {_EVIDENCE}",
+    "evidence_places": """with p as (select item_id * 2 as item_id, text as passage from benchmark union all select item_id * 2 + 1, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) from benchmark),
+ m as (select doc_id, item_id, text, passage from documents join p on contains(text, passage)),
+ s as (select doc_id, item_id, passage, text, unnest(range(1, length(text) - length(passage) + 2)) as pos from m) select doc_id, item_id, pos, length(passage) as len from s where substr(text, pos, length(passage)) = passage""",
     "grounded": f"select * from labels where doc_id in (select doc_id from {_EVIDENCE})",
     "ungrounded": f"select * from labels where doc_id not in (select doc_id from {_EVIDENCE})",
     "links": f"select * from {_LINKS}",

@@ -6,6 +6,7 @@ null time belong to no window. Each query's state lives in its checkpoint folder
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,15 @@ def deduplicated_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def _streaks(key, frames, state: GroupState):
-    """state: length of the current run of equal types, the longest so far, and the last type."""
+    """state: length of the current run of equal types, the longest so far, and the last type. A batch's runs come from where neighbouring types differ; only the first is joined to the run so far."""
     run, best, last = state.get if state.exists else (0, 0, "")
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-    for kind in rows["event_type"].fillna(""):
-        run, last = (run + 1 if kind == last else 1), kind
-        best = max(best, run)
-    state.update((run, best, last))
+    kinds = rows["event_type"].fillna("").to_numpy(str)
+    starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+    runs = np.diff(starts, append=len(kinds))
+    runs[0] += run if kinds[0] == last else 0
+    best = max(best, int(runs.max()))
+    state.update((int(runs[-1]), best, str(kinds[-1])))
     yield pd.DataFrame({"user_id": [key[0]], "longest": [best]})
 
 
@@ -53,13 +56,14 @@ def streaks_stream(events: DataFrame) -> DataFrame:
 
 
 def settled(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is there now run through the stream, as a table: of complete mode the last state, of others every row that was given out."""
+    """All that is there now run through the stream, as a table: of complete mode the last state, of others every row that was given out. Each batch has a folder by its number, so that a batch that is run again after a failure replaces what it
+    wrote before."""
     scratch = Scratch(spark, name)
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(f"{scratch.root}/out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{scratch.root}/out/batch=-1")
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{scratch.root}/out")
+        batch.write.mode("overwrite").parquet(f"{scratch.root}/out/batch={0 if mode == 'complete' else n}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{scratch.root}/out")
+    names = [f"{scratch.root}/out/{x.getPath().getName()}" for x in scratch.files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/out")) if x.isDirectory()]
+    return spark.read.schema(stream.schema).parquet(*names)

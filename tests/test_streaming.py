@@ -45,3 +45,31 @@ def test_runs_go_on_over_batches(spark, source):
     for r in activity.settled(spark, activity.streaks_stream(stream), "streaks", "update").collect():
         got[r["user_id"]] = max(got.get(r["user_id"], 0), r["longest"])
     assert got == {1: 3, 2: 1}
+
+
+def test_outcomes_wait_for_the_watermark_and_not_for_order(spark, source):
+    from vellumine.streaming import outcomes
+
+    stream = source(
+        [(1, "01 01:00:00", 1, "view"), (2, "01 01:00:00", 2, "view"), (3, "01 01:30:00", 1, "view"), (4, "01 01:10:00", 3, "click")],
+        [(5, "01 01:45:00", 1, "purchase"), (6, "01 02:00:00", 2, "purchase"), (7, "01 01:59:59", 1, "purchase"), (8, None, 1, "view")],
+        [(9, "01 01:40:00", 1, "purchase"), (10, "01 01:20:00", 4, "view"), (10, "01 01:20:00", 4, "view")],  # within the watermark's hour, out of order
+        [(11, "01 06:00:00", 5, "view")],
+        [(16, "01 06:00:01", 7, "view")],  # by the next batch the hours of all before it are over
+        [(12, "01 01:05:00", 2, "purchase"), (13, "01 02:00:00", 6, "view")],  # too late
+        [(14, "01 08:00:00", 5, "purchase"), (15, "01 07:59:00", 5, "view")],
+    )
+    before = spark.conf.get(outcomes.PROVIDER, None)
+    got = sorted((r.user_id, r.event_id, str(r.ts)[11:], r.outcome_id) for r in outcomes.outcomes(spark, stream).collect())
+    # view 15's hour is still open; view 11's is over at seven, which the watermark has reached
+    assert got == [(1, 1, "01:00:00", 9), (1, 3, "01:30:00", 9), (2, 2, "01:00:00", None), (4, 10, "01:20:00", None), (4, 10, "01:20:00", None), (5, 11, "06:00:00", None)]
+    assert spark.conf.get(outcomes.PROVIDER, None) == before
+
+
+def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, source, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    plain = DataStreamWriter.foreachBatch
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", lambda self, put: plain(self, lambda df, n: (put(df, n), put(df, n)) and None))
+    stream = source([(1, "01 01:00:00", 1, "view")], [(2, "01 01:10:00", 1, "view")])
+    assert sorted(r["event_id"] for r in activity.settled(spark, activity.deduplicated_stream(stream), "twice", "append").collect()) == [1, 2]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import cosine, snippet, words
+from vellumine.operators.nearest import neighbours_approx as neighbours_approx
 from vellumine.operators.quotes import AUTOMATON, places
 from vellumine.plans.scratch import Scratch
 
@@ -27,8 +28,6 @@ PASSES = 8
 BLOCK, WIDE = 256, 2048
 #: Bytes of the texts of a block, on average.
 BLOCK_BYTES = 16 << 20
-#: Vectors that the cells of the approximate index are fit on at most, and rounds of fitting.
-SAMPLE, ROUNDS = 20_000, 12
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -103,65 +102,6 @@ def neighbours(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _ranked(reduce(DataFrame.unionAll, parts).select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim")), k)
 
 
-def cells_of(vecs: DataFrame, k: int = 10, recall: float = 0.95, cells: int | None = None) -> tuple[np.ndarray, int]:
-    """Centres of cells of the unit sphere, and how many cells a query must look through to find `recall` of its k nearest. Both are fit on at most SAMPLE vectors,
-    those with the least hashes of their ids: centres by rounds of k-means, the number by exact search of 500 of them among the sample. Zero and null vectors are no sample."""
-    turn = F.xxhash64("vec_id", F.lit(3))
-    rows = vecs.where("embedding is not null").orderBy(turn, "vec_id").limit(SAMPLE).select("embedding").collect()
-    x = np.array([r[0] for r in rows], np.float64) if rows else np.zeros((0, 1))
-    size = np.linalg.norm(x, axis=1)
-    x = x[size > 0] / size[size > 0, None]
-    n = min(len(x), cells or max(1, int(np.sqrt(len(x)) / 2)))
-    if not n:
-        return x, 0
-    centre = x[np.random.default_rng(1).choice(len(x), n, replace=False)]
-    for _ in range(ROUNDS):
-        own = (x @ centre.T).argmax(axis=1)
-        total = np.zeros_like(centre)
-        np.add.at(total, own, x)
-        size = np.linalg.norm(total, axis=1)
-        centre[size > 0] = total[size > 0] / size[size > 0, None]
-    own = (x @ centre.T).argmax(axis=1)
-    asked = x[:500]
-    sim = asked @ x.T
-    sim[np.arange(len(asked)), np.arange(len(asked))] = -9
-    top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
-    needed = np.sort(np.take_along_axis(place, own[top], axis=1).ravel())
-    return centre, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else n
-
-
-def _nearest_cells(centre: np.ndarray, most: int):
-    """vec_id, cells: those whose centres are nearest to the vector, at most so many."""
-
-    def run(batches):
-        for b in batches:
-            v = b.column(1)
-            x = np.array([r or [0.0] * centre.shape[1] for r in v.to_pylist()], np.float64).reshape(-1, centre.shape[1])
-            cells = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :most]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), v, pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64()))], ["vec_id", "embedding", "cells"])
-
-    return run
-
-
-def neighbours_approx(vecs: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, salts: int = 8) -> DataFrame:
-    """About the k nearest vectors of each query by cosine: every vector stands in the cell of its nearest centre, and a query looks through as many of the cells
-    nearest to it as a sample needed for `recall`, with exact cosines. Vectors without clusters need most cells. No cell is capped; a crowded one is dealt to `salts` tasks, to all of which its queries go. Null vectors are left out; a
-    zero vector stands in the first cell. If there are no vectors to fit cells on, no rows."""
-    centre, probed = cells_of(vecs, k, recall)
-    spark = vecs.sparkSession
-    scratch = Scratch(spark, "cells")
-    if not len(centre):
-        return _ranked(queries.limit(0).select(F.col("vec_id").alias("q_id"), "vec_id", F.lit(0.0).alias("sim")), k)
-    shape = "vec_id long, embedding array<float>, cells array<long>"
-    held = lambda df, most: df.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_nearest_cells(centre, most), shape)
-    index = held(vecs, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt"))
-    probes = held(queries, probed).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-    probes = scratch.write(probes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "probes")
-    sim = index.join(probes, ["cell", "salt"]).where("q_id <> vec_id").select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
-    return _ranked(sim, k)
-
-
 def evidence(docs: DataFrame, passages: DataFrame, most: int = PASSES * AUTOMATON) -> DataFrame:
     """doc_id, item_id, pos, len of each passage found whole in a document, at its first place, in characters of the text as it stands; a row for each row of a document and of a passage that meet.
 

@@ -11,6 +11,7 @@ from vellumine.operators import relational as r
 from vellumine.plans.scratch import Scratch
 from vellumine.sources.tables import catalog, table
 from vellumine.streaming import activity
+from vellumine.streaming import outcomes as o
 
 TERMS = ["that", "heren", "the"]
 
@@ -94,6 +95,12 @@ def _streaks(spark, d):
     return activity.settled(spark, activity.streaks_stream(stream), "streaks", "update")
 
 
+def _outcomes(spark, d):
+    """The first purchase within the hour from each view, where the watermark has passed that hour."""
+    found = o.outcomes(spark, activity.events_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema))
+    return found.withColumn("outcome_id", F.coalesce("outcome_id", F.lit(-1).cast("bigint")))
+
+
 def _asof(spark, d):
     e = table(spark, d, "events")
     return r.asof(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").withColumn("as_of", F.coalesce("as_of", F.lit(-1).cast("bigint")))
@@ -137,6 +144,7 @@ QUERIES = {
     "neighbours_approx": _approx,
     "activity_stream": _activity_stream,
     "streaks_stream": _streaks,
+    "outcomes_stream": _outcomes,
     "asof": _asof,
     "interval_join": _intervals,
     "range_join": _ranges,
@@ -188,6 +196,10 @@ ORACLE_SQL = {
     "activity_stream": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by all",
     "streaks_stream": """with l as (select user_id, ts, event_id, event_type, case when event_type = lag(event_type) over w then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
  s as (select user_id, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as nth from l), n as (select user_id, nth, count(*) as n from s group by all) select user_id, max(n) as longest from n group by user_id""",
+    "outcomes_stream": """with l as (select max(ts) - interval 1 hour as passed from events where event_type in ('view', 'purchase')),
+ v as (select user_id, event_id, ts from events, l where event_type = 'view' and ts + interval 1 hour <= passed),
+ m as (select v.user_id, v.event_id, v.ts, p.event_id as outcome_id, row_number() over (partition by v.event_id order by p.ts, p.event_id) as nth
+  from v left join events p on p.event_type = 'purchase' and p.user_id = v.user_id and p.ts >= v.ts and p.ts < v.ts + interval 1 hour) select user_id, event_id, ts, coalesce(outcome_id, -1) as outcome_id from m where nth = 1""",
     "asof": "select p.event_id, p.user_id, p.ts, coalesce(c.event_id, -1) as as_of from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts",
     "interval_join": "select p.event_id as purchase_id, e.event_id from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error' and e.ts >= p.ts and e.ts < p.ts + interval 6 hours",
     "range_join": "select band, count(*) as n from events join (select range as band, range * 7.5 - 20 as low, range * 7.5 - 9.5 as high from range(20)) on value >= low and value < high group by band",

@@ -98,3 +98,40 @@ def test_buckets_of_local_times_do_not_follow_the_zone_of_the_session(spark):
         assert all(r.v == r.as_of for r in relational.asof(df, df, "k", "t", "v", 1800).collect())
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+AT = "k int, t timestamp_ntz, v double, o int, id int, row int, b int, n int"
+
+
+def timed(spark, rows):
+    """Extra columns with names that the operators use within."""
+    start = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(k, None if s is None else start + dt.timedelta(seconds=s), v, o, 1, 2, 3, 4) for k, s, v, o in rows], AT)
+
+
+def random_rows(rng, n, span):
+    whole = lambda x: None if rng.random() < 0.05 else x
+    return [(whole(int(rng.integers(0, 3))), whole(int(rng.integers(0, span))), whole(float(rng.integers(-9, 9))), i) for i in range(n)]
+
+
+def test_last_rows_against_each_pair(spark):
+    rng = np.random.default_rng(8)
+    left, right = random_rows(rng, 80, 400), random_rows(rng, 120, 400)
+    for n, seconds in ((3, 60), (1, 1000), (7, 7)):
+        got = sorted((r["row"].o, [x.o for x in r.past]) for r in relational.last_rows(timed(spark, left), timed(spark, right), "k", "t", n, "o", seconds).collect())
+        want = [(o, [r[3] for r in sorted((x for x in right if x[0] == k and x[1] is not None and x[1] <= s), key=lambda x: (x[1], x[3]), reverse=True)][:n] if k is not None and s is not None else []) for k, s, _, o in left]
+        assert got == sorted(want)
+    none = timed(spark, []).limit(0)
+    assert relational.last_rows(none, timed(spark, right), "k", "t", 2, "o").count() == 0
+    assert [r.past for r in relational.last_rows(timed(spark, left[:2]), none, "k", "t", 2, "o").collect()] == [[], []]
+
+
+def test_moving_sums_against_each_frame(spark):
+    rng = np.random.default_rng(9)
+    rows = random_rows(rng, 150, 500)
+    for seconds, width in ((60, None), (60, 7), (60, 1000), (45, 20)):
+        got = {r.o: (r["_n"], r["total"]) for r in relational.moving(timed(spark, rows), "k", "t", "v", seconds, width).collect()}
+        for k, s, _, o in rows:
+            own = [x[2] for x in rows if s is not None and x[1] is not None and x[0] == k and s - seconds <= x[1] <= s and x[2] is not None]
+            assert got[o] == ((None, None) if s is None else (len(own), sum(own) if own else None)), (seconds, width, o)
+    assert relational.moving(timed(spark, []).limit(0), "k", "t", "v", 60).count() == 0

@@ -106,6 +106,19 @@ def _asof(spark, d):
     return r.asof(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").withColumn("as_of", F.coalesce("as_of", F.lit(-1).cast("bigint")))
 
 
+def _last_clicks(spark, d):
+    """The last three clicks of the same user before each purchase, the latest first."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    found = r.last_rows(e.where("event_type = 'purchase'"), e.where("event_type = 'click'").select("event_id", "user_id", "ts"), "user_id", "ts", 3, "event_id")
+    return found.select(F.col("row.event_id").alias("purchase_id"), F.posexplode("past").alias("p", "c")).select("purchase_id", (F.col("p") + 1).cast("long").alias("nth"), F.col("c.event_id").alias("click_id"))
+
+
+def _moving(spark, d):
+    """Events of the same type, of which there are five, in the six hours up to each, and their value."""
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return r.moving(e, "event_type", "ts", "value", 21_600).select("event_id", "n", F.round("total", 4).alias("total"))
+
+
 def _intervals(spark, d):
     """Errors in the six hours from a purchase of the same user."""
     e = table(spark, d, "events")
@@ -146,6 +159,8 @@ QUERIES = {
     "streaks_stream": _streaks,
     "outcomes_stream": _outcomes,
     "asof": _asof,
+    "last_clicks": _last_clicks,
+    "moving": _moving,
     "interval_join": _intervals,
     "range_join": _ranges,
     "subtotals": lambda s, d: r.subtotals(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], quantity="l_quantity"),
@@ -201,6 +216,10 @@ ORACLE_SQL = {
  m as (select v.user_id, v.event_id, v.ts, p.event_id as outcome_id, row_number() over (partition by v.event_id order by p.ts, p.event_id) as nth
   from v left join events p on p.event_type = 'purchase' and p.user_id = v.user_id and p.ts >= v.ts and p.ts < v.ts + interval 1 hour) select user_id, event_id, ts, coalesce(outcome_id, -1) as outcome_id from m where nth = 1""",
     "asof": "select p.event_id, p.user_id, p.ts, coalesce(c.event_id, -1) as as_of from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts",
+    "last_clicks": """select p.event_id as purchase_id, c.nth, c.event_id as click_id from events p,
+ lateral (select event_id, row_number() over (order by ts desc, event_id desc) as nth from events c where c.event_type = 'click' and c.user_id = p.user_id and c.ts <= p.ts order by ts desc, event_id desc limit 3) c where p.event_type = 'purchase'""",
+    "moving": """select event_id, count(value) over w as n, round(sum(value) over w, 4) as total from events
+ window w as (partition by event_type order by ts range between interval 6 hours preceding and current row)""",
     "interval_join": "select p.event_id as purchase_id, e.event_id from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error' and e.ts >= p.ts and e.ts < p.ts + interval 6 hours",
     "range_join": "select band, count(*) as n from events join (select range as band, range * 7.5 - 20 as low, range * 7.5 - 9.5 as high from range(20)) on value >= low and value < high group by band",
     "subtotals": "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, cast(grouping(l_returnflag) + grouping(l_linestatus) as bigint) as level from lineitem group by rollup (l_returnflag, l_linestatus)",

@@ -17,6 +17,7 @@ from vellumine.plans.scratch import ship
 
 #: Bytes of passages of one automaton, which every Python worker builds once; more passages are sought in several passes.
 AUTOMATON = 4 << 20
+FOUND = "doc_id long, item_id long, at array<long>, len long"
 
 
 def token_spans(items: DataFrame) -> DataFrame:
@@ -58,50 +59,56 @@ def _automaton(number: int, held: _Held):
 
     made = ahocorasick.Automaton()
     for passage, ids in held.shared.value.items():
-        made.add_word(passage, (len(passage), ids))
+        made.add_word(passage, (len(passage), passage, ids))
     made.make_automaton()
     return made
 
 
-def _finder(number: int, shared, first: bool):
+def _finder(number: int, shared):
     held = _Held(shared)
 
     def run(batches):
         seek = _automaton(number, held)
         for b in batches:
-            doc, item, pos, length = [], [], [], []
+            doc, item, at, length = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                seen = set()
-                for end, (n, ids) in seek.iter(text):
-                    if first and ids in seen:
-                        continue
-                    seen.add(ids)
+                seen: dict[str, tuple] = {}
+                for end, (n, passage, ids) in seek.iter(text):
+                    seen.setdefault(passage, (n, ids, []))[2].append(end - n + 2)
+                for n, ids, where in seen.values():
                     doc += [i] * len(ids)
                     item += ids
-                    pos += [end - n + 2] * len(ids)
+                    at += [where] * len(ids)
                     length += [n] * len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(pos, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "item_id", "pos", "len"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(length, pa.int64())], ["doc_id", "item_id", "at", "len"])
 
     return run
 
 
-def places(docs: DataFrame, passages: DataFrame, first: bool = False, most: int = AUTOMATON) -> DataFrame:
-    """doc_id, item_id, pos (1-based, in characters), len: every place of every passage in every text, overlapping ones too; with `first`, the first place of each passage in each text.
+def found(docs: DataFrame, passages: DataFrame, most: int = AUTOMATON) -> DataFrame:
+    """doc_id, item_id, at, len: for every text and passage that meet, all places of the passage (1-based, in characters, ascending), overlapping ones too.
 
-    All passages stand in an Aho-Corasick automaton, which reads a text once however many passages there are, so documents are neither shuffled nor joined. Passages of more than `most` bytes in all are dealt by a hash to so many
-    automatons, each of them a pass over the documents; what the driver gathers and sends is one automaton's passages at a time. Equal passages share a place in it. Rows without an id are not reported, and passages without one not sought."""
+    All passages stand in an Aho-Corasick automaton, which reads a text once however many passages there are, so documents are neither shuffled nor joined, and a text's places of a passage are one row. Passages of more than `most` bytes in all
+    are dealt by a hash to so many automatons, each of them a pass over the documents; what the driver gathers and sends is one automaton's passages at a time. Equal passages share a place in it. Rows without an id are not reported, and
+    passages without one not sought."""
     spark = docs.sparkSession
     ship(spark)
     own = passages.where("length(text) > 0 and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // most))
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
+    out = []
     for i in range(parts):
         ids: dict[str, list[int]] = {}
         for r in own.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i).toArrow().to_pylist():
             ids.setdefault(r["text"], []).append(r["item_id"])
-        shared = spark.sparkContext.broadcast({text: tuple(sorted(x)) for text, x in ids.items()})
         if ids:
-            found.append(texts.mapInArrow(_finder(shared._jbroadcast.id(), shared, first), "doc_id long, item_id long, pos long, len long"))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "doc_id long, item_id long, pos long, len long")
+            shared = spark.sparkContext.broadcast({text: tuple(sorted(x)) for text, x in ids.items()})
+            out.append(texts.mapInArrow(_finder(shared._jbroadcast.id(), shared), FOUND))
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], FOUND)
+
+
+def places(docs: DataFrame, passages: DataFrame, first: bool = False, most: int = AUTOMATON) -> DataFrame:
+    """doc_id, item_id, pos, len: found() with a row for every place, or with `first` for the first place of each passage in each text."""
+    each = found(docs, passages, most)
+    return each.select("doc_id", "item_id", (F.col("at")[0] if first else F.explode("at")).alias("pos"), "len")

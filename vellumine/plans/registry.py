@@ -45,11 +45,12 @@ def _token_spans(spark, d):
 
 
 def _evidence_places(spark, d):
-    """Every place of each benchmark passage, and of its first two words, in the documents."""
+    """Every place of each benchmark passage, and of its first two words, in the documents; a row for each document and passage that meet."""
     own = table(spark, d, "benchmark")
     opening = F.concat(F.split("text", " ")[0], F.lit(" "), F.split("text", " ")[1])
     both = own.select((F.col("item_id") * 2).alias("item_id"), "text").unionByName(own.select((F.col("item_id") * 2 + 1).alias("item_id"), opening.alias("text")))
-    return quotes.places(table(spark, d, "documents"), both)
+    found = quotes.found(table(spark, d, "documents"), both)
+    return found.select("doc_id", "item_id", F.size("at").cast("long").alias("n"), F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("places"), "len")
 
 
 def _bm25_indexed(spark, d):
@@ -202,7 +203,8 @@ ORACLE_SQL = {
     "evidence": f"select * from {_EVIDENCE}",
     "evidence_places": """with p as (select item_id * 2 as item_id, text as passage from benchmark union all select item_id * 2 + 1, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) from benchmark),
  m as (select doc_id, item_id, text, passage from documents join p on contains(text, passage)),
- s as (select doc_id, item_id, passage, text, unnest(range(1, length(text) - length(passage) + 2)) as pos from m) select doc_id, item_id, pos, length(passage) as len from s where substr(text, pos, length(passage)) = passage""",
+ s as (select doc_id, item_id, passage, text, unnest(range(1, length(text) - length(passage) + 2)) as pos from m)
+ select doc_id, item_id, count(*) as n, string_agg(cast(pos as varchar), ',' order by pos) as places, length(passage) as len from s where substr(text, pos, length(passage)) = passage group by doc_id, item_id, passage""",
     "grounded": f"select * from labels where doc_id in (select doc_id from {_EVIDENCE})",
     "ungrounded": f"select * from labels where doc_id not in (select doc_id from {_EVIDENCE})",
     "links": f"select * from {_LINKS}",

@@ -52,23 +52,30 @@ def test_ends_early_and_reads_the_folders_of_its_words_alone(texts):
 def test_blocks_are_bounded_and_hold_every_posting_once(texts):
     df, own, words = texts
     blocks = own.spark.read.parquet(f"{own.path}/blocks")
-    assert blocks.agg(F.max("n")).first()[0] <= index.BLOCK and blocks.where(F.col("n") != F.size("hits")).count() == 0
-    each = blocks.select("w", "top", F.inline("hits"))
+    assert blocks.agg(F.max("n")).first()[0] <= index.BLOCK and blocks.where((F.col("n") != F.size("items")) | (F.col("n") != F.size("tf")) | (F.col("n") != F.size("len"))).count() == 0
+    each = index.hits(blocks)
     from vellumine.functions.text import words as split
 
     want = df.select("kind", "item_id", F.explode(split(F.col("body"))).alias("w")).groupBy("kind", "item_id", "w").agg(F.count("*").cast("int").alias("tf"))
     assert each.select("kind", "item_id", "w", "tf").exceptAll(want).count() == 0 and each.count() == want.count()
+    least = blocks.select("top", F.inline(F.arrays_zip("tf", "len")))
     impact = F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * F.col("len") / own.mean))
-    assert each.where(impact > F.col("top") + 1e-12).count() == 0
+    assert least.where(impact > F.col("top") + 1e-12).count() == 0
 
 
 def test_long_lists_are_cut_and_short_ones_joined():
-    hit = lambda i: {"kind": "a", "item_id": str(i), "tf": 1, "len": 9}
     rows = [("x", 3, 0, 1.0, range(1300)), ("x", 3, 0, 0.9, range(1300, 1400)), ("x", 2, 0, 0.5, range(2)), ("y", 2, 1, 0.4, range(600)), ("y", 2, 1, 0.7, range(600, 700))]
-    batches = [pa.RecordBatch.from_pylist([{"w": w, "level": lv, "bucket": b, "top": t, "hits": [hit(i) for i in ids]} for w, lv, b, t, ids in part]) for part in (rows[:1], rows[1:4], rows[4:])]
-    got = [r for b in index._blocks(iter(batches)) for r in b.to_pylist()]
-    assert [(r["w"], r["level"], r["bucket"], r["n"], r["top"]) for r in got] == [("x", 3, 0, 512, 1.0), ("x", 3, 0, 512, 1.0), ("x", 3, 0, 376, 1.0), ("x", 2, 0, 2, 0.5), ("y", 2, 1, 512, 0.4), ("y", 2, 1, 188, 0.7)]
-    assert [int(h["item_id"]) for r in got for h in r["hits"]] == [*range(1400), *range(2), *range(700)]
+    for cuts in ((1, 4), (2, 3), (5, 5), (0, 3)):
+        lo, parts = 0, []
+        for hi in (*cuts, len(rows)):
+            parts.append(rows[lo:hi])
+            lo = hi
+        schema = pa.schema([("w", pa.string()), ("level", pa.int32()), ("bucket", pa.int32()), ("top", pa.float64()), ("items", pa.list_(pa.string())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))])
+        batches = [pa.RecordBatch.from_pylist([{"w": w, "level": lv, "bucket": b, "top": t, "items": list(map(str, ids)), "tf": [1] * len(ids), "len": [9] * len(ids)} for w, lv, b, t, ids in part], schema) for part in parts]
+        got = [r for b in index._blocks(iter(batches)) for r in b.to_pylist()]
+        assert [(r["w"], r["level"], r["bucket"], r["n"]) for r in got] == [("x", 3, 0, 512), ("x", 3, 0, 512), ("x", 3, 0, 376), ("x", 2, 0, 2), ("y", 2, 1, 512), ("y", 2, 1, 188)]
+        assert all(r["top"] >= best for r, best in zip(got, (1.0, 1.0, 1.0, 0.5, 0.4, 0.7), strict=True))
+        assert [int(i) for r in got for i in r["items"]] == [*range(1400), *range(2), *range(700)]
 
 
 def test_a_written_index_is_found_again_and_an_empty_one_finds_nothing(spark, texts):

@@ -30,8 +30,10 @@ from vellumine.plans.scratch import Scratch, ship
 BLOCK, LEVELS = 512, 24
 #: Items for each bucket of words, and the least and the most buckets.
 PER_BUCKET, BUCKETS = 50_000, (8, 4096)
-#: Tasks that postings of a word are dealt to when it stands in this many items of one batch or more.
-DEALT, OFTEN = 16, 64
+#: Tasks that postings of a word are dealt to when it stands in this many of the items that are sorted at once.
+DEALT, OFTEN = 16, 1024
+#: Words of the items that are sorted at once before the shuffle, and rows of a batch given back.
+TOGETHER, ROWS = 2_000_000, 20_000
 #: A step reads levels until it has so many times the postings that the step before had.
 WIDER = 8
 #: Scores are rounded to six digits; what could differ by less is not ruled out.
@@ -43,74 +45,101 @@ def _impact(tf, length, mean: float, k1: float = K1, b: float = B):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of up to TOGETHER words, so that fewer lists of a word are shuffled."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b.column(1).flatten())
+        if n >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _postings(mean: float):
-    """Of each batch of items: for each word and level the items that have it. Columns: w, level, deal, top, hits."""
+    """For each word and level the items that have it, of many items at once. Columns: w, level, deal, top, items, tf, len."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten()
-            if not len(flat):
-                continue
+        for b in _gathered(batches):
+            items, lists = (b.column(i).chunk(0) for i in range(2))
             length = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-            coded = flat.dictionary_encode()
+            coded = lists.flatten().dictionary_encode()
             code = np.asarray(coded.indices).astype(np.int64)
             pair, tf = np.unique(code * len(lists) + np.repeat(np.arange(len(lists)), length), return_counts=True)
             code, doc = pair // len(lists), pair % len(lists)
             impact = _impact(tf, length[doc], mean)
             level = np.minimum(LEVELS - 1, (impact * (LEVELS / (K1 + 1))).astype(np.int64))
-            order = np.lexsort((-impact, -level, code))
-            code, doc, tf, impact, level = (x[order] for x in (code, doc, tf, impact, level))
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (level[1:] != level[:-1])]))
-            many = np.bincount(code)[code[first]] >= OFTEN
-            deal = np.where(many, zlib.crc32(str(b.column(1)[0]).encode()) % DEALT, 0)
-            take = pa.array(doc)
-            hits = pa.StructArray.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(tf, pa.int32()), pa.array(length[doc], pa.int32())], ["kind", "item_id", "tf", "len"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), hits)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(level[first], pa.int32()), pa.array(deal, pa.int32()), pa.array(impact[first]), lists], ["w", "level", "deal", "top", "hits"])
+            key = code * LEVELS + (LEVELS - 1 - level)
+            order = np.argsort(key, kind="stable")
+            key, doc, tf, impact = key[order], doc[order], tf[order], impact[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            code = key[first] // LEVELS
+            many = np.bincount(key // LEVELS)[code] >= OFTEN
+            deal = np.where(many, zlib.crc32(str(items[0]).encode()) % DEALT, 0)
+            ends = pa.array(np.append(first, len(doc)), pa.int32())
+            held = [pa.ListArray.from_arrays(ends, x) for x in (items.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(length[doc], pa.int32()))]
+            top = np.maximum.reduceat(impact, first) if len(first) else impact
+            words_ = coded.dictionary.take(pa.array(code)).cast(pa.string())
+            made = [words_, pa.array(LEVELS - 1 - key[first] % LEVELS, pa.int32()), pa.array(deal, pa.int32()), pa.array(top), *held]
+            batch = pa.RecordBatch.from_arrays(made, ["w", "level", "deal", "top", "items", "tf", "len"])
+            for lo in range(0, batch.num_rows, ROWS):
+                yield batch.slice(lo, ROWS)
 
     return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """Neighbouring lists of one word and level as blocks of up to BLOCK; lists come sorted by word, level and top, and a list may be longer. At most a block of a word is held."""
-    key, held, n, top = None, [], 0, 0.0
-
-    def block():
-        return key, pa.concat_arrays(held), top
-
+    """Neighbouring lists of one word and level as blocks of up to BLOCK; lists come sorted by word and level, and a list may be longer. Blocks are cut where a word or level begins and after each BLOCK hits from there on; at most
+    one block is held over to the next batch."""
+    key, held, n, top = None, None, 0, 0.0  # of the block that is open
     for b in batches:
-        made = []
-        hits = b.column(4)
-        values, ends = hits.flatten(), np.cumsum(np.asarray(hits.value_lengths()))
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        for own, lo, hi, best in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), starts.tolist(), ends.tolist(), b.column(3).to_pylist(), strict=True):
-            if own != key and held:
-                made.append(block())
-                held, n = [], 0
-            while lo < hi:
-                if not held:
-                    key, top = own, best
-                some = min(hi - lo, BLOCK - n)
-                held.append(values.slice(lo, some))
-                top = max(top, best)
-                lo, n = lo + some, n + some
-                if n == BLOCK:
-                    made.append(block())
-                    held, n = [], 0
-        if made:
-            yield _batch(made)
-    if held:
-        yield _batch([block()])
-
-
-def _batch(made: list) -> pa.RecordBatch:
-    size = [len(h) for _, h, _ in made]
-    hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.concat_arrays([h for _, h, _ in made]))
-    return pa.RecordBatch.from_arrays([pa.array([k[2] for k, _, _ in made], pa.int32()), pa.array([k[0] for k, _, _ in made], pa.string()), pa.array([k[1] for k, _, _ in made], pa.int32()), pa.array([t for _, _, t in made], pa.float64()), pa.array(size, pa.int32()), hits], ["bucket", "w", "level", "top", "n", "hits"])
-
-
-_HITS = "array<struct<kind: string, item_id: string, tf: int, len: int>>"
+        size = np.asarray(b.column(4).value_lengths()).astype(np.int64)
+        hits = pa.table([b.column(i).flatten() for i in (4, 5, 6)], names=["item_id", "tf", "len"])
+        if not b.num_rows:
+            continue
+        words_, level, bucket, best = (b.column(i) for i in range(4))
+        w = words_.dictionary_encode()
+        w_code, lv = np.asarray(w.indices).astype(np.int64), np.asarray(level).astype(np.int64)
+        new = np.concatenate([[True], (w_code[1:] != w_code[:-1]) | (lv[1:] != lv[:-1])])
+        if held is not None and key[:2] == (words_[0].as_py(), level[0].as_py()):
+            new[0] = False
+        if held is not None:  # the open block comes first
+            hits = pa.concat_tables([held, hits])
+            size = np.concatenate([[n], size])
+            new = np.concatenate([[True], new])
+            names = pa.concat_arrays([pa.array([key[0]]), words_.cast(pa.string())])
+            lv, buckets, tops = np.concatenate([[key[1]], lv]), np.concatenate([[key[2]], np.asarray(bucket)]), np.concatenate([[top], np.asarray(best)])
+        else:
+            names, buckets, tops = words_.cast(pa.string()), np.asarray(bucket), np.asarray(best)
+        rows = np.flatnonzero(new)
+        ends = np.cumsum(size)
+        start = (ends - size)[rows]
+        total = np.append(start[1:], ends[-1]) - start
+        blocks = -(-total // BLOCK)
+        of = np.repeat(np.arange(len(rows)), blocks)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        lo = start[of] + nth * BLOCK
+        many = np.minimum(BLOCK, total[of] - nth * BLOCK)
+        best = np.maximum.reduceat(tops, rows)
+        last = len(of) - 1  # stays open
+        key, n, top = (names[int(rows[of[last]])].as_py(), int(lv[rows[of[last]]]), int(buckets[rows[of[last]]])), int(many[last]), float(best[of[last]])
+        held = hits.slice(int(lo[last]), n).combine_chunks()
+        if last:
+            at = rows[of[:last]]
+            yield _batch(buckets[at], names.take(pa.array(at)), lv[at], best[of[:last]], many[:last], hits.slice(0, int(lo[last])))
+    if held is not None:
+        yield _batch([key[2]], pa.array([key[0]], pa.string()), [key[1]], [top], [n], held)
+
+
+def _batch(bucket, w, level, top, size, hits: pa.Table) -> pa.RecordBatch:
+    columns = [c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in hits.columns]
+    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), w, pa.array(level, pa.int32()), pa.array(top, pa.float64()), pa.array(size, pa.int32()), *(pa.ListArray.from_arrays(ends, c) for c in columns)], ["bucket", "w", "level", "top", "n", "items", "tf", "len"])
+
+
+_HITS = "items array<string>, tf array<int>, len array<int>"
 
 
 @dataclass
@@ -125,7 +154,7 @@ class Index:
 
     def blocks(self, terms: list[str]) -> DataFrame:
         """The blocks of these words; the folders of other buckets are not read."""
-        found = self.spark.read.schema(f"w string, level int, top double, n int, hits {_HITS}, bucket int").parquet(f"{self.path}/blocks")
+        found = self.spark.read.schema(f"w string, level int, top double, n int, {_HITS}, bucket int").parquet(f"{self.path}/blocks")
         own = self.spark.range(1).select(*(bucket_of(F.lit(t), self.buckets).alias(str(i)) for i, t in enumerate(terms))).first()
         return found.where(F.col("bucket").isin(*set(own)) & F.col("w").isin(*terms))
 
@@ -138,14 +167,16 @@ def build(items: DataFrame, path: str) -> Index:
     """Write the index of items (kind, item_id, body) to a folder that all executors share. A batch's postings of one word and level are one row of the only shuffle, which deals words by bucket, and frequent words to several tasks of it."""
     spark = items.sparkSession
     ship(spark)
-    w = items.select(F.col("kind").cast("string").alias("kind"), F.col("item_id").cast("string").alias("item_id"), words(F.col("body")).alias("w"))
+    # kind and id are one string of a hit: the length of the kind, the kind and the id
+    kind, item = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("kind", "item_id"))
+    w = items.select(F.concat(F.length(kind).cast("string"), F.lit(":"), kind, item).alias("item"), words(F.col("body")).alias("w"))
     n, mean = w.agg(F.count("*"), F.avg(F.size("w"))).first()
     buckets = int(min(BUCKETS[1], max(BUCKETS[0], n // PER_BUCKET)))
     index = Index(spark, path, n, float(mean or 0) or 1.0, buckets)
-    lists = w.mapInArrow(_postings(index.mean), f"w string, level int, deal int, top double, hits {_HITS}")
+    lists = w.mapInArrow(_postings(index.mean), f"w string, level int, deal int, top double, {_HITS}")
     dealt = lists.withColumn("bucket", bucket_of(F.col("w"), buckets)).repartition(buckets * DEALT // 2, "bucket", "deal")
-    rows = dealt.sortWithinPartitions("bucket", "w", F.desc("level"), F.desc("top")).select("w", "level", "bucket", "top", "hits")
-    blocks = rows.mapInArrow(_blocks, f"bucket int, w string, level int, top double, n int, hits {_HITS}")
+    rows = dealt.sortWithinPartitions("bucket", "w", F.desc("level")).select("w", "level", "bucket", "top", "items", "tf", "len")
+    blocks = rows.mapInArrow(_blocks, f"bucket int, w string, level int, top double, n int, {_HITS}")
     blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
     stats = spark.createDataFrame([(n, index.mean, buckets)], "items long, mean double, buckets int")
     stats.write.parquet(f"{path}/items")
@@ -158,9 +189,16 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, r["items"], r["mean"], r["buckets"])
 
 
-def _shares(blocks: DataFrame, weights: dict[str, float], mean: float) -> DataFrame:
-    """kind, item_id and what each word adds to the item's score."""
-    each = blocks.select("w", F.inline("hits"))
+def hits(blocks: DataFrame) -> DataFrame:
+    """w, level, kind, item_id, tf, len: a row for each posting of the blocks."""
+    each = blocks.select("w", "level", F.inline(F.arrays_zip("items", "tf", "len")))
+    size = F.substring_index("items", ":", 1)
+    kind = F.substring("items", F.length(size) + 2, size.cast("int"))
+    return each.select("w", "level", kind.alias("kind"), F.substring("items", F.length(size) + 2 + size.cast("int"), F.length("items")).alias("item_id"), "tf", "len")
+
+
+def _shares(each: DataFrame, weights: dict[str, float], mean: float) -> DataFrame:
+    """kind, item_id and what each word adds to the item's score, of hits."""
     parts = [F.sum(F.when(F.col("w") == t, F.lit(weights[t]) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean)))).alias(f"s{i}") for i, t in enumerate(weights)]
     return each.groupBy("kind", "item_id").agg(*parts)
 
@@ -196,7 +234,7 @@ def top(index: Index, terms: list[str], k: int, seen: dict | None = None) -> Dat
             own = (F.col("w") == t) & (F.col("level") >= cut[t])
             above = own if above is None else above | own
         name = f"step{seen['steps']}"
-        partial = scratch.write(_shares(blocks.where(above), weights, index.mean).withColumn("sum", score()), name)
+        partial = scratch.write(_shares(hits(blocks.where(above)), weights, index.mean).withColumn("sum", score()), name)
         rest = sum(times[t] * weights[t] * unread[t] for t in weights)
         seen["steps"] += 1
         seen["read"] += sum(heads[t, lv][0] for t in weights for lv in levels[t] if lv >= cut[t])
@@ -209,9 +247,8 @@ def top(index: Index, terms: list[str], k: int, seen: dict | None = None) -> Dat
     # what each may still gain: words whose posting it has gain nothing more
     gain = sum((F.when(F.col(f"s{i}").isNull(), times[t] * weights[t] * unread[t]).otherwise(0.0) for i, t in enumerate(weights)), F.lit(0.0))
     live = scratch.write(partial.where(F.col("sum") + gain >= best[-1] - NEAR), "live")
-    below = blocks.where(~above).select("w", F.inline("hits")).join(few(live.select("kind", "item_id")), ["kind", "item_id"], "left_semi")
-    own = below.select("w", F.struct("kind", "item_id", "tf", "len").alias("h")).select("w", F.array("h").alias("hits"))
-    both = live.drop("sum").unionByName(_shares(own, weights, index.mean)).groupBy("kind", "item_id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(weights))))
+    below = hits(blocks.where(~above)).join(few(live.select("kind", "item_id")), ["kind", "item_id"], "left_semi")
+    both = live.drop("sum").unionByName(_shares(below, weights, index.mean)).groupBy("kind", "item_id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(weights))))
     return _ranked(both.withColumn("score", score()), k)
 
 

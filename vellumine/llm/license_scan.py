@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from vellumine.plans.scratch import Scratch
 
 SHINGLE, PIECE, BANDS, ROWS, LEAST, NEAR = 5, 32, 16, 2, 0.8, 16
+#: Beyond the size of any window.
+WIDEST = 1 << 16
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
 WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -151,13 +153,17 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     def of_size(p: Column, m: int) -> Column:
         step = max(1, m // 4)
         nth = F.sequence(F.floor(F.greatest(p - m + 1, F.lit(0)) / step), F.floor(p / step))
-        return F.transform(nth, lambda q: F.struct((q * step).cast("int").alias("s"), F.lit(m).alias("m")))
+        return F.transform(nth, lambda q: q.cast("long") * (step * WIDEST) + m)  # start and size as one number: structs would be told apart pair by pair
 
     def starts(p: Column) -> Column:
         return F.concat(*(of_size(p, m) for m in sizes))
 
-    spots = hits.select("row", "all", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("w"))
-    windows = spots.select("row", F.col("w.s").alias("s"), bands_of(F.slice("all", F.col("w.s") + 1, F.col("w.m")), F.col("w.m")).alias("bands")).select("row", "s", F.explode("bands").alias("band"))
+    # bands are made within the row, so that no window takes the whole text along
+    spots = F.array_distinct(F.flatten(F.transform("hits", starts)))
+    start = lambda w: F.floor(w / WIDEST).cast("int")
+    size = lambda w: (w % WIDEST).cast("int")
+    banded = F.transform(spots, lambda w: F.struct(start(w).alias("s"), bands_of(F.slice("all", start(w) + 1, size(w)), size(w)).alias("bands")))
+    windows = hits.select("row", F.inline(banded)).select("row", "s", F.explode("bands").alias("band"))
     # as many rows as the templates have bands
     found = windows.join(F.broadcast(table.select("band", "template", "place")), "band").select("row", "template", (F.col("s") - F.col("place")).alias("begin"), "s").groupBy("row", "template", "begin").agg(F.min("s").alias("s"))
     whole = table.select("template", "family", "whole", "long").distinct()

@@ -2,8 +2,11 @@
 
 A tolerant parser makes a tree of block elements; inline elements only add to the text of the block around them. Each block has features of
 its tag, the tokens of its attributes, its depth, the text, links and sentences of its subtree, its siblings and its ancestors.
+A token or tag above a block also counts by the share of the page's text that stands under it, as a form or a "sidebar-left" around a whole page says little.
+Names such as has-sidebar or with-comments tell what a block holds besides and are no tokens of it.
 Trees give the log odds that a block is main text. Decoding picks the labels with the greatest sum of log odds among those in which a
-dropped block has no kept descendant. The kept blocks' text is decoded, its white space made single, and joined in page order.
+dropped block has no kept descendant. A page of which nothing is kept is read again without the names and tags of menus, frames, sides and forms on blocks that hold
+half of its text and two paragraphs or more, and with BENEFIT more for blocks that stand under no telling name or tag. The kept blocks' text is decoded, its white space made single, and joined in page order.
 
 The trees are trained on PAGES made-up pages of many layouts, whose main text is known; the training is a function of a seed alone.
 
@@ -26,7 +29,7 @@ from vellumine.llm import boosting
 from vellumine.llm.joins import unused
 from vellumine.plans.scratch import ship
 
-PAGES, SEED = 700, 3
+PAGES, SEED = 800, 3
 #: HTML elements by their role for the parser.
 BLOCKS = set("""html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption
 nav header footer aside form fieldset details summary address center hgroup dialog menu""".split())
@@ -53,6 +56,10 @@ GROUPS = {
     "talk": "comment comments commentlist reply replies respond disqus discussion reader readers feedback kommentar kommentare commentaire commentaires comentario comentarios".split(),
     "social": "share sharing social follow like tweet facebook teilen partager compartir".split(),
 }
+#: Log odds that a second reading adds for blocks under no telling name or tag.
+BENEFIT = 2.0
+#: A name that begins so tells what a block holds besides, or lacks.
+BESIDES = {"has", "with", "no", "without", "hide", "show", "mit", "ohne", "avec", "sans", "con", "sin"}
 _GROUP = {t: i for i, words in enumerate(GROUPS.values()) for t in words}
 TAGS = ["article", "main", "section", "div", "p", "h", "ul", "li", "table", "td", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "body", "dl"]
 _TAG = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": 5 for i in range(1, 7)} | {"ol": 6, "menu": 10, "tr": 8, "tbody": 8, "thead": 8, "th": 9, "dt": 19, "dd": 19, "figcaption": 17, "html": 18, "fieldset": 14}
@@ -77,9 +84,11 @@ def groups_of(attributes: str) -> int:
 def _groups(attributes: str) -> int:
     bits = 0
     for value in ATTRIBUTE.findall(attributes):
-        for token in _WORD.findall(_CAMEL.sub(" ", value).lower()):
-            if token in _GROUP:
-                bits |= 1 << _GROUP[token]
+        for name in value.strip("\"'").split():
+            tokens = _WORD.findall(_CAMEL.sub(" ", name).lower())
+            for token in tokens if tokens and tokens[0] not in BESIDES else ():
+                if token in _GROUP:
+                    bits |= 1 << _GROUP[token]
     return bits | (1 << 20 if HIDDEN.search(attributes) else 0)
 
 
@@ -198,11 +207,16 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-NAMES = ["tag", *(f"is_{t}" for t in TAGS), *(f"own_{g}" for g in GROUPS), *(f"over_{g}" for g in GROUPS), "under_article", "under_aside", "under_p_box", "hidden", "depth", "own", "length", "link_share", "links", "stops", "share", "blocks", "paragraphs", "siblings", "place", "share_of_parent", "sibling_mean", "like_siblings", "mean_block"]
+NAMES = ["tag", *(f"is_{t}" for t in TAGS), *(f"own_{g}" for g in GROUPS), *(f"over_{g}" for g in GROUPS), *(f"share_over_{g}" for g in GROUPS), "under_article", "under_aside", "under_form", "under_p_box", "share_under_aside", "share_under_form", "hidden", "depth", "own", "length", "link_share", "links", "stops", "share", "blocks", "paragraphs", "siblings", "place", "share_of_parent", "sibling_mean", "like_siblings", "mean_block"]
 
 
-def features(trees: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all blocks of all trees, each block's parent in the same numbering (-1: root), and the first block of each tree."""
+TELLING = [i for i, name in enumerate(NAMES) if name in {"is_nav", "is_header", "is_footer", "is_aside", "is_form", "under_aside", "under_form", "hidden"} | {f"{k}_{g}" for k in ("own", "over") for g in GROUPS if g not in ("main", "title")}]
+#: Groups and tags that a second reading leaves out on blocks which hold most of the page.
+LOOSE = sum(1 << list(GROUPS).index(g) for g in ("menu", "frame", "side", "form", "social"))
+
+
+def features(trees: list[list[Block]], again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all blocks of all trees, each block's parent in the same numbering (-1: root), and the first block of each tree. Again: as a second reading sees them."""
     first = np.cumsum([0, *map(len, trees)])
     blocks = [b for t in trees for b in t]
     n = len(blocks)
@@ -214,8 +228,8 @@ def features(trees: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     own, link, links, stops, kids = (np.array([getattr(b, k) for b in blocks], float) for k in ("length", "link", "links", "stops", "kids"))
     depth = np.zeros(n, np.int64)
     over = np.zeros(n, np.int64)
-    kind = (1 << 0) * np.isin(tag, (0, 1)) | (1 << 1) * np.isin(tag, (10, 11, 12, 13, 14)) | (1 << 2) * (tag == 4)
     above = np.zeros(n, np.int64)
+    under = np.zeros((n, len(GROUPS) + 2))
     total = np.stack([own, link, links, stops, np.ones(n), (tag == 4).astype(float), (own > 0).astype(float)], axis=1)
     # parents stand before their children: down by levels, up by levels
     level = 0
@@ -231,22 +245,31 @@ def features(trees: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         if len(rows):
             level += 1
             depth[rows] = level
-            over[rows] = over[parent[rows]] | groups[parent[rows]]
-            above[rows] = above[parent[rows]] | kind[parent[rows]]
             levels.append(rows)
     for rows in reversed(levels[1:]):
         np.add.at(total, parent[rows], total[rows])
     up = np.maximum(parent, 0)
     length = total[:, 0]
     page = length[base]
+    share = length / np.maximum(page, 1)
+    if again:
+        wide = (share >= 0.5) & (total[:, 5] >= 2)
+        groups = np.where(wide, groups & ~LOOSE, groups)
+        tag = np.where(wide & np.isin(tag, (10, 11, 12, 13, 14)), 3, tag)
+    kind = (1 << 0) * np.isin(tag, (0, 1)) | (1 << 1) * np.isin(tag, (10, 11, 12, 13)) | (1 << 2) * (tag == 14) | (1 << 3) * (tag == 4)
+    held = np.stack([*((groups >> i) & 1 for i in range(len(GROUPS))), (kind >> 1) & 1, (kind >> 2) & 1], axis=1) * share[:, None]
+    for rows in levels[1:]:
+        over[rows] = over[parent[rows]] | groups[parent[rows]]
+        above[rows] = above[parent[rows]] | kind[parent[rows]]
+        under[rows] = np.maximum(under[parent[rows]], held[parent[rows]])
     siblings = np.where(parent < 0, 1, kids[up])
     place = np.zeros(n)
     place[children_of] = np.arange(n) - begin[np.maximum(parent[children_of], 0)]
     place = np.where(parent < 0, 0, place / np.maximum(siblings, 1))
     mean = np.where(parent < 0, length, (total[up, 0] - own[up]) / np.maximum(siblings, 1))
     same = np.bincount(up * 32 + tag, minlength=32 * n)[up * 32 + tag] / np.maximum(siblings, 1)
-    cols = [tag, *(tag == i for i in range(len(TAGS))), *((groups >> i) & 1 for i in range(len(GROUPS))), *((over >> i) & 1 for i in range(len(GROUPS))), above & 1, (above >> 1) & 1, (above >> 2) & 1, ((groups | over) >> 20) & 1]
-    cols += [depth, np.log1p(own), np.log1p(length), total[:, 1] / np.maximum(length, 1), total[:, 2], 100 * total[:, 3] / np.maximum(length, 1), length / np.maximum(page, 1), total[:, 4], total[:, 5], siblings, place, length / np.maximum(total[up, 0], 1), np.log1p(mean), same, np.log1p(length / np.maximum(total[:, 6], 1))]
+    cols = [tag, *(tag == i for i in range(len(TAGS))), *((groups >> i) & 1 for i in range(len(GROUPS))), *((over >> i) & 1 for i in range(len(GROUPS))), *under.T[: len(GROUPS)], *((above >> i) & 1 for i in range(4)), *under.T[len(GROUPS) :], ((groups | over) >> 20) & 1]
+    cols += [depth, np.log1p(own), np.log1p(length), total[:, 1] / np.maximum(length, 1), total[:, 2], 100 * total[:, 3] / np.maximum(length, 1), share, total[:, 4], total[:, 5], siblings, place, length / np.maximum(total[up, 0], 1), np.log1p(mean), same, np.log1p(length / np.maximum(total[:, 6], 1))]
     return np.stack([np.asarray(c, float) for c in cols], axis=1), parent, first
 
 
@@ -274,10 +297,19 @@ class Extractor:
 
     def texts(self, pages: list[str]) -> list[str]:
         trees = [parse(p or "") for p in pages]
+        out = self._read(trees)
+        missed = [i for i, t in enumerate(out) if not t and len(trees[i]) > 1]
+        for i, text in zip(missed, self._read([trees[i] for i in missed], True), strict=True):
+            out[i] = text
+        return out
+
+    def _read(self, trees: list[list[Block]], again: bool = False) -> list[str]:
         if not trees:
             return []
-        x, parent, first = features(trees)
+        x, parent, first = features(trees, again)
         odds = np.clip(self.model.log_odds(x), -6, 6)
+        if again:
+            odds += BENEFIT * (x[:, TELLING].sum(axis=1) == 0)
         kept = decode(odds, parent)
         own = odds > 0  # text right under a kept container counts by the container's own odds
         out = []
@@ -364,9 +396,12 @@ def made_up(rng: np.random.Generator) -> str:
         if n == 1 and chance(0.4):  # text without a paragraph of its own
             return "<br>".join(prose(True) for _ in range(pick(1, 1, 2)))
         parts = [f"<h1>{sentence(int(rng.integers(1, 12)))}{MARK}</h1>"] if chance(0.75 if n > 1 else 0.4) else []
+        few = n < 3 and chance(0.15)  # a short notice of a few words
         for _ in range(n):
             r = rng.random()
-            if r < 0.78:
+            if few:
+                parts.append(f"<p>{pick('', '<b>')}{sentence(int(rng.integers(1, 6)))}{MARK}{pick('</p>', '</p>', '', '<br>')}")
+            elif r < 0.78:
                 parts.append(f"<p>{prose(True)}{pick('</p>', '</p>', '')}")
             elif r < 0.84:
                 parts.append(f"<h2>{words(int(rng.integers(1, 6)))}{MARK}</h2>")
@@ -403,6 +438,12 @@ def made_up(rng: np.random.Generator) -> str:
         core = pick(f"<main>{core}</main>", f"<div{classes('container', 'wrapper', 'page', 'content')}>{core}{side() if chance(0.4) else ''}</div>")
     if chance(0.15):
         core = f"<h1>{sentence(6)}{MARK}</h1>" + core
+    if chance(0.15):  # names of other groups, and forms, around the main text
+        other = pick("sidebar", "side", "widget", "popular", "archive", "tags", "more", "related", "banner", "top", "header", "site", "modal", "menu", "tabs", "signup", "register", "follow")
+        box = pick("div", "div", "section", "article")
+        core = f'<{box} {pick("class", "class", "id")}="{pick("", "", "page ", "story ", "layout ")}{other}{pick("", "-page", "-left", "-layout", " wrap")}">{core}{side() if chance(0.3) else ""}</{box}>'
+    if chance(0.06):
+        core = pick(f"<form>{core}</form>", f"<fieldset>{core}</fieldset>", f"<form{classes('form', 'main', 'register')}>{core}</form>")
     few = 0.35 if chance(0.4) else 1.0  # many pages have little around the text
     before = [f() for f, p in ((notice, 0.25), (head, 0.4), (menu, 0.6), (advert, 0.4), (form, 0.1), (side, 0.15)) if chance(few * p)]
     after = [f() for f, p in ((social, 0.15), (talk, 0.35), (side, 0.3), (advert, 0.25), (form, 0.2), (menu, 0.1), (notice, 0.1), (foot, 0.7)) if chance(few * p)]
@@ -411,6 +452,8 @@ def made_up(rng: np.random.Generator) -> str:
     page = "".join(before) + core + "".join(after)
     if chance(0.2):
         page = f"<div{classes('wrapper', 'page', 'container')}>{page}</div>"
+    if chance(0.12):
+        page = pick(f"<form>{page}</form>", f"<form action=/x{classes('form', 'page', 'search')}>{page}</form>", f'<form id="{words(1)}Form">{page}</form>')
     return f"<!DOCTYPE html><html lang=en><head><title>{words(3)}</title></head><body>{page}</body></html>"
 
 
@@ -431,7 +474,7 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Extractor:
                 whole[t[i].parent] += whole[i]
         good.append(main >= np.maximum(1, 0.5 * whole))
     x, _, _ = features(trees)
-    return Extractor(boosting.train(x, np.concatenate(good).astype(float), trees=60, depth=5))
+    return Extractor(boosting.train(x, np.concatenate(good).astype(float), trees=90, depth=5))
 
 
 def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import json_value
 from vellumine.operators import explore as x
-from vellumine.operators import index, quotes
+from vellumine.operators import index, pairs, quotes, sketches, variants
 from vellumine.operators import relational as r
 from vellumine.plans.scratch import Scratch
 from vellumine.sources.tables import catalog, table
@@ -29,6 +29,10 @@ _LINKS = f"""(with a as (select kind, item_id, list_distinct(regexp_extract_all(
  g as (select src_id, dst_id, shared, round(shared / (sn + dn - shared), 6) as weight from b), r as (select *, row_number() over (partition by src_id order by weight desc, dst_id) as rank from g) select * from r where rank <= 3)"""
 
 
+_EVENT_JSON = """'{"type":"' || event_type || '","at":[' || user_id || ',' || event_id || ']' || case event_type when 'purchase' then ',"paid":{"value":' || value || ',"by":null}' when 'error' then
+ ',"detail":{"fatal":' || case when user_id % 2 = 0 then 'true' else 'false' end || ',"props":' || props || '}' when 'view' then ',"props":' || props else '' end || case when event_type = 'signup' then '' else '}' end"""
+
+
 def _vectors(spark, d):
     vecs = table(spark, d, "embeddings")
     return x.neighbours(vecs, vecs.where("vec_id % 50 = 0"), 10)
@@ -120,6 +124,27 @@ def _moving(spark, d):
     return r.moving(e, "event_type", "ts", "value", 21_600).select("event_id", "n", F.round("total", 4).alias("total"))
 
 
+def _json_leaves(spark, d):
+    """Events as JSON whose shape depends on their type, those of type signup cut; the leaves by path and type."""
+    found = variants.leaves(table(spark, d, "events").selectExpr(f"{_EVENT_JSON} as body"), "body")
+    return found.groupBy(F.coalesce("path", F.lit("")).alias("path"), "type").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("type") == "number", F.col("value").cast("double"))), 4).alias("total"), F.count_distinct("value").alias("values"))
+
+
+def _audience(spark, d):
+    """Of each half of the month, users with clicks and without purchases, from sketches of a day and type each; exact as far as a sketch holds all users."""
+    daily = sketches.set_sketches(table(spark, d, "events").withColumn("day", F.to_date("ts")), "user_id", "day", "event_type")
+    stored = Scratch(spark, "audience").write(daily, "daily")
+    return sketches.audience(stored.withColumn("half", F.when(F.dayofmonth("day") <= 15, "first").otherwise("second")), "event_type", "click", "purchase", "half")
+
+
+def _frequent_parts(spark, d):
+    """The ten parts of most rows of lineitem, from states of one month each, with a second opinion by count-min."""
+    lines = table(spark, d, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    stored = Scratch(spark, "frequent").write(sketches.frequent_parts(lines, "l_partkey", "month"), "monthly")
+    top = sketches.frequent(stored, 10)
+    return sketches.counts(sketches.count_min(lines, "l_partkey"), top, "item")
+
+
 def _intervals(spark, d):
     """Errors in the six hours from a purchase of the same user."""
     e = table(spark, d, "events")
@@ -173,6 +198,11 @@ QUERIES = {
     "activity_sliding": lambda s, d: x.activity(table(s, d, "events"), "2 days", "1 day"),
     "sessions": lambda s, d: x.sessions(table(s, d, "events")),
     "json_property": lambda s, d: table(s, d, "events").groupBy(json_value(F.col("props"), "$.k").cast("long").alias("k")).agg(F.count("*").alias("n")),
+    "json_leaves": _json_leaves,
+    "json_shape": lambda s, d: variants.shape(table(s, d, "events"), "props", "event_type"),
+    "audience": _audience,
+    "frequent_parts": _frequent_parts,
+    "answers": lambda s, d: pairs.answers(table(s, d, "conversations")),
     "thread": lambda s, d: x.thread(table(s, d, "conversations")),
 }
 
@@ -236,6 +266,17 @@ ORACLE_SQL = {
     "sessions": """with l as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
  s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as nth from l) select user_id, min(ts) as start, count(*) as n from s group by user_id, nth""",
     "json_property": "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1",
+    "json_leaves": f"""with j as (select {_EVENT_JSON} as body from events), v as (select case when json_valid(body) then body end as body from j),
+ t as (select t.fullkey as path, case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as type, t.atom from v, json_tree(v.body) as t where t.type not in ('OBJECT', 'ARRAY'))
+ select path, type, count(*) as n, case when type = 'number' then round(sum(try_cast(cast(atom as varchar) as double)), 4) end as total, count(distinct case when type <> 'null' then cast(atom as varchar) end) as "values" from t group by path, type
+ union all select '', 'malformed', count(*), null, count(distinct body) from j where not json_valid(body)""",
+    "json_shape": "select event_type, count(props) as n, count(*) filter (where not json_valid(props)) as malformed, 'OBJECT<k: BIGINT>' as shape from events group by event_type",
+    "audience": """with u as (select distinct case when day(ts) <= 15 then 'first' else 'second' end as half, event_type, user_id from events where event_type in ('click', 'purchase')),
+ b as (select half, user_id, max(event_type = 'click') as c, max(event_type = 'purchase') as p from u group by all)
+ select half, count(*) filter (where c) as has, count(*) filter (where p) as lacks, count(*) filter (where c and p) as "both", count(*) filter (where c and not p) as only from b group by half""",
+    "answers": """with s as (select *, coalesce(sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as part from conversations),
+ q as (select conv_id, part, turn, text, row_number() over (partition by conv_id, part order by turn desc, role desc, text desc) as nth from s where role = 'user')
+ select a.conv_id, q.turn as question_at, a.turn as answer_at, q.text as question, a.text as answer from s a join q on a.conv_id = q.conv_id and a.part = q.part and q.nth = 1 where a.role = 'assistant'""",
     "thread": "select conv_id, turn, role, lag(role) over w as before, row_number() over w as place from conversations window w as (partition by conv_id order by turn)",
 }
 

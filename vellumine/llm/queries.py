@@ -36,20 +36,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no markup and no address: text and source are the evidence, a source has no suffix, so its prior is smoothed by that of all rows;
-    language_id_pages exercises declared languages and suffixes. lang labels the bounded training sample, and is no evidence."""
-    docs = table(spark, sf_dir, "documents")
-    return language_id.identify(spark, docs, language_id.fit(spark, docs), "doc_id", host_col="source")
-
-
-def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have all evidence: text between tags, declared markup language, suffix and host of the address."""
+    """Pages have all evidence: text between tags, declared markup language, suffix and host of the address. The model's bounded training sample is labelled by lang of documents."""
     model = language_id.fit(spark, table(spark, sf_dir, "documents"))
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     pages = table(spark, sf_dir, "pages").select("page_id", text.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1).alias("declared"), F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
     return language_id.identify(spark, pages, model, "page_id", host_col="host", declared_col="declared")
 
 
+def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no markup and no address: text and source are the evidence, a source has no suffix, so its prior is smoothed by that of all rows. lang labels the bounded training sample, and is no evidence."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(spark, docs, language_id.fit(spark, docs), "doc_id", host_col="source")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -93,7 +92,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.label_errors(spark, coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, op11_turns, op12_packing, op13_vector_codes, language_id_pages)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_html_text, op3_quality, op4_toxicity, op5_near_dedup, op6_language_id, op7_bpe, op8_decontamination, op9_license, op10_url_filter, op11_turns, op12_packing, op13_vector_codes, language_id_documents)}
+QUERIES["language_id_pages"] = op6_language_id  # its name before
 _B32 = " || ".join(f"substr('{warc.BASE32}', cast((v[{i + 1}] >> {shift}) & 31 as int) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
 
 

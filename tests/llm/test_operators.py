@@ -278,6 +278,58 @@ def test_string_kernel():
     assert got[0, 1] > 0.3 and got[3, 4] == pytest.approx(got[3, 3]) and got[5, 6] > got[5, 0]
 
 
+def unit_rows(units):
+    raw = " ".join(units).encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = toxicity.words(data, np.array([0, len(data)]))
+    code, place = toxicity.letters(data)
+    return toxicity.codes(code, place[starts], place[ends])[0]
+
+
+def test_machine_against_a_dense_one():
+    """With all units as landmarks the folded table scores unseen units as a kernel machine does whose coefficients a plain descent over the whole kernel matrix found."""
+    rng = np.random.default_rng(5)
+    bad = ["idiot", "idxiot", "idiots", "moron", "morron", "stupid", "stu.pid"]
+    good = ["garden", "harvest", "morning", "studio", "idea", "patio", "window", "river", "summer", "station"]
+    rows = unit_rows(bad + good)
+    y = np.array([1.0] * len(bad) + [-1.0] * len(good))
+    unseen = ["idiott", "mor0n", "stupidd", "stupor", "more", "gardens", "id-iot"]
+    land = toxicity._dense(rows)
+    gram = land.between(rows).astype(float)
+    power, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
+    to = vectors[:, power > 1e-5] / np.sqrt(power[power > 1e-5])
+    w = toxicity._machine(np.concatenate([gram @ to, np.ones((len(y), 1))], axis=1), y, np.full(len(y), toxicity.COST))
+    got = toxicity.values(land.table(to @ w[:-1]), unit_rows(unseen)) + w[-1]
+    # plain: f = K a + b, least 0.25 (a'Ka + b^2) + COST/2 sum max(0, 1 - y f)^2, by descent on a and b
+    plain = np.array([[brute_kernel(a, b) for b in [u.replace("0", "o") for u in bad + good]] for a in bad + good])
+    a, b = rng.normal(0, 0.1, len(y)), 0.0
+    for _ in range(60_000):
+        short = np.maximum(0, 1 - y * (plain @ a + b)) * y * toxicity.COST
+        step_a, step_b = 0.5 * a - short, 0.5 * b - short.sum()
+        a, b = a - 0.004 * step_a, b - 0.004 * step_b
+    asked = np.array([[brute_kernel(u.replace("0", "o"), v.replace("0", "o")) for v in bad + good] for u in unseen])
+    assert np.allclose(got, asked @ a + b, atol=0.02)
+
+
+def test_curve_is_fitted_out_of_fold(monkeypatch):
+    """The curve sees only margins of texts that the machine behind them was not taught; labels that no one can learn give scores near their share."""
+    rng = np.random.default_rng(6)
+    sample = [(prose(rng, 12), int(i % 5 == 0)) for i in range(200)]
+    taught, seen = [], []
+    learn, logistic = toxicity._learn, toxicity._logistic
+    monkeypatch.setattr(toxicity, "_learn", lambda rows, seed: taught.append({t for t, _ in rows}) or learn(rows, seed))
+    monkeypatch.setattr(toxicity, "_logistic", lambda m, y: seen.append(len(m)) or logistic(m, y))
+    toxicity.train(sample)
+    assert len(taught) in (1, toxicity.FOLDS + 1) and seen in ([], [200])
+    known = [(prose(rng, 12) + (" idiot" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(200)]
+    taught.clear()
+    model = toxicity.train(known)
+    everything = {t for t, _ in known}
+    assert taught[0] == everything and len(taught) == toxicity.FOLDS + 1
+    assert all(sum(t not in part for part in taught[1:]) == 1 for t in everything)
+    assert model.scores(pa.array(["what an idiot"]))[0] >= toxicity.AT > model.scores(pa.array([prose(rng, 12)]))[0]
+
+
 def test_toxicity_of_other_scripts_and_long_texts():
     rng = np.random.default_rng(18)
     words_ = ["".join(rng.choice(list("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u043a\u043b\u043c"), 6)) for _ in range(200)]
@@ -575,7 +627,7 @@ def brute_matches(docs, items):
         for doc, body in docs:
             whole, words = brute_template(body)
             if not theirs:
-                if len(plain) >= decontaminate.SHORTEST and any(words[i : i + len(plain)] == plain for i in range(len(words) - len(plain) + 1)):
+                if plain and any(words[i : i + len(plain)] == plain for i in range(len(words) - len(plain) + 1)):
                     found.add((doc, item))
                 continue
             at_shift = {}
@@ -608,6 +660,7 @@ ITEMS = [
     "one two",
     "the cat sat",
     "Wie viele Kilometer f\u00e4hrt Anna in 3 Stunden, wenn sie 40 km in 2 Stunden schafft und dann \u00dcbung macht?",
+    "Paris",
 ]
 
 
@@ -626,9 +679,32 @@ def test_decontamination_against_brute_force(spark):
     got = decontaminate.matches(spark, df, table).collect()
     want = brute_matches(docs, [(i, t) for i, t in items if t])
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
-    assert {(100, 1), (101, 1), (206, 2), (300, 3), (9003, 2), (9004, 5)} <= want | {(101, 1)} and not any(i == 4 for _, i in want)
+    assert {(100, 1), (101, 1), (206, 2), (300, 3), (9003, 2), (9004, 5), (400, 4), (9002, 7)} <= want | {(101, 1)}
     left = decontaminate.clean(spark, df, table)
-    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {d for d, _ in want}
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {d for d, i in want if i not in (4, 7)}
+    longer = decontaminate.matches(spark, df, table, least=1.01, run=10**6, shortest=3)
+    assert longer.count() == 0
+
+
+def test_parts_of_long_items_are_found_by_the_run(spark):
+    """Of parts of 5 to 20 tokens copied word for word from a long item, those of RUN tokens and more are found, and a smaller run finds the shorter ones."""
+    rng = np.random.default_rng(77)
+    words_ = ["".join(rng.choice(list("bcdfglmnprstaeiou"), 7)) for _ in range(400)]
+    item = prose(rng, 80, words_)
+    docs = [(n, prose(rng, 40) + ". " + " ".join(item.split()[20 : 20 + n]) + ". " + prose(rng, 40)) for n in range(5, 21)]
+    df, items = docs_of(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = lambda **how: {r["doc_id"] for r in decontaminate.matches(spark, df, items, **how).collect()}
+    assert found() == {n for n in range(5, 21) if n >= decontaminate.RUN}
+    assert found(run=5) == set(range(5, 21)) and found(run=13) == set(range(13, 21))
+
+
+def test_one_word_items_and_repeats(spark):
+    items = spark.createDataFrame([(1, "Zanzibar"), (2, "7"), (3, "!?"), (4, "over there")], "item_id long, text string")
+    df = docs_of(spark, [(1, "zanzibar " * 5000), (2, "a b 7 c 7"), (3, "over, there"), (4, "zanzibars 77 overthere"), (5, None), (6, "over"), (1, "zanzibar")])
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.matches(spark, df, items).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 4, 1.0)}
+    assert decontaminate.clean(spark, df, items).count() == df.count()
+    assert {r["doc_id"] for r in decontaminate.clean(spark, df, items, shortest=1).collect()} == {4, 5, 6}
 
 
 # --- licenses ---------------------------------------------------------------------------------------------------

@@ -7,11 +7,12 @@ consistent: each value of the item stands for one value in the document, and the
 item if consistent alignments cover LEAST of the item's windows, or if one with equal values covers RUN template tokens without a gap: a verbatim part of a longer item.
 So copies are found, parts of them, and questions asked again with other numbers or names.
 
-An item without a window (fewer than WINDOW template tokens, or hardly a literal one) is matched whole, by its exact sequence of SHORTEST words and numbers or more.
+An item without a window (fewer than WINDOW template tokens, or hardly a literal one) is matched whole, by its exact sequence of words and numbers, of which it must have `shortest`. `matches` reports items of one word too, wherever
+the word stands; `clean` asks for SHORTEST, as a document that holds a word or two of everyday language is not contaminated by it. LEAST, RUN and SHORTEST are defaults of parameters.
 
 Documents' windows are filtered by a sorted table of the items' hashes where those number BROADCAST at most; beyond it all windows go to the join, in which a crowded hash is dealt to several tasks.
 
-Cases: null or empty texts, items of fewer than SHORTEST words: matched with nothing. Rows with the same id count as
+Cases: null or empty texts, items of no word or fewer than `shortest`: matched with nothing. Rows with the same id count as
 one document, and as one item. Null ids are not reported. Very long texts are read whole. An item that stands in a document several times counts once, with its best share.
 Empty tables: no rows. Other columns are ignored, whatever their names.
 """
@@ -27,7 +28,7 @@ from vellumine.llm.joins import BROADCAST_IDS, beside, unused
 from vellumine.llm.textnum import LOWER, U, hashes, mix, spans, texts
 from vellumine.plans.scratch import Scratch, ship
 
-WINDOW, LITERAL, LEAST, RUN, SHORTEST, BROADCAST = 5, 2, 0.8, 13, 3, 500_000
+WINDOW, LITERAL, LEAST, RUN, SHORTEST, BROADCAST = 5, 2, 0.8, 8, 3, 500_000
 #: Names of units, in four languages.
 UNITS = """
 % percent km m cm mm mi mile miles meter meters metre metres foot feet inch inches yard yards kilometer kilometers kilometre kilometres
@@ -123,9 +124,9 @@ def sequences(value, first, m):
 SHAPE = "id long, pos long, h long, m long, slots array<long>, n long"
 
 
-def make_windows(wanted=None, lengths: tuple[int, ...] | None = ()):
+def make_windows(wanted=None, lengths: tuple[int, ...] | None = (), shortest: int = 1):
     """Rows of SHAPE; wanted: a broadcast sorted array of hashes, or None for all. m is 0 for windows, whose slots are the values at their placeholders. lengths: also runs of so
-    many tokens, with m; None: of texts without a window alone, as one run of all their tokens."""
+    many tokens, with m; None: of texts without a window alone, as one run of all their tokens, `shortest` or more. A run that a text repeats is given once."""
 
     def run(batches):
         few, bits = None, None
@@ -151,7 +152,7 @@ def make_windows(wanted=None, lengths: tuple[int, ...] | None = ()):
                 count = np.bincount(doc, minlength=len(off) - 1)
                 if lengths is None:
                     sizes = np.diff(of)
-                    alone = np.flatnonzero((count == 0) & (sizes >= SHORTEST))
+                    alone = np.flatnonzero((count == 0) & (sizes >= max(1, shortest)))
                     for m in np.unique(sizes[alone]).tolist():
                         d, p, run_ = sequences(word, of, m)
                         mine = np.isin(d, alone[sizes[alone] == m])
@@ -159,6 +160,7 @@ def make_windows(wanted=None, lengths: tuple[int, ...] | None = ()):
                 for m in lengths or ():
                     d, p, run_ = sequences(word, of, m)
                     hit = asked(run_)
+                    hit = hit[np.unique(np.stack([d[hit], run_[hit]]), axis=1, return_index=True)[1]]
                     yield rows(ids, lo + d[hit], p[hit], run_[hit], m, pa.array([[]] * len(hit), pa.list_(pa.int64())), np.ones(len(hit), np.int64))
                 hit = asked(h)
                 doc, pos, h, at = doc[hit], pos[hit], h[hit], at[hit]
@@ -184,11 +186,11 @@ def covered(at: F.Column) -> F.Column:
     return F.aggregate(F.array_sort(at), none, step, lambda s: s["best"])
 
 
-def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, coverage, same_values of each contaminated document and item."""
+def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", least: float = LEAST, run: int = RUN, shortest: int = 1) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, coverage, same_values of each contaminated document and item: a share of `least` of the item's windows, or `run` template tokens of it word for word, or all of an item without windows that has `shortest` words."""
     scratch = Scratch(spark, "decontaminate")
     slim = lambda df, i: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = scratch.write(slim(items, item_id).mapInArrow(make_windows(None, None), SHAPE), "items")
+    known = scratch.write(slim(items, item_id).mapInArrow(make_windows(None, None, shortest), SHAPE), "items")
     lengths = tuple(sorted(r[0] for r in known.where("m > 0").select("m").distinct().collect()))  # a few numbers
     wanted, rows = None, known.count()
     if rows <= BROADCAST:
@@ -205,14 +207,14 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str
     placed = placed.groupBy("id", "item", "windows", "at").agg(F.max("equal").alias("equal"), F.max("run").alias("run"))
     done = placed.groupBy("id", "item", "windows").agg(F.count("*").alias("n_matched"), F.min("equal").alias("same_values"), F.max("run").alias("run"))
     share = F.col("n_matched") / F.col("windows")
-    done = done.where((share >= LEAST) | (F.col("run") >= RUN)).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), F.col("windows").alias("n_windows"), "n_matched", share.alias("coverage"), "same_values")
+    done = done.where((share >= least) | (F.col("run") >= run)).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), F.col("windows").alias("n_windows"), "n_matched", share.alias("coverage"), "same_values")
     best = F.max_by(F.struct("n_windows", "n_matched", "coverage", "same_values"), F.struct("coverage", "n_windows", "same_values"))
     return done.groupBy(doc_id, item_id).agg(best.alias("best")).select(doc_id, item_id, "best.*")
 
 
-def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", least: float = LEAST, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
     """docs without the contaminated ones. Rows with a null id stay."""
     name = unused(docs, "bad")
-    bad = Scratch(spark, "clean").write(matches(spark, docs, items, doc_id, text_col=text_col).select(F.col(doc_id).alias(name)).distinct(), "bad")
+    bad = Scratch(spark, "clean").write(matches(spark, docs, items, doc_id, text_col=text_col, least=least, run=run, shortest=shortest).select(F.col(doc_id).alias(name)).distinct(), "bad")
     few = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
     return docs.join(few, docs[doc_id].cast("long") == F.col(name), "left_anti")

@@ -4,7 +4,8 @@ A text is scored by its worst unit: a word, or a run of single letters set apart
 folded, letters beyond a to z are told apart by their number. Units are compared by the subsequences of four letters that they share within a span of six, each weighted by DECAY to its span, so gaps and inserted
 characters cost little; the kernel is scaled by each unit's own norm. Landmarks are units of the labelled sample;
 the machine is trained on labelled sentences as bags of units (a bag is as toxic as its worst unit): each toxic text lends its worst unit, chosen anew in each
-of ROUNDS, and clean texts lend random units and their worst. Each is also trained on with a letter inserted, toxic ones INSERTED times. In the space that the
+of ROUNDS, and clean texts lend random units and their worst. Margins become scores by a logistic curve
+fitted out of fold: on the margins that each of FOLDS parts of the sample gets from a machine of the other parts. Each is also trained on with a letter inserted, toxic ones INSERTED times. In the space that the
 landmarks span the machine is linear, so its weights fold into one table over all subsequences, and a text costs a few look-ups a letter.
 
 Long words are taken in overlapping pieces, so whole texts are scored. Training takes at most SAMPLE texts of each label of at most
@@ -33,6 +34,8 @@ WIDTH, SLOTS = 24, 1 << 20
 LANDMARKS, COST, LOWEST, AT = 192, 10.0, -4.0, 0.3
 #: Copies of each toxic unit with a letter inserted somewhere, so that few units still show most places.
 INSERTED = 4
+#: Parts of the labelled sample, each scored by a machine of the others to fit the score's curve.
+FOLDS = 3
 START, END, SIGN, OTHER = 27, 28, 29, 30
 #: Signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -201,7 +204,26 @@ def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
-    """A model of (text, label) rows."""
+    """A model of (text, label) rows. Its curve is fitted out of fold; on the sample's own margins where a part leaves the others nothing to learn from."""
+    model = _learn(sample, seed)
+    if not model.table.any():
+        return model
+    y = np.array([int(label) for _, label in sample])
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        of = np.flatnonzero(y == label)
+        fold[of] = np.arange(len(of)) % FOLDS
+    margin = np.empty(len(y))
+    for f in range(FOLDS):
+        other = _learn([row for row, at in zip(sample, fold, strict=True) if at != f], seed)
+        if not other.table.any():
+            other = model
+        margin[fold == f] = other.margins(pa.array([row[0] for row, at in zip(sample, fold, strict=True) if at == f], pa.string()))
+    return Model(model.table, model.bias, *_logistic(margin, y))
+
+
+def _learn(sample: list[tuple[str, int]], seed: int) -> Model:
+    """The machine of (text, label) rows, without a curve."""
     rng = np.random.default_rng(seed)
     y = np.array([int(label) for _, label in sample])
     if len(y) == 0 or y.min() == y.max():
@@ -270,8 +292,7 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
         w = _machine(z, label.astype(float), cost)
         table = land.table(to @ w[:-1])
         value = values(table, rows) + w[-1]
-        top = np.array([value[unit[edges[d] : edges[d + 1]]].max(initial=LOWEST) for d in range(len(sample))])
-        model = Model(table, float(w[-1]), *_logistic(np.maximum(top, LOWEST), y))
+        model = Model(table, float(w[-1]), 1.0, 0.0)
     return model
 
 

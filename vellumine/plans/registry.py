@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import json_value
 from vellumine.operators import explore as x
-from vellumine.operators import index, pairs, quotes, sketches, variants
+from vellumine.operators import index, ordered, pairs, quotes, sketches, variants
 from vellumine.operators import relational as r
 from vellumine.plans.scratch import Scratch
 from vellumine.sources.tables import catalog, table
@@ -124,6 +124,14 @@ def _moving(spark, d):
     return r.moving(e, "event_type", "ts", "value", 21_600).select("event_id", "n", F.round("total", 4).alias("total"))
 
 
+def _swings_sql(source: str, key: str, order: str, value: str) -> str:
+    return f"""with r as (select {key}, {order} as t, {value} as v from {source}),
+ o as (select *, row_number() over w as i, min(v) over w as lo, max(v) over w as hi, case when v > lag(v) over (partition by {key} order by t, v) then 0 else 1 end as breaks from r
+ window w as (partition by {key} order by t, v rows between unbounded preceding and current row)),
+ g as (select *, sum(breaks) over (partition by {key} order by i) as run_id from o), l as (select *, count(*) over (partition by {key}, run_id) as run_length from g)
+ select {key}, count(*) as n, arg_min(v, i) as first, arg_max(v, i) as last, min(v) as low, max(v) as high, max(v - lo) as rise, max(hi - v) as fall, max(run_length) as run from l group by {key}"""
+
+
 def _json_leaves(spark, d):
     """Events as JSON whose shape depends on their type, those of type signup cut; the leaves by path and type."""
     found = variants.leaves(table(spark, d, "events").selectExpr(f"{_EVENT_JSON} as body"), "body")
@@ -187,6 +195,8 @@ QUERIES = {
     "asof": _asof,
     "last_clicks": _last_clicks,
     "moving": _moving,
+    "swings": lambda s, d: ordered.swings(table(s, d, "events"), "user_id", "ts", F.floor(F.col("value") * 100)),
+    "swings_lengths": lambda s, d: ordered.swings(table(s, d, "documents"), "source", "doc_id", F.length("text")),
     "interval_join": _intervals,
     "range_join": _ranges,
     "subtotals": lambda s, d: r.subtotals(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], quantity="l_quantity"),
@@ -252,6 +262,8 @@ ORACLE_SQL = {
  lateral (select event_id, row_number() over (order by ts desc, event_id desc) as nth from events c where c.event_type = 'click' and c.user_id = p.user_id and c.ts <= p.ts order by ts desc, event_id desc limit 3) c where p.event_type = 'purchase'""",
     "moving": """select event_id, count(value) over w as n, round(sum(value) over w, 4) as total from events
  window w as (partition by event_type order by ts range between interval 6 hours preceding and current row)""",
+    "swings": _swings_sql("events", "user_id", "ts", "cast(floor(value * 100) as bigint)"),
+    "swings_lengths": _swings_sql("documents", "source", "doc_id", "length(text)"),
     "interval_join": "select p.event_id as purchase_id, e.event_id from events p join events e on p.user_id = e.user_id and p.event_type = 'purchase' and e.event_type = 'error' and e.ts >= p.ts and e.ts < p.ts + interval 6 hours",
     "range_join": "select band, count(*) as n from events join (select range as band, range * 7.5 - 20 as low, range * 7.5 - 9.5 as high from range(20)) on value >= low and value < high group by band",
     "subtotals": "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, cast(grouping(l_returnflag) + grouping(l_linestatus) as bigint) as level from lineitem group by rollup (l_returnflag, l_linestatus)",

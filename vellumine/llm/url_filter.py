@@ -26,7 +26,7 @@ SLOTS, LENGTHS, RIDGE, AT = 1 << 18, (3, 4, 5), 0.05, 0.5
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )

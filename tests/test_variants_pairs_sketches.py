@@ -113,6 +113,27 @@ def test_answers_say_what_is_wrong(spark):
 # --- sketches -----------------------------------------------------------------------------------------------------
 
 
+def test_audience_is_exact_for_any_number_of_items(spark, tmp_path):
+    """More users than a theta sketch holds exactly; nulls and other kinds are left out, rows of an item on several days count once."""
+    many = spark.range(120_000).selectExpr("id % 5 as day", "if(id < 80000, 'click', 'purchase') as kind", "if(id < 80000, id, id - 40000) as user")
+    more = many.unionByName(many.selectExpr("day + 1", "kind", "user").toDF("day", "kind", "user")).unionByName(spark.sql("select 9L as day, 'view' as kind, 7L as user union all select 1L, 'click', null union all select 1L, null, 3L"))
+    assert tuple(sketches.audience_exact(sketches.item_sets(more, "user", "day", "kind"), "user", "kind", "click", "purchase").first()) == (80_000, 40_000, 40_000, 40_000)
+    assert tuple(sketches.audience_exact(sketches.item_sets(more.limit(0), "user", "day", "kind"), "user", "kind", "click", "purchase").first()) == (0, 0, 0, 0)
+
+
+def test_audience_query_with_more_users_than_a_sketch_holds(spark, tmp_path):
+    import duckdb
+
+    from vellumine.plans import registry
+
+    rows = spark.range(60_000).selectExpr("id as event_id", "timestampadd(MINUTE, cast(id % 43000 as int), timestamp_ntz'2024-01-01 00:00:00') as ts", "nullif(id % 9001, 5) as user_id", "if(id % 7 < 4, 'click', 'purchase') as event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["audience"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["audience"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_audience_of_stored_sketches(spark):
     """Exact while a sketch holds all items, near beyond; merged over days, nulls left out."""
     rows = [(d, kind, u) for d in range(4) for kind, lo, hi in (("click", 0, 600), ("purchase", 400 + 50 * d, 900)) for u in range(lo, hi, 1 + d)] + [(0, "click", None), (None, None, 5)]

@@ -1,4 +1,4 @@
-"""Sketches that are stored once and merged later: distinct sets with set operations (theta), counts of single items (count-min), and the most frequent items.
+"""Sketches that are stored once and merged later: distinct sets with set operations (theta), counts of single items (count-min), and the most frequent items; and distinct sets kept whole, whose counts are exact.
 
 Cases: null items are not counted; a null group is a group; empty tables give no rows (or zero, for totals). Repeated rows count as often as they stand in counts, once in sets.
 """
@@ -27,6 +27,19 @@ def audience(sketches: DataFrame, kind: str, has: str, lacks: str, *by: str, lg_
     return merged.select(*by, size("a").alias("has"), size("b").alias("lacks"), size(F.theta_intersection("a", "b")).alias("both"), size(F.theta_difference("a", "b")).alias("only"))
 
 
+def item_sets(df: DataFrame, item: str, *by: str) -> DataFrame:
+    """by and the item's column, once for each distinct item of a group; to be stored. As many rows as there are items of groups, so for counts that must be exact."""
+    return df.select(*by, item).where(F.col(item).isNotNull()).distinct()
+
+
+def audience_exact(sets: DataFrame, item: str, kind: str, has: str, lacks: str, *by: str) -> DataFrame:
+    """What `audience` tells, exactly, from the rows of `item_sets`; a group is there if it has an item of either kind. Items meet their sides by one hash aggregate, of two flags for each, so no set is held in one place."""
+    a, b = unused("a", sets), unused("b", sets)
+    sides = sets.where(F.col(kind).isin(has, lacks)).groupBy(*by, item).agg(F.max(F.col(kind) == has).alias(a), F.max(F.col(kind) == lacks).alias(b))
+    counted = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    return sides.groupBy(*by).agg(counted(F.col(a), "has"), counted(F.col(b), "lacks"), counted(F.col(a) & F.col(b), "both"), counted(F.col(a) & ~F.col(b), "only"))
+
+
 def _cells(item: Column, width: int, depth: int) -> Column:
     """(row, cell) of an item in each of the depth rows."""
     return F.array(*(F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.lit(i), item), F.lit(width)).alias("cell")) for i in range(depth)))

@@ -135,3 +135,16 @@ def test_moving_sums_against_each_frame(spark):
             own = [x[2] for x in rows if s is not None and x[1] is not None and x[0] == k and s - seconds <= x[1] <= s and x[2] is not None]
             assert got[o] == ((None, None) if s is None else (len(own), sum(own) if own else None)), (seconds, width, o)
     assert relational.moving(timed(spark, []).limit(0), "k", "t", "v", 60).count() == 0
+
+
+def test_moving_adds_each_row_once(spark):
+    """No frame slides over single rows or runs to the last of them, as Spark adds such frames up anew for each row; 40,000 rows of one key and bucket take time in proportion."""
+    rows = spark.range(40_000).selectExpr("1 as k", "timestampadd(MICROSECOND, id * 1000, timestamp_ntz'2024-01-01 00:00:00') as t", "cast(id % 9 as double) as v", "id")
+    got = relational.moving(rows, "k", "t", "v", 60)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan
+    assert "unboundedfollowing" not in plan and plan.count("specifiedwindowframe") == plan.count("unboundedpreceding$(), currentrow$()")
+    found = {r.id: (r.n, r.total) for r in got.where("id in (0, 1, 39999)").collect()}
+    assert found == {0: (1, 0.0), 1: (2, 1.0), 39_999: (40_000, float(sum(i % 9 for i in range(40_000))))}
+    same = relational.moving(rows.limit(90).unionAll(rows.limit(90)), "k", "t", "v", 0).collect()
+    assert {(r.n, r.total) for r in same if r.id == 8} == {(2, 16.0)}

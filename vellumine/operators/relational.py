@@ -110,24 +110,24 @@ def last_rows(left: DataFrame, right: DataFrame, key: str, ts: str, n: int, orde
 def moving(df: DataFrame, key: str, ts: str, value: str, seconds: int, width: int | None = None) -> DataFrame:
     """df with `n` and `total`, the count and sum of `value` over the rows of the same key from `seconds` before the row's time up to it, rows of equal time included (RANGE BETWEEN ... PRECEDING AND CURRENT ROW); names that df has get underscores.
 
-    A window over a key would put all of its rows in one task. Rows are dealt by key and bucket of time (`width` seconds, by default as wide as the frame) instead, and the frame is the sum of three: the row's bucket up to the row, whole
-    buckets between from one row of sums each, and the end of the bucket in which the frame starts, where the row asks at the frame's start. Null values are not counted, null keys are a key, rows with a null time have null.
+    A window over a key would put all of its rows in one task. Rows are dealt by key and bucket of time (`width` seconds, by default and at most as wide as the frame) instead, and the frame is the sum of three: the row's bucket up to the row,
+    whole buckets between from one row of sums each, and the end of the bucket in which the frame starts, where the row asks at the frame's start. Both sums within a bucket only ever grow, from its beginning in the order of time and from its end
+    against it, so each row is added once: a frame that slides, or that ends at the last row, would be added up anew for each row. Null values are not counted, null keys are a key, rows with a null time have null.
     """
-    width = width or seconds
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) if df.schema[ts].dataType.typeName() == "timestamp_ntz" else F.unix_micros(F.col(ts).cast("timestamp"))
     rows = Scratch(df.sparkSession, "moving").write(df.select(F.monotonically_increasing_id().alias("id"), F.struct(*df.columns).alias("row"), F.struct(key).alias("k"), micros.alias("at"), F.col(value).cast("double").alias("v")), "rows")
-    bucket = lambda at: F.floor(at / (width * 1_000_000))
+    # a bucket that is no wider than the frame never holds a frame's start and its end; a frame of no length is a bucket of one moment
+    width = min(width or seconds, seconds)
+    bucket = lambda at: F.floor(at / (width * 1_000_000)) if width else at
     own = rows.where("at is not null").select("id", "k", "at", "v", bucket(F.col("at")).alias("b"), bucket(F.col("at") - seconds * 1_000_000).alias("first"))
     upto = Window.partitionBy("k", "b").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    # a frame that starts in the row's own bucket is a plain one
-    short = Window.partitionBy("k", "b").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    head = own.select("id", "k", "at", "b", "first", *(F.when(F.col("first") == F.col("b"), f("v").over(short)).otherwise(f("v").over(upto)).alias(name) for f, name in ((F.count, "n0"), (F.sum, "s0"))))
+    head = own.select("id", "k", "b", "first", F.count("v").over(upto).alias("n0"), F.sum("v").over(upto).alias("s0"))
     sums = own.groupBy("k", "b").agg(F.count("v").alias("n1"), F.sum("v").alias("s1"))
     # the whole buckets between are as many for all rows, give or take one: frames of so many buckets, by number
-    spans = {m for m in (seconds // width - 1, -(-seconds // width) - 1) if m > 0}
+    spans = {m for m in (seconds // width - 1, -(-seconds // width) - 1) if m > 0} if width else set()
     frame = lambda m: Window.partitionBy("k").orderBy("b").rangeBetween(-m, -1)
     between = sums.select("k", "b", *(F.struct(F.sum("n1").over(frame(m)).alias("n1"), F.sum("s1").over(frame(m)).alias("s1")).alias(f"m{m}") for m in spans))
-    tail = Window.partitionBy("k", "b").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    tail = Window.partitionBy("k", "b").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     asks = own.where("first < b").select("id", "k", (F.col("at") - seconds * 1_000_000).alias("at"), F.lit(None).cast("double").alias("v"), F.col("first").alias("b"))
     ends = own.select(F.lit(None).cast("long").alias("id"), "k", "at", "v", "b").unionByName(asks).select("id", F.count("v").over(tail).alias("n2"), F.sum("v").over(tail).alias("s2")).where("id is not null")
     span = F.col("b") - F.col("first") - 1  # whole buckets between

@@ -73,3 +73,57 @@ def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, source, monkeyp
     monkeypatch.setattr(DataStreamWriter, "foreachBatch", lambda self, put: plain(self, lambda df, n: (put(df, n), put(df, n)) and None))
     stream = source([(1, "01 01:00:00", 1, "view")], [(2, "01 01:10:00", 1, "view")])
     assert sorted(r["event_id"] for r in activity.settled(spark, activity.deduplicated_stream(stream), "twice", "append").collect()) == [1, 2]
+
+
+class _State:
+    """A list state or a handle that counts calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads = [], set(), 0
+
+    def getListState(self, name, schema):
+        return _State()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_user_has_one_timer_for_all_that_wait():
+    """A timer for each view, each of which read all that waited, took time in proportion to the square of a user's views."""
+    import pandas as pd
+
+    from vellumine.streaming import outcomes
+
+    handle, second = _State(), 1_000_000
+    own = outcomes._Outcomes("view", "purchase", 10 * second)
+    own.init(handle)
+    at = [i * second for i in range(100)]
+    frame = pd.DataFrame({"event_type": ["view"] * 100 + ["purchase"] * 2, "at": at + [5 * second, 60 * second], "event_id": list(range(102))})
+    assert list(own.handleInputRows((1,), [frame], handle)) == [] and handle.timers == {10_000}
+    handle.now, fired, got = 50_000, [], []
+    while due := [t for t in sorted(handle.timers) if t <= handle.now and t not in fired]:
+        fired.append(due[0])
+        got += [r for x in own.handleExpiredTimer((1,), handle, None) for r in x.itertuples(index=False)]
+    assert len(fired) == 1 and own.asked.reads == 1 and handle.timers == {10_000, 51_000}
+    want = {i: next((j for j, t in ((100, 5), (101, 60)) if i <= t < i + 10), None) for i in range(41)}
+    assert {r.event_id: None if pd.isna(r.outcome_id) else r.outcome_id for r in got} == want
+    handle.now = 200_000
+    got = list(own.handleExpiredTimer((1,), handle, None))
+    assert len(got[0]) == 59 and own.asked.rows == [] and own.told.rows == []
+    assert list(own.handleExpiredTimer((1,), handle, None)) == []

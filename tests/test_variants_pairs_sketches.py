@@ -43,6 +43,15 @@ def test_leaves_against_plain_python(spark):
     assert Counter((r["id"], r["path"], r["type"], r["value"]) for r in got) == want
 
 
+def test_leaves_are_told_once(spark):
+    """What is returned reads written levels alone: no text is parsed again, and no variant's type is told again."""
+    df = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": {}, "d": []}'), (2, "5"), (3, "{"), (4, "[null]"), (5, None)], "id long, body string")
+    found = variants.leaves(df, "body", "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "schema_of_variant" not in plan and "variantexplode" not in plan.lower()
+    assert {tuple(r) for r in found.collect()} == {(1, "$.a[0]", "number", "1"), (1, "$.a[1].b", "null", None), (1, "$.c", "object", "{}"), (1, "$.d", "array", "[]"), (2, "$", "number", "5"), (3, None, "malformed", "{"), (4, "$[0]", "null", None)}
+
+
 def test_leaves_of_awkward_rows(spark):
     deep = "[" * 24 + "1" + "]" * 24
     bad = ['{"a":', "", "{'a':1}x", '{"a":1,"a":2}']

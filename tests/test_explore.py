@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vellumine.operators import explore
@@ -144,3 +145,44 @@ def test_approximate_neighbours_awkward(spark):
     assert recall(spark, vecs.where("vec_id < 500"), some, 5, recall=1.0) >= 0.99
     assert explore.neighbours_approx(vecs, some, 5).groupBy("q_id").count().where("count <> 5").count() == 0
     assert explore.neighbours_approx(vecs.limit(0), vecs.limit(0), 5).count() == 0
+
+
+def test_exact_neighbours_of_awkward_vectors(spark):
+    """Against the cosine of each pair by SQL functions: nulls, holes, zeros, unlike lengths, not a number, infinity, copies, digits halfway, repeated rows, rows without an id; more vectors than a block of the matrix product."""
+    from pyspark.sql import Window
+
+    from vellumine.functions.text import cosine
+
+    rng = np.random.default_rng(6)
+    whole = [rng.integers(-3, 4, 6).astype(float).tolist() for _ in range(400)]
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [2.0, 4.0], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [1e-30] * 6, [1.0] * 6, [1.0] * 6, [1.0] + [0.0] * 5, [1.0, 127.99609] + [0.0] * 4]
+    rows = list(enumerate(odd + whole)) + [(3, [1.0] * 6), (None, [1.0] * 6), (9, odd[9])]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vecs.where("vec_id < 40 or vec_id is null")
+    for k in (1, 7, 500):
+        both = asked.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")).crossJoin(vecs).where("q_id <> vec_id")
+        sim = both.select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
+        want = sim.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rank") <= k)
+        tell = lambda df: sorted(map(str, map(tuple, df.collect())))
+        assert tell(explore.neighbours(vecs, asked, k)) == tell(want)
+
+
+def test_pairs_of_blocks_are_counted_outside_rows(spark):
+    """Vectors are compared as matrices, not by a function of each pair; a block's postings are made once for all blocks of queries."""
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+    plan = explore.neighbours(vecs, vecs.where("vec_id % 50 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "MapInArrow" in plan
+
+
+def test_links_make_postings_once_for_each_block(monkeypatch):
+    import pyarrow as pa
+
+    made, plain = [], explore._postings
+    monkeypatch.setattr(explore, "_postings", lambda sets: made.append(1) or plain(sets))
+    block = lambda rows: [{"id": i, "set": s} for i, s in rows]
+    kind = pa.list_(pa.struct([("id", pa.string()), ("set", pa.list_(pa.int64()))]))
+    ys = [block([("p", [1, 2]), ("q", [2, 3])]), block([("r", [1])])]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 1]), pa.array([block([("a", [2])]), block([("b", [1, 3]), ("c", [9])]), block([("d", [3])]), block([("a", [2]), ("b", [1, 3])])], kind), pa.array([ys[0]] * 3 + [ys[1]], kind)], ["block", "xs", "ys"])
+    got = [tuple(r.values()) for b in explore._shared(1)([batch]) for r in b.to_pylist()]
+    assert len(made) == 2
+    assert got == [("a", "p", 1, 2, 1), ("b", "p", 2, 2, 1), ("d", "q", 1, 2, 1), ("b", "r", 2, 1, 1)]

@@ -89,3 +89,18 @@ def test_a_written_index_is_found_again_and_an_empty_one_finds_nothing(spark, te
 def test_items_of_one_id_add_up(spark):
     own = made(items(spark, [("a", "1", "cat dog"), ("a", "1", "cat"), ("a", "2", "dog")]))
     assert [r.item_id for r in index.top(own, ["cat"], 5).collect()] == ["1"]
+
+
+def test_rare_words_of_a_bucket_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    """With more words there are more parts, so that a task's share does not grow; a word that stands in many items is dealt to all parts of its bucket."""
+    docs = spark.range(3000).selectExpr("'document' as kind", "cast(id as string) as item_id", "concat_ws(' ', 'common', translate(cast(id as string), '0123456789', 'abcdefghij'), translate(cast(id + 7000 as string), '0123456789', 'klmnopqrst')) as body").repartition(6)
+    share, most = {}, {}
+    for per in (1_000_000, 50):
+        monkeypatch.setattr(index, "PER_PART", per)
+        made = index.build(docs, str(tmp_path / str(per)))
+        found = spark.read.parquet(f"{made.path}/blocks").withColumn("file", F.input_file_name())
+        share[per] = found.groupBy("bucket").agg(F.count_distinct("file").alias("n")).agg(F.min("n")).first()[0]
+        most[per] = found.groupBy("file").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        assert found.agg(F.sum("n")).first()[0] == 9000
+        assert [tuple(r) for r in index.top(made, ["common", "c"], 3).collect()] == [tuple(r) for r in explore.bm25(docs, ["common", "c"], 3).collect()]
+    assert share[1_000_000] >= 4 and share[50] >= 12 and most[50] < most[1_000_000]

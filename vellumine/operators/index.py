@@ -30,8 +30,9 @@ from vellumine.plans.scratch import Scratch, ship
 BLOCK, LEVELS = 512, 24
 #: Items for each bucket of words, and the least and the most buckets.
 PER_BUCKET, BUCKETS = 50_000, (8, 4096)
-#: Tasks that postings of a word are dealt to when it stands in this many of the items that are sorted at once.
-DEALT, OFTEN = 16, 1024
+#: Parts of a bucket at least, and words of the texts for each part: a part is one task, so what a task reads does not grow with the input. Postings of a word are dealt to all parts of its bucket when it stands in this many of the items
+#: that are sorted at once; other words have one part.
+PARTS, PER_PART, OFTEN = 8, 1_000_000, 1024
 #: Words of the items that are sorted at once before the shuffle, and rows of a batch given back.
 TOGETHER, ROWS = 2_000_000, 20_000
 #: A step reads levels until it has so many times the postings that the step before had.
@@ -77,7 +78,7 @@ def _postings(mean: float):
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             code = key[first] // LEVELS
             many = np.bincount(key // LEVELS)[code] >= OFTEN
-            deal = np.where(many, zlib.crc32(str(items[0]).encode()) % DEALT, 0)
+            deal = np.where(many, zlib.crc32(str(items[0]).encode()) >> 1, -1)
             ends = pa.array(np.append(first, len(doc)), pa.int32())
             held = [pa.ListArray.from_arrays(ends, x) for x in (items.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(length[doc], pa.int32()))]
             top = np.maximum.reduceat(impact, first) if len(first) else impact
@@ -164,7 +165,7 @@ def bucket_of(word: Column, buckets: int) -> Column:
 
 
 def build(items: DataFrame, path: str) -> Index:
-    """Write the index of items (kind, item_id, body) to a folder that all executors share. A batch's postings of one word and level are one row of the only shuffle, which deals words by bucket, and frequent words to several tasks of it."""
+    """Write the index of items (kind, item_id, body) to a folder that all executors share. A batch's postings of one word and level are one row of the only shuffle, which deals words by bucket and part of it, and frequent words to all parts of their bucket."""
     spark = items.sparkSession
     ship(spark)
     # kind and id are one string of a hit: the length of the kind, the kind and the id
@@ -174,7 +175,9 @@ def build(items: DataFrame, path: str) -> Index:
     buckets = int(min(BUCKETS[1], max(BUCKETS[0], n // PER_BUCKET)))
     index = Index(spark, path, n, float(mean or 0) or 1.0, buckets)
     lists = w.mapInArrow(_postings(index.mean), f"w string, level int, deal int, top double, {_HITS}")
-    dealt = lists.withColumn("bucket", bucket_of(F.col("w"), buckets)).repartition(buckets * DEALT // 2, "bucket", "deal")
+    parts = int(max(PARTS, -(-n * index.mean // (buckets * PER_PART))))
+    part = F.when(F.col("deal") < 0, F.pmod(F.xxhash64(F.lit(1), "w"), F.lit(parts))).otherwise(F.pmod("deal", F.lit(parts))).cast("int")
+    dealt = lists.withColumn("bucket", bucket_of(F.col("w"), buckets)).repartitionById(buckets * parts, F.col("bucket") * parts + part)
     rows = dealt.sortWithinPartitions("bucket", "w", F.desc("level")).select("w", "level", "bucket", "top", "items", "tf", "len")
     blocks = rows.mapInArrow(_blocks, f"bucket int, w string, level int, top double, n int, {_HITS}")
     blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")

@@ -186,3 +186,32 @@ def test_links_make_postings_once_for_each_block(monkeypatch):
     got = [tuple(r.values()) for b in explore._shared(1)([batch]) for r in b.to_pylist()]
     assert len(made) == 2
     assert got == [("a", "p", 1, 2, 1), ("b", "p", 2, 2, 1), ("d", "q", 1, 2, 1), ("b", "r", 2, 1, 1)]
+
+
+def test_links_count_frequent_and_rare_words_alike(monkeypatch):
+    """By the product of matrices, by postings and by both, few pairs at once or many: what plain sets give; ties by the ids as text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    sets = lambda n, name: [{"id": f"{name}{i}", "set": sorted({int(x) for x in rng.zipf(1.3, rng.integers(1, 60)) % 500})} for i in range(n)]
+    xs, ys = sets(40, "x"), sets(90, "y")
+    ys += [{"id": "z", "set": ys[0]["set"]}, {"id": "a", "set": ys[0]["set"]}]
+    want = []
+    for x in xs:
+        both = [(len({*x["set"]} & {*y["set"]}), y) for y in ys]
+        best = sorted((-round(c / len({*x["set"]} | {*y["set"]}), 6), y["id"], len(x["set"]), len(y["set"]), c) for c, y in both if c)[:3]
+        want += [(x["id"], *b[1:]) for b in best]
+    kind = pa.list_(pa.struct([("id", pa.string()), ("set", pa.list_(pa.int64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([xs], kind), pa.array([ys], kind)], ["block", "xs", "ys"])
+    for dense, matrix, cells in ((0, 1 << 22, 1 << 19), (1 / 16, 1 << 22, 100), (1 / 16, 300, 2000), (2, 1 << 22, 1)):
+        monkeypatch.setattr(explore, "DENSE", dense)
+        monkeypatch.setattr(explore, "MATRIX", matrix)
+        monkeypatch.setattr(explore, "CELLS", cells)
+        assert [tuple(r.values()) for b in explore._shared(3)([batch]) for r in b.to_pylist()] == want
+
+
+def test_links_shuffle_no_pairs(spark):
+    """Blocks of queries are broadcast, and not repeated for each block of items."""
+    items = spark.createDataFrame([("page", "p", "some words"), ("document", "d", "other words")], "kind string, item_id string, body string")
+    plan = explore.links(items.where("kind = 'document'"), items.where("kind = 'page'"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "broadcast" in plan and "sequence(0" not in plan

@@ -456,6 +456,33 @@ def test_hot_groups_without_broadcasts(spark, monkeypatch):
     assert got == brute_components(texts, 2)
 
 
+def queries_so_far(spark):
+    """The number of queries that the session has run."""
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return int(spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId())
+
+
+def test_queries_of_near_duplicates(spark):
+    """What the driver plans, broadcasts and keeps of a run: rows are counted as they are written, and rounds take more trees each time."""
+    assert [(r.start, r.stop) for r in near_dedup.rounds(25)] == [(0, 4), (4, 12), (12, 25)]
+    rng = np.random.default_rng(31)
+    base = prose(rng, 100, [f"w{i}" for i in range(900)]).split()
+    texts = [(i, " ".join([f"x{i}", *base[i:], f"y{i}"])) for i in range(30)]  # neighbours are alike, the ends of the row are not
+    before = queries_so_far(spark)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark, docs_of(spark, texts), k=2).collect()}
+    assert queries_so_far(spark) - before <= 45
+    assert got == brute_components(texts, 2) and {c for _, c in got.values()} == {0}
+
+
+def test_rows_counted_as_written(spark):
+    scratch = Scratch(spark, "counted")
+    rows = spark.range(10).withColumn("x", F.when(F.col("id") > 6, F.lit(1)))
+    for name, df, want in (("all", rows, (10, 3)), ("none", rows.where("id > 99"), (0, 0)), ("never", rows.where("false"), (0, 0)), ("joined", rows.join(rows.where("id > 99").groupBy("id").count(), "id"), (0, 0))):
+        out, seen = scratch.counted(df, name, ones=F.col("x") == 1)
+        assert (seen["rows"], seen["ones"]) == want and out.count() == want[0] and out.columns == df.columns
+
+
 # --- language ---------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the of and house river stone bird".split(), "de": "der und nicht haus fluss stein vogel".split()}

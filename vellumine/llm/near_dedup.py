@@ -44,7 +44,7 @@ LEVELS = 4
 SKETCH_PART = 0.15
 #: Nodes with more than one component, of three numbers each, are broadcast up to this many, else joined by a shuffle.
 BROADCAST_NODES = 400_000
-#: Trees whose nodes are shuffled together: what lies on disk at once.
+#: Trees whose nodes are shuffled together at first: what lies on disk at once. Each further round takes twice as many, as the driver's work is in rounds.
 AT_ONCE = 4
 #: Levels that one more branching adds, and how often.
 DEEPER, AGAIN = 3, 1
@@ -249,21 +249,33 @@ def plan(depth: int, like: float) -> tuple[int, int]:
     return trees, bits
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """(v, l): the smallest vertex that each vertex of edges (x, y) reaches. Minimum label of neighbours, then a jump to the label's label, until nothing changes."""
-    both = scratch.write(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
-    label = scratch.write(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("l")), f"{name}-0")
-    i, count = 0, label.count()
+def rounds(trees: int) -> list[range]:
+    """The trees of each round: AT_ONCE, then twice as many each time."""
+    out, start, size = [], 0, AT_ONCE
+    while start < trees:
+        out.append(range(start, min(start + size, trees)))
+        start, size = start + size, 2 * size
+    return out
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(v, l): the smallest vertex that each vertex of edges (x, y) reaches, and the number of vertices. Minimum label of neighbours, then a jump to the label's label, until nothing changes."""
+    both, seen = scratch.counted(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
+    label = both.select(F.col("x").alias("v"), F.col("y").alias("l"))
+    if not seen["rows"]:
+        return label, 0
+    label, seen = scratch.counted(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("l")), f"{name}-0")
+    i, count = 0, seen["rows"]
     while True:
         i += 1
         near = beside(both, label.select(F.col("v").alias("y"), "l"), "y", count, "inner").groupBy(F.col("x").alias("v")).agg(F.min("l").alias("m"))
         low = label.join(near, "v").select("v", F.least("l", "m").alias("n"), F.col("l").alias("was"))
         heads = low.select("n").distinct().join(label.select(F.col("v").alias("n"), F.col("l").alias("next")), "n")
         low = beside(low, heads, "n", count).select("v", F.least("n", F.coalesce("next", "n")).alias("l"), "was")
-        low = scratch.write(low, f"{name}-{i}")
-        label, done = low.select("v", "l"), low.where("l <> was").limit(1).count() == 0
-        if done:
-            return label
+        low, seen = scratch.counted(low, f"{name}-{i}", moved=F.col("l") != F.col("was"))
+        label = low.select("v", "l")
+        if not seen["moved"]:
+            return label, count
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -276,7 +288,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
     scratch = Scratch(spark, "neardup")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.write(own.mapInArrow(sign(k), "id long, n long, f1 long, f2 long, sig binary, sketch long"), "signed")
-    reps = scratch.write(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")).withColumn("first", F.col("rep")), "reps")
+    reps, seen = scratch.counted(signed.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch")).withColumn("first", F.col("rep")), "reps")
     signed = scratch.write(signed.select("id", "n", "f1", "f2"), "fingerprints")  # tokens are kept once, in reps
     scratch.drop("signed")
     repeated = reps.groupBy("rep").count().where("count > 1").limit(1).count() > 0
@@ -284,7 +296,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
         reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "numbered")  # fixed once written
         marked = with_fingerprints(own.where("id is not null"), "text", k, ("f1", "f2")).where("f1 is not null")
         own = scratch.write(marked.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"), "texts")
-    count, like = max(2, reps.count()), percent / 100
+    count, like = max(2, seen["rows"]), percent / 100
     depth = max(LEVELS, math.ceil(math.log(count / 8) / math.log(20)))
     trees, apart = plan(depth, like)
     state = {"moved": None, "many": 0, "tested": None, "large": None, "step": 0, "held": 0}
@@ -303,8 +315,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
         else:
             held = in_component(nodes.select("node", "rep")).groupBy("node").agg(F.count("*").alias("held"), F.min(turn).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         state["held"] += 1
-        held = scratch.write(held.select("node", "held", "centre"), f"held-{state['held']}")
-        return in_component(beside(nodes, held, "node", held.count(), "inner", BROADCAST_NODES)).withColumn("turn", turn)
+        held, seen = scratch.counted(held.select("node", "held", "centre"), f"held-{state['held']}")
+        return in_component(beside(nodes, held, "node", seen["rows"], "inner", BROADCAST_NODES)).withColumn("turn", turn)
 
     def meet(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
         """Pairs of one node and part whose components differ and whose sketches are near."""
@@ -327,17 +339,16 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
         pairs = pairs.distinct()
         if state["tested"] is not None:
             pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{step}")
-        state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
-        ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.ceil(F.count("*") / SPLIT).alias("parts")), f"ids-{step}")
-        if not (many := ids.count()):
+        pairs, seen = scratch.counted(pairs, f"pairs-{step}")
+        if not seen["rows"]:
             return
-        hot = ids.where("parts > 1")
-        hots = hot.count()
-        found = scratch.write(own.join(few(ids, many), "id").dropDuplicates(["id"]).withColumn("part", dealt(F.col("parts"))), f"texts-{step}")
+        state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
+        ids, seen = scratch.counted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.ceil(F.count("*") / SPLIT).alias("parts")), f"ids-{step}", hot=F.col("parts") > 1)
+        hot, hots = ids.where("parts > 1"), seen["hot"]
+        found = scratch.write(own.join(few(ids, seen["rows"]), "id").dropDuplicates(["id"]).withColumn("part", dealt(F.col("parts"))), f"texts-{step}")
         both = pairs
         for c, other in (("a", "b"), ("b", "a")):
-            both = beside(both, hot.select(F.col("id").alias(c), F.col("parts").alias(f"of_{c}")), c, hots)
+            both = beside(both, hot.select(F.col("id").alias(c), F.col("parts").alias(f"of_{c}")), c, hots) if hots else both.withColumn(f"of_{c}", F.lit(1))
             both = both.withColumn(f"part_{c}", F.pmod(F.xxhash64(other), F.coalesce(f"of_{c}", F.lit(1))))
         for c, text in (("a", "x"), ("b", "y")):
             both = both.join(found.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("text").alias(text)), [c, f"part_{c}"])
@@ -351,14 +362,14 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
     def merge(edges: DataFrame) -> None:
         """Join up components that edges link."""
         step = state["step"]
-        if not edges.limit(1).count():
+        merged, vertices = components(scratch, edges, f"components-{step}")
+        if not vertices:
             return
-        merged = components(scratch, edges, f"components-{step}")
         fresh = merged.where("v <> l").select(F.col("v").alias("rep"), F.col("l").alias("comp"))
         if state["moved"] is not None:
-            fresh = fresh.union(beside(state["moved"], merged.select(F.col("v").alias("comp"), "l"), "comp", merged.count()).select("rep", F.coalesce("l", "comp")))
-        state["moved"] = scratch.write(fresh, f"moved-{step}")
-        state["many"] = state["moved"].count()
+            fresh = fresh.union(beside(state["moved"], merged.select(F.col("v").alias("comp"), "l"), "comp", vertices).select("rep", F.coalesce("l", "comp")))
+        state["moved"], seen = scratch.counted(fresh, f"moved-{step}")
+        state["many"] = seen["rows"]
 
     def in_blocks(rest: DataFrame) -> None:
         """Compare what is outside its node's main component with all of that component, and with what else is outside. Each pair of blocks is a task's row of its own."""
@@ -394,22 +405,21 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k:
             settle(all_pairs(small).union(centre_pairs(large)))
         return large.select("node", "rep", "sketch")
 
-    for i, start in enumerate(range(0, trees, AT_ONCE)):
-        some = range(start, min(start + AT_ONCE, trees))
+    for i, some in enumerate(rounds(trees)):
         left = compare(reps.select("rep", "sig", "sketch").mapInArrow(branch(depth, some), shape), f"nodes-{i}", centres_first=i == 0)
         state["large"] = left if state["large"] is None else state["large"].union(left)
     rest = state["large"]
     for i in range(AGAIN):
-        rest = scratch.write(labelled(rest).select("node", "rep", "sketch"), f"rest-{i}")
-        if not rest.limit(1).count():
+        rest, seen = scratch.counted(labelled(rest).select("node", "rep", "sketch"), f"rest-{i}")
+        if not seen["rows"]:
             break
         of = rest.groupBy("rep").agg(F.collect_list("node").alias("at"))  # at most one node for each tree and choice
         own_tokens = reps.join(few(of.select("rep"), rest.select("rep").distinct().count()), "rep", "left_semi").select("rep", "sig", "sketch")
         deeper = scratch.write(own_tokens.join(of, "rep").select("rep", "sig", "sketch", "at"), f"tokens-{i}")  # read twice
         rest = compare(deeper.mapInArrow(branch(DEEPER, None), shape), f"deeper-{i}")
     else:
-        rest = scratch.write(labelled(rest), "rest")
-        if rest.limit(1).count():
+        rest, seen = scratch.counted(labelled(rest), "rest")
+        if seen["rows"]:
             in_blocks(rest)
     out = beside(signed, reps.select("f1", "f2", "rep"), ["f1", "f2"], count)
     if state["moved"] is not None:

@@ -260,17 +260,20 @@ def rounds(trees: int) -> list[range]:
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> tuple[DataFrame, int]:
     """(v, l): the smallest vertex that each vertex of edges (x, y) reaches, and the number of vertices. Minimum label of neighbours, then a jump to the label's label, until nothing changes."""
-    both, seen = scratch.counted(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
+    # both ways, and each vertex with itself, so that its own label comes with its neighbours'
+    ways = F.array(*(F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in ("xy", "yx", "xx", "yy")))
+    both, seen = scratch.counted(edges.select(F.inline(ways)).distinct(), f"{name}-edges")
     label = both.select(F.col("x").alias("v"), F.col("y").alias("l"))
     if not seen["rows"]:
         return label, 0
-    label, seen = scratch.counted(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("l")), f"{name}-0")
+    label, seen = scratch.counted(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("l")), f"{name}-0")
     i, count = 0, seen["rows"]
     while True:
         i += 1
-        near = beside(both, label.select(F.col("v").alias("y"), "l"), "y", count, "inner").groupBy(F.col("x").alias("v")).agg(F.min("l").alias("m"))
-        low = label.join(near, "v").select("v", F.least("l", "m").alias("n"), F.col("l").alias("was"))
-        heads = low.select("n").distinct().join(label.select(F.col("v").alias("n"), F.col("l").alias("next")), "n")
+        low = beside(both, label.select(F.col("v").alias("y"), "l"), "y", count, "inner").groupBy(F.col("x").alias("v")).agg(F.min("l").alias("n"), F.max(F.when(F.col("x") == F.col("y"), F.col("l"))).alias("was"))
+        heads = label.select(F.col("v").alias("n"), F.col("l").alias("next"))
+        if count > BROADCAST_IDS:  # else the one broadcast of all labels serves both joins
+            heads = heads.join(low.select("n").distinct(), "n", "left_semi")
         low = beside(low, heads, "n", count).select("v", F.least("n", F.coalesce("next", "n")).alias("l"), "was")
         low, seen = scratch.counted(low, f"{name}-{i}", moved=F.col("l") != F.col("was"))
         label = low.select("v", "l")
